@@ -30,10 +30,17 @@ def clean_string(value: ColumnLike) -> Column:
 
 
 def title_case(value: ColumnLike) -> Column:
-    """Upper-case the first letter of every run of letters, lower-case the others; null becomes ""."""
+    """Upper-case the first letter of every run of letters, lower-case the others; null becomes "".
+
+    A letter whose upper case is two letters keeps the second one small (``ß`` gives ``Ss``).
+    """
     runs = F.regexp_extract_all(F.lower(strip(value)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    titled = F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, 2, 1 << 30)))
-    return F.coalesce(F.array_join(titled, ""), F.lit(""))
+
+    def titled(run: Column) -> Column:
+        first = F.upper(F.substring(run, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 3)), F.substring(run, 2, 1 << 30))
+
+    return F.coalesce(F.array_join(F.transform(runs, titled), ""), F.lit(""))
 
 
 def full_name(first: ColumnLike, last: ColumnLike) -> Column:

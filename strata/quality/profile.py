@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,52 +65,45 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     return rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False, medians: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per column: type, counts, rates, numeric statistics and text lengths.
 
     All plain statistics come from one aggregate over the table. A text column is called ``date``
-    when most of its values look like dates.
+    when most of its values look like dates. ``medians=False`` saves their pass over the values.
     """
     names = list(columns or df.columns)
     kinds = {c: _label(df.schema[c].dataType) for c in names}
     numeric = [c for c in names if kinds[c] in ("int", "float")]
     texts = [c for c in names if kinds[c] == "string"]
 
-    totals: list[Column] = [F.count(F.lit(1)).alias("__total")]
+    # Written as SQL text: one expression per column instead of one driver call per function.
+    totals, rows = ["count(1) AS total"], []
     for i, c in enumerate(names):
-        totals.append(F.count(c).alias(f"__n{i}"))
+        q, numbers, lengths = f"`{c}`", "NULL", "NULL"
+        label = f"'{kinds[c]}'"
+        totals.append(f"count({q}) AS n{i}")
         if c in numeric:
-            v = F.col(c).cast("double")
-            exact = F.col(c) if not isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else v
-            totals += [F.min(v).alias(f"__min{i}"), F.max(v).alias(f"__max{i}"), F.avg(v).alias(f"__mean{i}"), F.stddev_samp(v).alias(f"__std{i}"), F.sum(exact).cast("double").alias(f"__sum{i}")]
-        if c in texts:
-            length = F.char_length(c)
-            totals += [F.min(length).alias(f"__lo{i}"), F.max(length).alias(f"__hi{i}"), F.avg(length).alias(f"__avg{i}"), F.count_if(F.col(c).rlike(DATE_LIKE)).alias(f"__dates{i}")]
-    wide = df.agg(*totals)
-
-    def numbers(i: int, key: str, present: bool, kind: str) -> Column:
-        return (F.col(f"__{key}{i}") if present else F.lit(None)).cast(kind)
-
-    rows = []
-    for i, c in enumerate(names):
-        is_text = c in texts
-        looks_like_date = F.col(f"__dates{i}") * 2 > F.col(f"__n{i}") if is_text else F.lit(False)
-        only_text = [F.when(~looks_like_date, numbers(i, k, is_text, t)).alias(n) for k, n, t in (("lo", "min_length", "bigint"), ("hi", "max_length", "bigint"), ("avg", "avg_length", "double"))]
-        rows.append(F.struct(
-            F.lit(c).alias("column_name"),
-            F.when(F.col(f"__n{i}") == 0, "null").when(looks_like_date, "date").otherwise(kinds[c]).alias("data_type"),
-            F.col("__total").alias("total_count"),
-            (F.col("__total") - F.col(f"__n{i}")).alias("null_count"),
-            numbers(i, "min", c in numeric, "double").alias("min_value"),
-            numbers(i, "max", c in numeric, "double").alias("max_value"),
-            numbers(i, "mean", c in numeric, "double").alias("mean_value"),
-            numbers(i, "std", c in numeric, "double").alias("std_dev"),
-            numbers(i, "sum", c in numeric, "double").alias("sum_value"),
-            *only_text,
-        ))
-    tall = wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+            v = f"CAST({q} AS DOUBLE)"
+            exact = v if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else q
+            totals.append(f"struct(min({v}) AS lo, max({v}) AS hi, avg({v}) AS mean, stddev_samp({v}) AS std, CAST(sum({exact}) AS DOUBLE) AS sum) AS s{i}")
+            numbers = f"s{i}"
+        elif c in texts:
+            totals.append(f"struct(min(char_length({q})) AS lo, max(char_length({q})) AS hi, avg(char_length({q})) AS mean, count_if({q} RLIKE r'{DATE_LIKE}') AS dates) AS t{i}")
+            label = f"CASE WHEN t{i}.dates * 2 > n{i} THEN 'date' ELSE 'string' END"
+            lengths = f"CASE WHEN NOT t{i}.dates * 2 > n{i} THEN t{i} END"
+
+        def part(struct: str, field_name: str, kind: str) -> str:
+            return f"CAST({'NULL' if struct == 'NULL' else f'({struct}).{field_name}'} AS {kind})"
+
+        rows.append(
+            f"struct('{c}' AS column_name, CASE WHEN n{i} = 0 THEN 'null' ELSE {label} END AS data_type, total AS total_count, total - n{i} AS null_count, "
+            + ", ".join(f"{part(numbers, k, 'DOUBLE')} AS {n}" for k, n in (("lo", "min_value"), ("hi", "max_value"), ("mean", "mean_value"), ("std", "std_dev"), ("sum", "sum_value")))
+            + ", " + ", ".join(f"{part(lengths, k, t)} AS {n}" for k, n, t in (("lo", "min_length", "BIGINT"), ("hi", "max_length", "BIGINT"), ("mean", "avg_length", "DOUBLE")))
+            + ")"
+        )
+    tall = df.agg(*[F.expr(t) for t in totals]).select(F.expr(f"inline(array({', '.join(rows)}))"))
     tall = tall.join(distinct_counts(df, names, approximate), "column_name", "left")
-    if numeric:
+    if numeric and medians:
         values = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], numeric, "column_name", "value")
         tall = tall.join(exact_median(values, ["column_name"], "value", "median_value", hot_rows), "column_name", "left")
     else:
@@ -134,10 +127,8 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
 
 def profile_dataset(df: DataFrame, name: str) -> DataFrame:
     """One row: rows, columns, surplus copies of rows, and mean completeness of the columns."""
-    filled = [F.count(c).cast("double") for c in df.columns]
-    rows = F.count(F.lit(1))
-    mean_share = sum(filled[1:], filled[0]) / (rows * len(filled))
-    complete = df.agg(F.when(rows > 0, F.round(mean_share, 4)).otherwise(0.0).alias("overall_completeness"))
+    filled = " + ".join(f"count(`{c}`)" for c in df.columns)
+    complete = df.agg(F.expr(f"CASE WHEN count(1) > 0 THEN round(({filled}) / (count(1) * {len(df.columns)}D), 4) ELSE 0D END AS overall_completeness"))
     copies = duplicate_summary(df)
     one = F.lit(1).alias("__one")
     joined = copies.select("*", one).join(complete.select("*", one), "__one").drop("__one")

@@ -48,7 +48,8 @@ def mart_patient_summary(patient_encounters: DataFrame) -> DataFrame:
     visits, charges = F.col("encounter_count"), F.col("total_charges")
     return patient_encounters.select(
         "patient_id", "full_name", "state", "is_active", "encounter_count", "total_charges",
-        F.when(visits > 0, F.round(charges / visits, 2)).otherwise(0.0).alias("avg_charge_per_encounter"),
+        # Divided as decimals, so that a tie at the third digit is rounded up and not lost in a double.
+        F.when(visits > 0, F.round(charges.cast(MONEY) / visits, 2).cast("double")).otherwise(0.0).alias("avg_charge_per_encounter"),
         above(charges, [(10000, "High Value"), (1000, "Medium Value")], "Low Value").alias("patient_segment"),
     )
 
