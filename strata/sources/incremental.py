@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -17,7 +17,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def last_mark(spark: SparkSession, mark_path: str, kind: T.DataType) -> object | None:
     """Highest saved mark in its own type, or None before the first run."""
-    if not _exists(spark, mark_path):
+    if not exists(spark, mark_path):
         return None
     return spark.read.schema(T.StructType([T.StructField("mark", kind)])).parquet(mark_path).agg(F.max("mark")).first()[0]
 
@@ -43,7 +43,7 @@ def load_increment(df: DataFrame, column: str, mark_path: str, sink: Callable[[D
 def next_version(spark: SparkSession, base_path: str) -> tuple[str | None, str]:
     """(current, next) folder of a table kept as ``v=1``, ``v=2`` …; a version is complete once it has its success mark."""
     number, current = 0, None
-    while _exists(spark, f"{base_path}/v={number + 1}/_SUCCESS"):
+    while exists(spark, f"{base_path}/v={number + 1}/_SUCCESS"):
         number += 1
         current = f"{base_path}/v={number}"
     return current, f"{base_path}/v={number + 1}"

@@ -10,10 +10,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.dedup import deduplicate
 from strata.session import scratch_path
+from strata.sources.incremental import exists
 
 Write = Callable[[DataFrame, int], None]
 
@@ -42,7 +44,9 @@ def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") ->
     spark = stream.sparkSession
     base = scratch_path(spark, label)
     drain(stream, to_folder(f"{base}/out"), f"{base}/checkpoint", output_mode)
-    schema = stream.schema.add("batch", "long")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    if not exists(spark, f"{base}/out"):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 

@@ -8,11 +8,16 @@ from pyspark.sql import types as T
 
 
 def from_files(spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Stream of the files at a path; a bound on files per batch is the batch size of the consumer."""
+    """Stream of the files at a path; a bound on files per batch is the batch size of the consumer.
+
+    The last part of the path is given to Spark as a pattern, because a plain path has to be a folder
+    while a pattern may also match a single file.
+    """
     reader = spark.readStream.schema(schema).format(file_format)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.load(path if any(c in name for c in "*?[{") else f"{folder}/{{{name}}}")
 
 
 def kafka_options(servers: str, topic: str, group: str = "strata", batch_size: int | None = None, start: str = "earliest") -> dict[str, str]:
