@@ -18,18 +18,22 @@ COMPARE: dict[str, Callable[[Any, Any], Column]] = {
 
 
 def all_of(conditions: list[Column]) -> Column:
-    return reduce(operator.and_, conditions, F.lit(True))
+    return reduce(operator.and_, conditions) if conditions else F.lit(True)
 
 
 def matches(column: ColumnLike, wanted: Any) -> Column:
-    """One filter entry: a value (null-safe equality), a list of values, or a Column function."""
+    """One filter entry: a value (null-safe equality), a list of values, or a Column function.
+
+    Meant for ``where``, which drops unknown outcomes by itself: written without a fallback, the
+    comparison reaches the scan.
+    """
     value = as_col(column)
     if callable(wanted):
-        return F.coalesce(wanted(value), F.lit(False))
+        return wanted(value)
     if isinstance(wanted, (list, tuple, set)):
         known = [w for w in wanted if w is not None]
         hit = value.isin(*known) if known else F.lit(False)
-        return F.coalesce(hit, F.lit(False)) | (value.isNull() if len(known) < len(wanted) else F.lit(False))
+        return hit | value.isNull() if len(known) < len(wanted) else hit
     return value.eqNullSafe(F.lit(wanted))
 
 
@@ -49,6 +53,6 @@ def having_condition(having: Mapping[str, Mapping[str, Any]]) -> Column:
     checks = []
     for metric, spec in having.items():
         op = spec.get("operator", "eq")
-        present = as_col(metric).isNotNull()
-        checks.append(present & threshold(metric, op, spec.get("value")) if op in COMPARE else present)
+        value = as_col(metric)
+        checks.append(COMPARE[op](value, F.lit(spec.get("value"))) if op in COMPARE else value.isNotNull())
     return all_of(checks)

@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators.windows import HOT_ROWS, _tie_columns, window
 
 KEEP = ("first", "last", "none")
+# Texts longer than this are compared by their SHA-256 digest.
+DIGEST_ABOVE = 64
+
+
+def compact_key(df: DataFrame, name: str) -> Column:
+    """A text column as a key: itself while short, else a digest over the whole text.
+
+    Digests carry a mark that makes them longer than any short text, so the two cannot meet. A long
+    text that is only compared, and not part of the result, then never leaves its map task.
+    """
+    value = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return value
+    return F.when(F.length(value) > DIGEST_ABOVE, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
 
 
 def deduplicate(df: DataFrame, key_columns: Sequence[str], order_by: Sequence[str] = (), keep: str = "first") -> DataFrame:
@@ -25,7 +40,8 @@ def deduplicate(df: DataFrame, key_columns: Sequence[str], order_by: Sequence[st
         return df
     order = [*order_by, *_tie_columns(df, [*key_columns, *order_by])]
     sides = [F.col(c).desc_nulls_last() if keep == "last" else F.col(c).asc_nulls_first() for c in order] or [F.lit(1)]
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key_columns).orderBy(*sides)))
+    keys = [compact_key(df, c) for c in key_columns]
+    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*sides)))
     return ranked.where(F.col("__rn") == 1).drop("__rn")
 
 
@@ -41,8 +57,13 @@ def repeat_number(df: DataFrame, key: str, order_by: Sequence[str], name: str, t
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
-    """Rows, distinct rows and surplus copies of whole rows; copies are pre-counted before the shuffle."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    """Rows, distinct rows and surplus copies of whole rows.
+
+    Rows are compared by a digest over all their columns in text form, so only digests are shuffled,
+    and copies are counted before that.
+    """
+    whole = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+    copies = df.groupBy(whole.alias("row")).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("distinct_rows"),

@@ -49,7 +49,7 @@ def partitioned_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Orders to folders by year and priority; one year is read, which touches its folders only."""
     rows = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("year"))
     path = scratch_path(spark, "partitioned")
-    files.write_partitioned(rows, path, ["year", "o_orderpriority"], "parquet", salt=2)
+    files.write_partitioned(rows, path, ["year", "o_orderpriority"], "parquet")
     return spark.read.schema(rows.schema).parquet(path).where("year = 1997").select("o_orderkey", "o_totalprice", "o_orderpriority", "year")
 
 

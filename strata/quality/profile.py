@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.domain import letter_grade
-from strata.operators.dedup import duplicate_summary, top_n_per_group
+from strata.operators.dedup import compact_key, duplicate_summary, top_n_per_group
 from strata.operators.quantiles import exact_median
 from strata.operators.windows import HOT_ROWS
 
@@ -17,8 +17,6 @@ from strata.operators.windows import HOT_ROWS
 DATE_LIKE = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
 WEIGHTS = {"completeness": 0.3, "uniqueness": 0.2, "validity": 0.3, "consistency": 0.2}
 NULL_RATE_CHANGE = 0.05
-# Texts longer than this are told apart by their SHA-256 digest, so that no long text is shuffled.
-DIGEST_ABOVE = 64
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -38,11 +36,12 @@ def _label(kind: T.DataType) -> str:
 
 def _text_values(df: DataFrame, columns: Sequence[str], digest: bool) -> DataFrame:
     """(column_name, value) rows of the columns in text form."""
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+
     def text(name: str) -> Column:
-        value = F.col(name).cast("string")
-        return F.when(F.length(value) > DIGEST_ABOVE, F.sha2(value, 256)).otherwise(value) if digest and isinstance(df.schema[name].dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType)) else value
+        return compact_key(texts, name) if digest else F.col(name)
 
-    return df.select(*[text(c).alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
+    return texts.select(*[text(c).alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -11,10 +11,14 @@ from pyspark.sql import types as T
 from strata.operators.transforms import drop_internal, rename
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", column_mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """CSV with a header, every column a string; ``columns`` gives the header and saves reading it first."""
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", column_mapping: Mapping[str, str] | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, every column a string; ``columns`` gives the header and saves reading it first.
+
+    A quoted value may hold line breaks. Set ``multi_line=False`` when none does: large files can
+    then be split between tasks.
+    """
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("inferSchema", False)
-    reader = reader.option("multiLine", False).option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return rename(reader.csv(path), column_mapping or {})
@@ -70,16 +74,16 @@ def write_files(df: DataFrame, path: str, file_format: str = "csv", append: bool
         writer.option("encoding", encoding).option("ignoreNullFields", False).json(path)
 
 
-def write_partitioned(df: DataFrame, path: str, partition_columns: Sequence[str], file_format: str = "json", salt: int = 1) -> None:
-    """Append below ``column=value`` folders. ``salt`` spreads each folder's rows over that many tasks.
+def write_partitioned(df: DataFrame, path: str, partition_columns: Sequence[str], file_format: str = "json") -> None:
+    """Append below ``column=value`` folders.
 
-    Rows are first brought together by folder (and salt), so that every task writes few folders and
-    the number of files does not grow with tasks times folders.
+    Rows are first brought together by folder, so that the number of files does not grow with tasks
+    times folders. It is done with a rebalance, which splits a folder that holds a large share of the
+    rows between several tasks and merges small ones.
     """
     if file_format not in FORMATS:
         raise ValueError(f"unsupported format {file_format!r}; known: {FORMATS}")
-    rows = drop_internal(df)
-    spread = rows.repartition(*[F.col(c) for c in partition_columns], F.pmod(F.xxhash64(*rows.columns), F.lit(salt)))
+    spread = drop_internal(df).hint("rebalance", *[F.col(c) for c in partition_columns])
     spread.write.mode("append").partitionBy(*partition_columns).format("json" if file_format == "jsonl" else file_format).save(path)
 
 

@@ -71,6 +71,13 @@ def split_dead_letters(rows: DataFrame, checks: Mapping[str, Column], failed_at:
 def with_dead_letters(handler: Callable[[DataFrame], DataFrame], checks: Mapping[str, Column], out: str, letters: str, metrics: str | None = None) -> Write:
     """Batch writer that handles good rows, keeps bad ones apart and notes both numbers."""
     def write(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            write_both(rows, batch)
+        finally:
+            rows.unpersist()
+
+    def write_both(rows: DataFrame, batch: int) -> None:
         good, bad = split_dead_letters(rows, checks, F.current_timestamp())
         handler(good).write.mode("overwrite").parquet(batch_folder(out, batch))
         bad.write.mode("overwrite").parquet(batch_folder(letters, batch))
@@ -89,9 +96,13 @@ def with_dead_letters(handler: Callable[[DataFrame], DataFrame], checks: Mapping
 def by_topic(routes: Mapping[str, Callable[[DataFrame], DataFrame]], out: str) -> Write:
     """Batch writer that sends each topic's messages through its handler into ``out/<topic>``."""
     def write(rows: DataFrame, batch: int) -> None:
-        for topic, handler in routes.items():
-            values = rows.where(F.col("topic") == topic).select("value.*")
-            handler(values).write.mode("overwrite").parquet(batch_folder(f"{out}/{topic}", batch))
+        rows.persist()
+        try:
+            for topic, handler in routes.items():
+                values = rows.where(F.col("topic") == topic).select("value.*")
+                handler(values).write.mode("overwrite").parquet(batch_folder(f"{out}/{topic}", batch))
+        finally:
+            rows.unpersist()
 
     return write
 
