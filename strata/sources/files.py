@@ -14,7 +14,7 @@ from strata.operators.transforms import drop_internal, rename
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", column_mapping: Mapping[str, str] | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column a string; ``columns`` gives the header and saves reading it first.
 
-    A quoted value may hold line breaks. Set ``multi_line=False`` when none does: large files can
+    An empty field is null. A quoted value may hold line breaks. Set ``multi_line=False`` when none does: large files can
     then be split between tasks.
     """
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("inferSchema", False)
@@ -67,7 +67,8 @@ def write_files(df: DataFrame, path: str, file_format: str = "csv", append: bool
     mode = "append" if append and file_format != "json" else "overwrite"
     writer = drop_internal(df).write.mode(mode)
     if file_format == "csv":
-        writer.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
+        writer = writer.option("header", True).option("encoding", encoding).option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif file_format == "parquet":
         writer.parquet(path)
     else:
