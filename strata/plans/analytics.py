@@ -238,3 +238,16 @@ def union_batches(spark: SparkSession, sf: str) -> DataFrame:
     customers = load(spark, sf, "customer").select(F.col("c_custkey").alias("party_key"), F.col("c_name").alias("party_name"), F.col("c_mktsegment").alias("segment"))
     suppliers = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("party_key"), F.col("s_name").alias("party_name"))
     return customers.unionByName(suppliers, allowMissingColumns=True)
+
+
+@query("pivot_column_names", "SELECT DISTINCT 'o_orderpriority_' || o_orderpriority AS column_name FROM orders ORDER BY 1")
+def pivot_column_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Sorted distinct values that a pivot would turn into columns."""
+    names = load(spark, sf, "orders").select(F.concat(F.lit("o_orderpriority_"), "o_orderpriority").alias("column_name"))
+    return names.distinct().orderBy("column_name")
+
+
+@query("report_preview", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def report_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """First 20 rows of a report table."""
+    return load(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)

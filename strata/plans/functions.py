@@ -72,13 +72,13 @@ def date_functions(spark: SparkSession, sf: str) -> DataFrame:
 @query("time_spans", """
     SELECT event_id, CAST(floor((epoch_us(TIMESTAMP '2024-01-15 12:30:00') - epoch_us(ts)) / 86400000000) AS BIGINT) AS stay_days,
            CAST(trunc((epoch_us(TIMESTAMP '2024-01-15 12:30:00') - epoch_us(ts)) / 60000000) AS BIGINT) AS minutes,
-           round((epoch_us(TIMESTAMP '2024-01-15 12:30:00') - epoch_us(ts)) / 3600000000, 6) AS hours
+           (epoch_us(TIMESTAMP '2024-01-15 12:30:00') - epoch_us(ts)) / 3600000000 AS hours
     FROM events""")
 def time_spans(spark: SparkSession, sf: str) -> DataFrame:
     end = F.lit("2024-01-15 12:30:00").cast(NTZ)
     return load(spark, sf, "events").select(
         "event_id", dates.whole_days_between("ts", end).alias("stay_days"), dates.whole_minutes_between("ts", end).alias("minutes"),
-        F.round(dates.hours_between("ts", end), 6).alias("hours"),
+        dates.hours_between("ts", end).alias("hours"),
     )
 
 

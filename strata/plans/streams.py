@@ -124,15 +124,17 @@ def stream_encounters(spark: SparkSession, sf: str) -> DataFrame:
     return table.withColumn("alerts", F.array_join("alerts", "; "))
 
 
-@query("stream_enrollments", with_views("enrollments") + """
-    SELECT enrollment_id, student_id, 'C' || course_id AS course_code, 'CONFIRMED' AS status, grade FROM enrollments""")
+@query("stream_enrollments", with_views("enrollments") + " SELECT enrollment_id, student_id, 'C' || course_id AS course_code, 'CONFIRMED' AS status FROM enrollments")
 def stream_enrollments(spark: SparkSession, sf: str) -> DataFrame:
-    """Two handlers on one stream: the enrollment is confirmed and its grade noted."""
-    def both(rows: DataFrame) -> DataFrame:
-        coded = rows.withColumn("course_code", F.concat(F.lit("C"), F.col("course_id").cast("string")))
-        return coded.select("enrollment_id", "student_id", "course_code", F.lit("CONFIRMED").alias("status"), "grade")
+    def handle(rows: DataFrame) -> DataFrame:
+        return handlers.enrollments(rows.withColumn("course_code", F.concat(F.lit("C"), F.col("course_id").cast("string"))))
 
-    return _handled(spark, sf, "enrollments", both, "enrollments")
+    return _handled(spark, sf, "enrollments", handle, "enrollments")
+
+
+@query("stream_grades", with_views("enrollments") + " SELECT enrollment_id, student_id, grade FROM enrollments WHERE grade IS NOT NULL")
+def stream_grades(spark: SparkSession, sf: str) -> DataFrame:
+    return _handled(spark, sf, "enrollments", lambda rows: handlers.grades(rows.where(F.col("grade").isNotNull())), "grades")
 
 
 @query("stream_gpa", with_views("enrollments") + " SELECT count(*) AS grade_count, round(sum(grade_points * credits) / greatest(1, sum(credits)), 2) AS average_gpa FROM enrollments")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators import chain as chains
 from strata.operators import dedup, joins, transforms
 from strata.plans.registry import query
+from strata.session import scratch_path
 from strata.tables import load
 
 RUN_TS = "2024-06-30 12:00:00"
@@ -167,3 +169,16 @@ def matched_rows(spark: SparkSession, sf: str) -> DataFrame:
     large = load(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return joins.existing(customers, large, ["c_custkey"]).withColumn("has_orders", F.lit(True)).unionByName(
         joins.missing(customers, large, ["c_custkey"]).withColumn("has_orders", F.lit(False)))
+
+
+@query("chain_counts", DIRTY + f""", c AS ({CLEAN}), v AS (SELECT * FROM c WHERE name IS NOT NULL AND balance IS NOT NULL)
+    SELECT 'extracted' AS step, count(*) * 2 AS rows FROM dirty UNION ALL SELECT 'cleanse', count(*) * 2 FROM c UNION ALL SELECT 'require', count(*) * 2 FROM v
+    UNION ALL SELECT 'dedup', count(*) FROM v UNION ALL SELECT 'mask', count(*) FROM v UNION ALL SELECT 'loaded', count(*) FROM v""")
+def chain_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that leave each step of a chain, observed while the result is written."""
+    rows, path = dirty_customers(spark, sf), scratch_path(spark, "chain")
+    counts = chains.run_chain(rows.unionByName(rows), [
+        ("cleanse", _cleansed), ("require", lambda d: d.dropna(subset=["name", "balance"])),
+        ("dedup", lambda d: dedup.deduplicate(d, ["c_custkey"])), ("mask", lambda d: transforms.mask_pii(d, ["name"], {"email": "email"})),
+    ], lambda d: d.write.parquet(path))
+    return chains.counts_frame(rows, counts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,28 +15,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def last_mark(spark: SparkSession, mark_path: str, kind: T.DataType) -> object | None:
-    """Highest saved mark in its own type, or None before the first run."""
+def last_mark(spark: SparkSession, mark_path: str, kind: T.DataType) -> str | None:
+    """Highest saved mark (compared in its own type, given as text), or None before the first run."""
     if not exists(spark, mark_path):
         return None
-    return spark.read.schema(T.StructType([T.StructField("mark", kind)])).parquet(mark_path).agg(F.max("mark")).first()[0]
+    marks = spark.read.schema(T.StructType([T.StructField("mark", kind)])).parquet(mark_path)
+    return marks.agg(F.max("mark").cast("string")).first()[0]
 
 
-def new_rows(df: DataFrame, column: str, mark: object | None) -> DataFrame:
+def new_rows(df: DataFrame, column: str, mark: str | None) -> DataFrame:
     """Rows strictly after the mark (a filter that reaches the scan); all rows without a mark."""
-    return df if mark is None else df.where(F.col(column) > F.lit(mark).cast(df.schema[column].dataType))
+    return df if mark is None else df.where(F.col(column) > _literal(df, column, mark))
+
+
+def _literal(df: DataFrame, column: str, text: str) -> Column:
+    return F.lit(text).cast(df.schema[column].dataType)
 
 
 def load_increment(df: DataFrame, column: str, mark_path: str, sink: Callable[[DataFrame], None]) -> DataFrame:
-    """Hand new rows to the sink, then save the new mark. Nulls never move the mark.
+    """Hand new rows to the sink, then save the new mark. Nulls come with the first load and never move the mark.
 
-    The mark is saved after the sink has succeeded, so a failed run is repeated from the same place.
+    The upper bound is fixed before the load, so rows that arrive meanwhile wait for the next one. The
+    mark is saved after the sink has succeeded, so a failed run is repeated from the same place.
     """
     spark, kind = df.sparkSession, df.schema[column].dataType
-    fresh = new_rows(df, column, last_mark(spark, mark_path, kind))
+    mark = last_mark(spark, mark_path, kind)
+    fresh = new_rows(df, column, mark)
+    highest = fresh.agg(F.max(column).cast("string")).first()[0]
+    if highest is not None:
+        within = F.col(column) <= _literal(df, column, highest)
+        fresh = fresh.where(within | F.col(column).isNull() if mark is None else within)
     sink(fresh)
-    highest = fresh.agg(F.max(column).alias("mark")).where(F.col("mark").isNotNull())
-    highest.write.mode("append").parquet(mark_path)
+    if highest is not None:
+        saved = spark.range(1).select(F.lit(highest).cast(kind).alias("mark"))
+        saved.write.mode("append").parquet(mark_path)
     return fresh
 
 

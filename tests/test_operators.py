@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import aggregate as agg
+from strata.operators import chain
 from strata.operators import dedup, joins, pivot, quantiles, transforms, windows
 from tests.conftest import one, rows
 
@@ -221,3 +222,10 @@ def test_soft_delete_keeps_earlier_marks(spark):
 def test_batches(spark):
     got = transforms.in_batches(spark.range(5), lambda b: b.assign(d=b["id"] * 2), "id long, d long")
     assert rows(got) == [(i, 2 * i) for i in range(5)]
+
+
+def test_chain_counts_and_order(spark):
+    loaded = []
+    steps = [("double", lambda d: d.withColumn("v", F.col("id") * 2)), ("large", lambda d: d.where("v > 5")), ("none", lambda d: d.where("v < 0"))]
+    counts = chain.run_chain(spark.range(6), steps, lambda d: loaded.append(d.collect()))
+    assert counts == {"extracted": 6, "double": 6, "large": 3, "none": 0, "loaded": 0} and loaded == [[]]
