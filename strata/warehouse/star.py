@@ -139,30 +139,34 @@ def first_load(source: DataFrame, dim: Dimension, as_of: str, mapping: Mapping[s
     return numbered
 
 
-def fact_rows(source: DataFrame, fact: Fact, dimensions: Mapping[str, tuple[Dimension, DataFrame]], links: Mapping[str, tuple[str, Column]], mapping: Mapping[str, str] | None = None, row_id: tuple[str, ...] | None = None) -> DataFrame:
-    """Fact table: hashed row key, surrogate keys of the linked dimensions, mapped measures.
+def resolve(rows: DataFrame, dimensions: Mapping[str, tuple[Dimension, DataFrame]], links: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Add surrogate keys: ``links`` gives per key the dimension and the expression of its natural key.
 
-    ``links`` gives per foreign key the dimension and the source expression of its natural key. Only
-    current versions are looked up; no match gives null. A hashed key needs no order over all rows.
+    Only current versions are looked up; no match gives null. Several keys that hang on one other
+    table are best resolved on that table, which is then joined to the facts once.
     """
-    base = map_columns(source, fact.columns, mapping)
-    out = source
-    for key, (_, natural) in links.items():
-        out = out.withColumn(f"__k_{key}", natural)
-    for item in base.columns:
-        name = (mapping or {}).get(item, item)
-        kind = base.schema[item].dataType
-        out = out.withColumn(f"__m_{item}", (F.col(name) if name in source.columns else F.lit(None)).cast(kind))
-    identity = list(row_id or (mapping or {}).get(fact.degenerate, fact.degenerate).split())
-    out = out.withColumn("__pk", surrogate_hash(*identity))
-    for key, (name, _) in links.items():
-        dim, rows = dimensions[name]
-        current = rows.where("is_current") if "effective_date" in rows.columns else rows
-        found = current.select(F.col(dim.natural_key[0]).alias(f"__n_{key}"), F.col(dim.surrogate).alias(f"__f_{key}"))
-        out = out.join(found, F.col(f"__k_{key}") == F.col(f"__n_{key}"), "left")
-    return out.select(
-        F.col("__pk").alias(fact.primary_key), *[F.col(f"__f_{k}").alias(k) for k in links], *[F.col(f"__m_{c}").alias(c) for c in base.columns]
-    )
+    out = rows
+    for key, (name, natural) in links.items():
+        dim, table = dimensions[name]
+        current = table.where("is_current") if "effective_date" in table.columns else table
+        found = current.select(F.col(dim.natural_key[0]).alias("__natural"), F.col(dim.surrogate).alias(key))
+        out = out.join(found, natural == F.col("__natural"), "left").drop("__natural")
+    return out
+
+
+def fact_rows(resolved: DataFrame, fact: Fact, mapping: Mapping[str, str] | None = None, row_id: tuple[str, ...] | None = None) -> DataFrame:
+    """Fact table from rows with their surrogate keys: hashed row key, the keys there are, mapped measures.
+
+    A hashed row key needs no order over all rows.
+    """
+    mapping = mapping or {}
+    out = [surrogate_hash(*(row_id or (mapping.get(fact.degenerate, fact.degenerate),))).alias(fact.primary_key)]
+    out += [F.col(k) for k in fact.foreign_keys if k in resolved.columns]
+    for item in fact.columns:
+        name, kind = item.split()
+        source = mapping.get(name, name)
+        out.append((F.col(source) if source in resolved.columns else F.lit(None)).cast(kind).alias(name))
+    return resolved.select(*out)
 
 
 def _time_slot(ts: str) -> Column:
@@ -188,7 +192,7 @@ def build_health(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession)
         links["provider_sk"] = ("dim_provider", F.col("provider_id").cast("string"))
     if encounters is not None:
         links |= {"date_sk": ("dim_date", F.col("encounter_date").cast("date")), "time_sk": ("dim_time", _time_slot("encounter_date")), "encounter_type_sk": ("dim_encounter_type", F.col("encounter_type"))}
-        tables[HEALTH.fact.name] = fact_rows(encounters, HEALTH.fact, {n: (dims[n], t) for n, t in tables.items()}, links)
+        tables[HEALTH.fact.name] = fact_rows(resolve(encounters, {n: (dims[n], t) for n, t in tables.items()}, links), HEALTH.fact)
     return tables
 
 
@@ -204,16 +208,16 @@ def build_finance(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession
         "dim_customer": first_load(customers, dims["dim_customer"], as_of),
         "dim_merchant": first_load(merchants, dims["dim_merchant"], as_of),
     }
-    owners = accounts.select(F.col("account_number").cast("string").alias("__owner_of"), F.col("customer_id").cast("string").alias("__owner"))
-    owned = transactions.join(deduplicate(owners, ["__owner_of"], keep="last"), F.col("account_id").cast("string") == F.col("__owner_of"), "left")
-    links = {
-        "account_sk": ("dim_account", F.col("account_id").cast("string")),
-        "customer_sk": ("dim_customer", F.col("__owner")),
+    known = {n: (dims[n], t) for n, t in tables.items()}
+    owners = deduplicate(accounts.select(F.col("account_number").cast("string").alias("__account"), F.col("customer_id").cast("string").alias("__owner")), ["__account"], keep="last")
+    owners = resolve(owners, known, {"account_sk": ("dim_account", F.col("__account")), "customer_sk": ("dim_customer", F.col("__owner"))})
+    rows = transactions.join(owners, F.col("account_id").cast("string") == F.col("__account"), "left")
+    rows = resolve(rows, known, {
         "merchant_sk": ("dim_merchant", merchant_slug("merchant_name")),
         "date_sk": ("dim_date", F.col("transaction_date").cast("date")),
         "time_sk": ("dim_time", _time_slot("transaction_date")),
-    }
-    tables[FINANCE.fact.name] = fact_rows(owned, FINANCE.fact, {n: (dims[n], t) for n, t in tables.items()}, links)
+    })
+    tables[FINANCE.fact.name] = fact_rows(rows, FINANCE.fact)
     return tables
 
 
@@ -235,7 +239,8 @@ def build_tech(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -
             links["application_sk"] = ("dim_application", F.col("application_id").cast("string"))
     mapping = {"network_in_mb": "network_in_mb_s", "network_out_mb": "network_out_mb_s"}
     row_id = ("metric_id",) if "metric_id" in metrics.columns else ("server_id", "timestamp")
-    tables[TECH.fact.name] = fact_rows(metrics, TECH.fact, {n: (dims[n], t) for n, t in tables.items()}, links, {k: v for k, v in mapping.items() if v in metrics.columns}, row_id)
+    rows = resolve(metrics, {n: (dims[n], t) for n, t in tables.items()}, links)
+    tables[TECH.fact.name] = fact_rows(rows, TECH.fact, {k: v for k, v in mapping.items() if v in metrics.columns}, row_id)
     return tables
 
 
@@ -250,16 +255,18 @@ def build_university(data: Mapping[str, DataFrame], as_of: str, spark: SparkSess
         "dim_term": first_load(terms, dims["dim_term"], as_of),
     }
     extra = [c for c in ("instructor_id", "term") if c in courses.columns]
-    named = deduplicate(courses.select(F.col("course_id").alias("__course"), "course_code", *extra), ["__course"], keep="last")
-    rows = enrollments.join(named, enrollments["course_id"] == named["__course"], "left")
-    links = {"student_sk": ("dim_student", F.col("student_id").cast("string")), "course_sk": ("dim_course", F.col("course_code").cast("string"))}
+    links = {"course_sk": ("dim_course", F.col("course_code").cast("string"))}
     if "faculty" in data:
         tables["dim_instructor"] = first_load(data["faculty"], dims["dim_instructor"], as_of)
         if "instructor_id" in extra:
             links["instructor_sk"] = ("dim_instructor", F.col("instructor_id").cast("string"))
     if "term" in extra:
         links["term_sk"] = ("dim_term", F.col("term"))
-    tables[UNIVERSITY.fact.name] = fact_rows(rows, UNIVERSITY.fact, {n: (dims[n], t) for n, t in tables.items()}, links)
+    known = {n: (dims[n], t) for n, t in tables.items()}
+    named = deduplicate(courses.select(F.col("course_id").alias("__course"), "course_code", *extra), ["__course"], keep="last")
+    named = resolve(named, known, links).select("__course", *links)
+    rows = enrollments.join(named, F.col("course_id") == F.col("__course"), "left")
+    tables[UNIVERSITY.fact.name] = fact_rows(resolve(rows, known, {"student_sk": ("dim_student", F.col("student_id").cast("string"))}), UNIVERSITY.fact)
     return tables
 
 
