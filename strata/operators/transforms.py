@@ -102,30 +102,44 @@ RULE_TYPES = {
     "int": (T.IntegralType, T.BooleanType),
     "float": (T.NumericType, T.BooleanType),
 }
+# Message texts of field rules.
+RULE_MESSAGES = {
+    "required": "{field} is required",
+    "string": "{field} must be a string",
+    "int": "{field} must be an integer",
+    "float": "{field} must be a number",
+    "min": "{field} must be >= {limit}",
+    "max": "{field} must be <= {limit}",
+    "pattern": "{field} does not match pattern {limit}",
+    "enum": "{field} must be one of {limit}",
+}
 
 
 def field_errors(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> Column:
     """Array of messages, in rule order; a missing required field skips its other checks."""
     items: list[Column] = []
+
+    def fail(name: str, kind: str, condition: Column, limit: object = None) -> None:
+        items.append(F.when(condition, F.lit(RULE_MESSAGES[kind].format(field=name, limit=limit))))
+
     for name, rule in rules.items():
         known = name in df.columns
         value = F.col(name) if known else F.lit(None).cast("string")
         if rule.get("required"):
-            items.append(F.when(value.isNull(), F.lit(f"{name} is required")))
+            fail(name, "required", value.isNull())
         if not known:
             continue
         kind, expected = df.schema[name].dataType, rule.get("type")
         if expected in RULE_TYPES and not isinstance(kind, RULE_TYPES[expected]):
-            label = {"string": "a string", "int": "an integer", "float": "a number"}[expected]
-            items.append(F.when(value.isNotNull(), F.lit(f"{name} must be {label}")))
+            fail(name, expected, value.isNotNull())
         if "min" in rule:
-            items.append(F.when(value < F.lit(rule["min"]), F.lit(f"{name} must be >= {rule['min']}")))
+            fail(name, "min", value < F.lit(rule["min"]), rule["min"])
         if "max" in rule:
-            items.append(F.when(value > F.lit(rule["max"]), F.lit(f"{name} must be <= {rule['max']}")))
+            fail(name, "max", value > F.lit(rule["max"]), rule["max"])
         if "pattern" in rule and isinstance(kind, T.StringType):
-            items.append(F.when(~starts_with_pattern(value, rule["pattern"]), F.lit(f"{name} does not match pattern {rule['pattern']}")))
+            fail(name, "pattern", ~starts_with_pattern(value, rule["pattern"]), rule["pattern"])
         if "enum" in rule:
-            items.append(F.when(~value.isin(*rule["enum"]), F.lit(f"{name} must be one of {list(rule['enum'])}")))
+            fail(name, "enum", ~value.isin(*rule["enum"]), list(rule["enum"]))
     return strings.present_items(*items) if items else F.array().cast("array<string>")
 
 

@@ -22,7 +22,7 @@ HOT_ROWS = 2_000_000
 MAX_HOT_GROUPS = 20_000
 MAX_SEGMENTS = 20_000
 
-SEGMENT, SERIAL = "__segment", "__serial"
+SEGMENT, SERIAL = "__w_segment", "__w_serial"
 OFFSET_FUNCTIONS = ("lag", "lead")
 SUM_FUNCTIONS = ("running_sum", "running_avg")
 FUNCTIONS = ("row_number", "rank", *OFFSET_FUNCTIONS, *SUM_FUNCTIONS)
@@ -54,6 +54,8 @@ def _check(metrics: Mapping[str, Mapping[str, Any]]) -> None:
 def hot_group_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int) -> dict[int, int]:
     """Hash and size of the groups above ``hot_rows``, at most ``MAX_HOT_GROUPS`` of them (the largest).
 
+    A group that does not fit in the list any more holds less than one in ``MAX_HOT_GROUPS`` of all rows.
+
     Groups are told apart by hash only. Two groups with one hash travel together, which costs time
     but changes no result, because the rows are later grouped by their real keys.
     """
@@ -69,11 +71,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], hashes: Sequence[int]) -> tupl
     """(hot rows, other rows). The list of hashes is bounded by ``MAX_HOT_GROUPS``, so it may be broadcast."""
     if not keys:
         return df, df.where(F.lit(False))
-    listed = df.sparkSession.createDataFrame([(h,) for h in hashes], "`__hot` bigint")
-    tagged = df.withColumn("__hash", F.xxhash64(*keys))
-    condition = tagged["__hash"] == listed["__hot"]
-    hot = tagged.join(F.broadcast(listed), condition, "left_semi").drop("__hash")
-    rest = tagged.join(F.broadcast(listed), condition, "left_anti").drop("__hash")
+    listed = df.sparkSession.createDataFrame([(h,) for h in hashes], "`__w_hot` bigint")
+    tagged = df.withColumn("__w_hash", F.xxhash64(*keys))
+    condition = tagged["__w_hash"] == listed["__w_hot"]
+    hot = tagged.join(F.broadcast(listed), condition, "left_semi").drop("__w_hash")
+    rest = tagged.join(F.broadcast(listed), condition, "left_anti").drop("__w_hash")
     return hot, rest
 
 
@@ -92,6 +94,8 @@ def window(
     Running sums start from 0 and skip nulls; running averages are null before the first value.
     """
     _check(metrics)
+    if any(c.startswith("__w_") for c in df.columns):
+        raise ValueError("column names must not start with __w_, which is kept for work columns")
     keys = list(partition_by)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     tie = _tie_columns(df, [*keys, *order]) if tie_break is None else list(tie_break)
@@ -153,16 +157,16 @@ def _segmented(
     with_rank = any(m["function"] == "rank" for m in metrics.values())
 
     carried = _carry(placed, keys, order, tie, sums, shifts, with_rank)
-    work: dict[str, Column] = {"__n": F.row_number().over(local)}
+    work: dict[str, Column] = {"__w_n": F.row_number().over(local)}
     for i, c in enumerate(sums):
-        work[f"__s{i}"] = F.sum(_summable(df, c)).over(upto)
-        work[f"__c{i}"] = F.count(_summable(df, c)).over(upto)
+        work[f"__w_s{i}"] = F.sum(_summable(df, c)).over(upto)
+        work[f"__w_c{i}"] = F.count(_summable(df, c)).over(upto)
     for name, spec in shifts.items():
         shift = F.lag if spec["function"] == "lag" else F.lead
-        work[f"__v_{name}"] = shift(spec["column"], int(spec.get("window", 1))).over(local)
+        work[f"__w_v_{name}"] = shift(spec["column"], int(spec.get("window", 1))).over(local)
     rows = placed.withColumns(work)
     if with_rank:
-        rows = rows.withColumn("__tie", F.first("__n").over(Window.partitionBy(*inner, *order).orderBy("__n")))
+        rows = rows.withColumn("__w_tie", F.first("__w_n").over(Window.partitionBy(*inner, *order).orderBy("__w_n")))
 
     left, right = rows.alias("l"), carried.alias("r")
     condition = F.col(f"l.{SEGMENT}") == F.col(f"r.{SEGMENT}")
@@ -171,27 +175,27 @@ def _segmented(
     joined = left.join(right, condition, "left")
 
     out: list[Column] = [F.col(f"l.{c}") for c in columns]
-    position = F.col("__n") + F.col("__before")
+    position = F.col("__w_n") + F.col("__w_before")
     for name, spec in metrics.items():
         function, n = spec["function"], int(spec.get("window", 1))
         if function == "row_number":
             value = position.cast("bigint")
         elif function == "rank":
-            same = F.struct(*[F.col(f"l.{c}") for c in order]).eqNullSafe(F.col("__first"))
-            value = (F.col("__tie") + F.col("__before") - F.when(same, F.col("__tied")).otherwise(0)).cast("bigint")
+            same = F.struct(*[F.col(f"l.{c}") for c in order]).eqNullSafe(F.col("__w_first"))
+            value = (F.col("__w_tie") + F.col("__w_before") - F.when(same, F.col("__w_tied")).otherwise(0)).cast("bigint")
         elif function == "lag":
-            size = F.size(f"__t_{name}")
-            value = F.when(F.col("__n") > n, F.col(f"__v_{name}")).otherwise(
-                F.get(F.col(f"__t_{name}"), size - n + F.col("__n") - 1)["v"]
+            size = F.size(f"__w_t_{name}")
+            value = F.when(F.col("__w_n") > n, F.col(f"__w_v_{name}")).otherwise(
+                F.get(F.col(f"__w_t_{name}"), size - n + F.col("__w_n") - 1)["v"]
             )
         elif function == "lead":
-            value = F.when(F.col("__n") + n <= F.col("__rows"), F.col(f"__v_{name}")).otherwise(
-                F.get(F.col(f"__t_{name}"), (F.col("__n") + n - F.col("__rows") - 1).cast("int"))["v"]
+            value = F.when(F.col("__w_n") + n <= F.col("__w_rows"), F.col(f"__w_v_{name}")).otherwise(
+                F.get(F.col(f"__w_t_{name}"), (F.col("__w_n") + n - F.col("__w_rows") - 1).cast("int"))["v"]
             )
         else:
             i = sums.index(spec["column"])
-            total = F.coalesce(F.col(f"__s{i}"), _zero(df, spec["column"])) + F.coalesce(F.col(f"__bs{i}"), _zero(df, spec["column"]))
-            seen = F.col(f"__c{i}") + F.col(f"__bc{i}")
+            total = F.coalesce(F.col(f"__w_s{i}"), _zero(df, spec["column"])) + F.coalesce(F.col(f"__w_bs{i}"), _zero(df, spec["column"]))
+            seen = F.col(f"__w_c{i}") + F.col(f"__w_bc{i}")
             value = total.cast("double") if function == "running_sum" else F.when(seen > 0, total.cast("double") / seen)
         out.append(value.alias(name))
     return joined.select(*out)
@@ -202,44 +206,44 @@ def _carry(
 ) -> DataFrame:
     """One row per group and segment with what the group's other segments contribute."""
     inner = [*keys, SEGMENT]
-    aggregates = [F.count(F.lit(1)).alias("__rows")]
+    aggregates = [F.count(F.lit(1)).alias("__w_rows")]
     for i, c in enumerate(sums):
-        aggregates += [F.sum(_summable(placed, c)).alias(f"__ps{i}"), F.count(_summable(placed, c)).alias(f"__pc{i}")]
+        aggregates += [F.sum(_summable(placed, c)).alias(f"__w_ps{i}"), F.count(_summable(placed, c)).alias(f"__w_pc{i}")]
     summary = placed.groupBy(*inner).agg(*aggregates)
 
     by_segment = Window.partitionBy(*keys).orderBy(SEGMENT)
     earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
-    carried: dict[str, Column] = {"__before": F.coalesce(F.sum("__rows").over(earlier), F.lit(0))}
+    carried: dict[str, Column] = {"__w_before": F.coalesce(F.sum("__w_rows").over(earlier), F.lit(0))}
     for i, _ in enumerate(sums):
-        carried[f"__bs{i}"] = F.sum(f"__ps{i}").over(earlier)
-        carried[f"__bc{i}"] = F.coalesce(F.sum(f"__pc{i}").over(earlier), F.lit(0))
+        carried[f"__w_bs{i}"] = F.sum(f"__w_ps{i}").over(earlier)
+        carried[f"__w_bc{i}"] = F.coalesce(F.sum(f"__w_pc{i}").over(earlier), F.lit(0))
 
     if with_rank:
-        per_value = placed.groupBy(*inner, *order).agg(F.count(F.lit(1)).alias("__k"))
+        per_value = placed.groupBy(*inner, *order).agg(F.count(F.lit(1)).alias("__w_k"))
         ordered = F.struct(*order)
         ends = per_value.groupBy(*inner).agg(
-            F.min(ordered).alias("__first"), F.max(ordered).alias("__last"), F.max_by("__k", ordered).alias("__at_last")
+            F.min(ordered).alias("__w_first"), F.max(ordered).alias("__w_last"), F.max_by("__w_k", ordered).alias("__w_at_last")
         )
         summary = _join_inner(summary, ends, inner)
-        run = Window.partitionBy(*keys, "__last").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        summary = summary.withColumn("__run", F.sum("__at_last").over(run))
-        same = F.lag("__last").over(by_segment).eqNullSafe(F.col("__first"))
-        carried["__tied"] = F.when(same, F.lag("__run").over(by_segment)).otherwise(0)
+        run = Window.partitionBy(*keys, "__w_last").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summary = summary.withColumn("__w_run", F.sum("__w_at_last").over(run))
+        same = F.lag("__w_last").over(by_segment).eqNullSafe(F.col("__w_first"))
+        carried["__w_tied"] = F.when(same, F.lag("__w_run").over(by_segment)).otherwise(0)
 
     for name, spec in shifts.items():
         n, lag = int(spec.get("window", 1)), spec["function"] == "lag"
         sides = [F.col(c).desc_nulls_last() if lag else F.col(c).asc_nulls_first() for c in [*order, *tie]]
         sides.append(F.col(SERIAL).desc() if lag else F.col(SERIAL).asc())
         edge = (
-            placed.withColumn("__e", F.row_number().over(Window.partitionBy(*inner).orderBy(*sides)))
-            .where(F.col("__e") <= n)
+            placed.withColumn("__w_e", F.row_number().over(Window.partitionBy(*inner).orderBy(*sides)))
+            .where(F.col("__w_e") <= n)
             .groupBy(*inner)
-            .agg(F.sort_array(F.collect_list(F.struct((F.col("__e") * (-1 if lag else 1)).alias("e"), F.col(spec["column"]).alias("v")))).alias(f"__e_{name}"))
+            .agg(F.sort_array(F.collect_list(F.struct((F.col("__w_e") * (-1 if lag else 1)).alias("e"), F.col(spec["column"]).alias("v")))).alias(f"__w_e_{name}"))
         )
         summary = _join_inner(summary, edge, inner)
         near = by_segment.rowsBetween(-n, -1) if lag else by_segment.rowsBetween(1, n)
-        joined = F.flatten(F.collect_list(f"__e_{name}").over(near))
-        carried[f"__t_{name}"] = joined
+        joined = F.flatten(F.collect_list(f"__w_e_{name}").over(near))
+        carried[f"__w_t_{name}"] = joined
     return summary.withColumns(carried)
 
 

@@ -227,6 +227,6 @@ def stream_batches(spark: SparkSession, sf: str) -> DataFrame:
     """CSV files read as a stream of bounded batches; together they are the whole table."""
     folder = scratch_path(spark, "batches")
     rows = load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderpriority")
-    files.write_files(rows.repartition(3), folder, "csv")
-    stream = files.read_batches(spark, folder, rows.schema, files_per_batch=2)
+    files.write_files(rows, folder, "csv")
+    stream = files.read_batches(spark, folder, rows.schema, files_per_batch=1000)
     return runner.run_to_table(stream, "csv-batches").drop("batch")

@@ -31,6 +31,18 @@ TYPE_NAMES = {
     "list": (T.ArrayType,),
     "dict": (T.StructType, T.MapType),
 }
+# Message texts; {field} and the limits are filled in, {value} is the failed value.
+MESSAGES = {
+    "required": "Field '{field}' is required but missing or empty",
+    "type_check": "Field '{field}' expected {expected}, got {actual}",
+    "not_numeric": "Field '{field}' value '{value}' is not numeric",
+    "below": "Field '{field}' value {value} is below minimum {limit}",
+    "beyond": "Field '{field}' value {value} exceeds maximum {limit}",
+    "pattern": "Field '{field}' value '{value}' does not match pattern",
+    "enum_check": "Field '{field}' value '{value}' not in allowed values",
+    "custom": "Field '{field}': {text}",
+    "unique": "Field '{field}' value '{value}' is not unique",
+}
 
 
 @dataclass(frozen=True)
@@ -96,6 +108,13 @@ def from_schema(spec: Mapping[str, Mapping[str, Any]]) -> list[Rule]:
     return rules
 
 
+def _message(kind: str, shown: Column, **parts: object) -> Column:
+    """Text of a message with the failed value put in per row."""
+    before, _, after = MESSAGES[kind].partition("{value}")
+    texts = [F.lit(t.format(**parts)) for t in (before, after)]
+    return F.concat(texts[0], shown, texts[1]) if "{value}" in MESSAGES[kind] else texts[0]
+
+
 def _failure(df: DataFrame, rule: Rule, marker: str | None) -> Column:
     """Struct for a failed rule, null for a passed one. An absent column counts as null."""
     known = rule.name in df.columns
@@ -106,11 +125,11 @@ def _failure(df: DataFrame, rule: Rule, marker: str | None) -> Column:
     p = rule.params
     if rule.kind == "required":
         failed = value.isNull() | (strip(value) == "") if isinstance(kind, T.StringType) else value.isNull()
-        message = F.lit(f"Field '{rule.name}' is required but missing or empty")
+        message = _message("required", shown, field=rule.name)
     elif rule.kind == "type_check":
         good = isinstance(kind, TYPE_NAMES.get(p["expected"], (T.StringType,)))
         failed = F.lit(False) if good else value.isNotNull()
-        message = F.lit(f"Field '{rule.name}' expected {p['expected']}, got {kind.simpleString()}")
+        message = _message("type_check", shown, field=rule.name, expected=p["expected"], actual=kind.simpleString())
     elif rule.kind == "range_check":
         number = value.cast("double") if isinstance(kind, T.NumericType) else value.try_cast("double")
         low, high = p["low"], p["high"]
@@ -118,22 +137,22 @@ def _failure(df: DataFrame, rule: Rule, marker: str | None) -> Column:
         beyond = F.lit(False) if high is None else number > high
         failed = value.isNotNull() & (number.isNull() | below | beyond)
         message = (
-            F.when(number.isNull(), F.concat(F.lit(f"Field '{rule.name}' value '"), shown, F.lit("' is not numeric")))
-            .when(below, F.concat(F.lit(f"Field '{rule.name}' value "), shown, F.lit(f" is below minimum {low}")))
-            .otherwise(F.concat(F.lit(f"Field '{rule.name}' value "), shown, F.lit(f" exceeds maximum {high}")))
+            F.when(number.isNull(), _message("not_numeric", shown, field=rule.name))
+            .when(below, _message("below", shown, field=rule.name, limit=low))
+            .otherwise(_message("beyond", shown, field=rule.name, limit=high))
         )
     elif rule.kind == "pattern":
         failed = ~starts_with_pattern(value, p["regex"]) if isinstance(kind, T.StringType) else F.lit(False)
-        message = F.concat(F.lit(f"Field '{rule.name}' value '"), shown, F.lit("' does not match pattern"))
+        message = _message("pattern", shown, field=rule.name)
     elif rule.kind == "enum_check":
         failed = ~value.isin(*p["allowed"])
-        message = F.concat(F.lit(f"Field '{rule.name}' value '"), shown, F.lit("' not in allowed values"))
+        message = _message("enum_check", shown, field=rule.name)
     elif rule.kind == "custom":
         failed = value.isNotNull() & ~F.coalesce(p["check"](value), F.lit(False))
-        message = F.lit(f"Field '{rule.name}': {p['message']}")
+        message = _message("custom", shown, field=rule.name, text=p["message"])
     elif rule.kind == "unique":
         failed = value.isNotNull() & (F.col(marker) > 1)
-        message = F.concat(F.lit(f"Field '{rule.name}' value '"), shown, F.lit("' is not unique"))
+        message = _message("unique", shown, field=rule.name)
     elif rule.kind == "business":
         condition = p["condition"] if isinstance(p["condition"], Column) else p["condition"](df)
         failed = ~F.coalesce(condition, F.lit(False))

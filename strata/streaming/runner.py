@@ -108,11 +108,12 @@ def by_topic(routes: Mapping[str, Callable[[DataFrame], DataFrame]], out: str) -
 
 
 def progress(query: StreamingQuery) -> list[dict[str, object]]:
-    """Batches of a run: input rows, duration and the end offset of its source."""
+    """Batches of a run: input rows, duration, end offset and (where the source knows it) the lag behind the newest message."""
     return [
         {
             "batch": p["batchId"], "input_rows": p["numInputRows"], "duration_ms": p["durationMs"].get("triggerExecution"),
             "end_offset": p["sources"][0]["endOffset"] if p["sources"] else None,
+            "lag": (p["sources"][0].get("metrics") or {}).get("maxOffsetsBehindLatest") if p["sources"] else None,
         }
         for p in query.recentProgress
     ]
