@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.windows import HOT_ROWS, _tie_columns, window
+from strata.operators.windows import HOT_ROWS, _tie_columns, repeated_group_hashes, split_hot, window
 
 KEEP = ("first", "last", "none")
 # Texts longer than this are compared by their SHA-256 digest.
@@ -52,8 +52,19 @@ def top_n_per_group(df: DataFrame, group_by: Sequence[str], order: Sequence[obje
 
 
 def repeat_number(df: DataFrame, key: str, order_by: Sequence[str], name: str, tie_break: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Number the rows that share a non-null key 1, 2, 3 … in order; every row is kept."""
-    return window(df, [key], list(order_by), {name: {"function": "row_number"}}, tie_break, hot_rows)
+    """Number the rows that share a non-null key 1, 2, 3 … in order; every row is kept, null keys get 1.
+
+    Keys are counted first, which moves hashes only. As long as few rows have a repeated key, just
+    those are shuffled and sorted; all others pass through with number 1.
+    """
+    repeated = repeated_group_hashes(df.where(F.col(key).isNotNull()), [key])
+    if repeated is None:
+        return window(df, [key], list(order_by), {name: {"function": "row_number"}}, tie_break, hot_rows)
+    if not repeated:
+        return df.withColumn(name, F.lit(1))
+    some, rest = split_hot(df, [key], repeated)
+    numbered = window(some, [key], list(order_by), {name: {"function": "row_number"}}, tie_break, hot_rows)
+    return numbered.unionByName(rest.withColumn(name, F.lit(1)))
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:

@@ -67,6 +67,19 @@ def hot_group_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int) -> dict[
     return {r["h"]: r["count"] for r in rows}
 
 
+def repeated_group_hashes(df: DataFrame, keys: Sequence[str], max_share: float = 0.25) -> list[int] | None:
+    """Hashes of the groups with more than one row; None when those hold more than ``max_share`` of the
+    rows or are more than ``MAX_HOT_GROUPS``."""
+    counts = df.select(F.xxhash64(*keys).alias("h")).groupBy("h").count()
+    many = F.col("count") > 1
+    total, rows, groups = counts.agg(F.sum("count"), F.sum(F.when(many, F.col("count"))), F.count_if(many)).first()
+    if not groups:
+        return []
+    if groups > MAX_HOT_GROUPS or rows > total * max_share:
+        return None
+    return [r["h"] for r in counts.where(many).limit(MAX_HOT_GROUPS).collect()]
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], hashes: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """(hot rows, other rows). The list of hashes is bounded by ``MAX_HOT_GROUPS``, so it may be broadcast."""
     if not keys:

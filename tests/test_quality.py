@@ -36,6 +36,17 @@ def test_uniqueness_of_a_hot_value(spark):
     assert plain == split and {r[0] for r in split} == {str(i) for i in range(1, 30)}
 
 
+def test_uniqueness_with_many_repeated_values(spark, monkeypatch):
+    from strata.operators import windows
+
+    df = spark.createDataFrame([(i, i // 2 if i < 20 else i) for i in range(100)] + [(100, None), (101, None)], "id int, v int")
+    assert len(windows.repeated_group_hashes(df.where("v IS NOT NULL"), ["v"])) == 10
+    few = found(df, [rules.unique("v")])
+    monkeypatch.setattr(windows, "MAX_HOT_GROUPS", 3)
+    assert windows.repeated_group_hashes(df.where("v IS NOT NULL"), ["v"]) is None
+    assert few == found(df, [rules.unique("v")]) and {int(r[0]) for r in few} == set(range(1, 20, 2))
+
+
 def test_report(people):
     rule_list = [rules.required("first_name"), rules.enum_check("gender", ["M"], rules.WARNING), rules.required("gender", rules.INFO), rules.unique("patient_id")]
     assert one(rules.report(people, rule_list, ["id"])) == (4, 2, 2, 0.5, 2, 2)
