@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.windows import HOT_ROWS, _tie_columns, repeated_group_hashes, split_hot, window
+from strata.operators.windows import HOT_ROWS, repeated_group_hashes, split_hot, tie_columns, window
 
 KEEP = ("first", "last", "none")
 # Texts longer than this are compared by their SHA-256 digest.
@@ -38,7 +38,7 @@ def deduplicate(df: DataFrame, key_columns: Sequence[str], order_by: Sequence[st
         raise ValueError(f"keep must be one of {KEEP}")
     if not key_columns:
         return df
-    order = [*order_by, *_tie_columns(df, [*key_columns, *order_by])]
+    order = [*order_by, *tie_columns(df, [*key_columns, *order_by])]
     sides = [F.col(c).desc_nulls_last() if keep == "last" else F.col(c).asc_nulls_first() for c in order] or [F.lit(1)]
     keys = [compact_key(df, c) for c in key_columns]
     ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*sides)))
@@ -46,7 +46,7 @@ def deduplicate(df: DataFrame, key_columns: Sequence[str], order_by: Sequence[st
 
 
 def top_n_per_group(df: DataFrame, group_by: Sequence[str], order: Sequence[object], n: int, name: str = "rank_in_group") -> DataFrame:
-    """First ``n`` rows of each group; limited before the shuffle like :func:`deduplicate`."""
+    """First ``n`` rows of each group; limited before the shuffle like :func:`deduplicate` (by Spark's default, for n up to 1000)."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group_by).orderBy(*order)))
     return ranked.where(F.col(name) <= n)
 

@@ -40,7 +40,7 @@ def _zero(df: DataFrame, name: str) -> Column:
     return F.lit(0).cast("double" if not isinstance(df.schema[name].dataType, (T.IntegralType, T.DecimalType)) else "bigint")
 
 
-def _tie_columns(df: DataFrame, used: Sequence[str]) -> list[str]:
+def tie_columns(df: DataFrame, used: Sequence[str]) -> list[str]:
     orderable = (T.AtomicType, T.StructType, T.ArrayType)
     return [f.name for f in df.schema.fields if f.name not in used and isinstance(f.dataType, orderable)]
 
@@ -111,7 +111,7 @@ def window(
         raise ValueError("column names must not start with __w_, which is kept for work columns")
     keys = list(partition_by)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    tie = _tie_columns(df, [*keys, *order]) if tie_break is None else list(tie_break)
+    tie = tie_columns(df, [*keys, *order]) if tie_break is None else list(tie_break)
     hot = hot_group_hashes(df, keys, hot_rows)
     if not hot:
         return _plain(df, keys, order, tie, metrics)

@@ -52,7 +52,7 @@ def date_dim(spark: SparkSession, sf: str) -> DataFrame:
     FROM events GROUP BY ALL""")
 def time_dim(spark: SparkSession, sf: str) -> DataFrame:
     """Events per row of the time dimension."""
-    events = load(spark, sf, "events").groupBy(star._time_slot("ts").alias("time_actual")).agg(F.count(F.lit(1)).alias("events"))
+    events = load(spark, sf, "events").groupBy(star.time_slot("ts").alias("time_actual")).agg(F.count(F.lit(1)).alias("events"))
     return dims.time_dimension(spark).join(events, "time_actual").select("time_sk", "time_actual", "hour_12", "am_pm", "time_of_day", "is_business_hours", "events")
 
 

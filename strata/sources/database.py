@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +12,23 @@ from strata.operators.transforms import drop_internal, project_to, rename
 WRITE_MODES = {"append": "append", "replace": "overwrite", "fail": "error"}
 
 
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
 def bind(query: str, params: Mapping[str, object] | None) -> str:
-    """Put literal values for ``:name`` marks; texts are quoted and their quotes doubled."""
-    for name, value in sorted((params or {}).items(), key=lambda p: -len(p[0])):
-        if value is None:
-            text = "NULL"
-        elif isinstance(value, bool):
-            text = "TRUE" if value else "FALSE"
-        elif isinstance(value, (int, float)):
-            text = repr(value)
-        else:
-            text = "'" + str(value).replace("'", "''") + "'"
-        query = query.replace(f":{name}", text)
-    return query
+    """Put literal values for ``:name`` marks; texts are quoted and their quotes doubled.
+
+    The query is read once, so a value is never searched for marks; ``::`` and unknown names stay.
+    """
+    values = params or {}
+    return re.sub(r"(?<!:):(\w+)", lambda m: _literal(values[m[1]]) if m[1] in values else m[0], query)
 
 
 def scan_options(url: str, query: str, params: Mapping[str, object] | None = None, chunk_size: int = 10_000, partition: tuple[str, object, object, int] | None = None, driver: str | None = None) -> dict[str, str]:

@@ -169,7 +169,7 @@ def fact_rows(resolved: DataFrame, fact: Fact, mapping: Mapping[str, str] | None
     return resolved.select(*out)
 
 
-def _time_slot(ts: str) -> Column:
+def time_slot(ts: str) -> Column:
     slot = F.floor(F.minute(ts) / DEFAULT_GRAIN) * DEFAULT_GRAIN
     return F.format_string("%02d:%02d:00", F.hour(ts), slot.cast("int"))
 
@@ -191,7 +191,7 @@ def build_health(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession)
         tables["dim_provider"] = first_load(data["providers"], dims["dim_provider"], as_of)
         links["provider_sk"] = ("dim_provider", F.col("provider_id").cast("string"))
     if encounters is not None:
-        links |= {"date_sk": ("dim_date", F.col("encounter_date").cast("date")), "time_sk": ("dim_time", _time_slot("encounter_date")), "encounter_type_sk": ("dim_encounter_type", F.col("encounter_type"))}
+        links |= {"date_sk": ("dim_date", F.col("encounter_date").cast("date")), "time_sk": ("dim_time", time_slot("encounter_date")), "encounter_type_sk": ("dim_encounter_type", F.col("encounter_type"))}
         tables[HEALTH.fact.name] = fact_rows(resolve(encounters, {n: (dims[n], t) for n, t in tables.items()}, links), HEALTH.fact)
     return tables
 
@@ -215,7 +215,7 @@ def build_finance(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession
     rows = resolve(rows, known, {
         "merchant_sk": ("dim_merchant", merchant_slug("merchant_name")),
         "date_sk": ("dim_date", F.col("transaction_date").cast("date")),
-        "time_sk": ("dim_time", _time_slot("transaction_date")),
+        "time_sk": ("dim_time", time_slot("transaction_date")),
     })
     tables[FINANCE.fact.name] = fact_rows(rows, FINANCE.fact)
     return tables
@@ -231,7 +231,7 @@ def build_tech(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -
     links = {
         "server_sk": ("dim_server", F.col("server_id").cast("string")),
         "date_sk": ("dim_date", F.col("timestamp").cast("date")),
-        "time_sk": ("dim_time", _time_slot("timestamp")),
+        "time_sk": ("dim_time", time_slot("timestamp")),
     }
     if "applications" in data:
         tables["dim_application"] = first_load(data["applications"], dims["dim_application"], as_of)

@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.session import scratch_path, shared_dir
@@ -58,6 +57,7 @@ def test_partitioned(spark, tmp_path):
 
 def test_database_options():
     assert database.bind("SELECT * FROM t WHERE a = :a AND b = :ab AND c = :c", {"a": "o'x", "ab": 2, "c": None}) == "SELECT * FROM t WHERE a = 'o''x' AND b = 2 AND c = NULL"
+    assert database.bind("a = :a AND b = x::int AND c = :zz", {"a": ":b", "b": 1}) == "a = ':b' AND b = x::int AND c = :zz"
     plain = database.scan_options("jdbc:x", "SELECT 1", chunk_size=50)
     assert plain == {"url": "jdbc:x", "fetchsize": "50", "query": "SELECT 1"}
     parted = database.scan_options("jdbc:x", "SELECT * FROM t", partition=("id", 0, 100, 8), driver="d")
