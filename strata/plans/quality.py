@@ -162,11 +162,11 @@ def profile_dataset(spark: SparkSession, sf: str) -> DataFrame:
       FROM a FULL JOIN b ON a.column_name = b.column_name) WHERE change IS NOT NULL""")
 def drift(spark: SparkSession, sf: str) -> DataFrame:
     """Orders before 1998 against all orders with another price type, more gaps, one column less and one more."""
-    before = profile.profile_columns(_profiled(spark, sf, "o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'"))
+    before = profile.profile_columns(_profiled(spark, sf, "o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'"), medians=False)
     changed = load(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.when(F.col("o_totalprice") > 100000, F.nullif(F.col("o_orderstatus"), F.lit("P"))).alias("status"),
         F.col("o_totalprice").cast("string").alias("o_totalprice"), "o_orderdate", "o_orderpriority")
-    return profile.drift(before, profile.profile_columns(changed))
+    return profile.drift(before, profile.profile_columns(changed, medians=False))
 
 
 @query("dataset_drift", """
@@ -233,7 +233,7 @@ def _monitor_rules() -> list[monitor.MonitorRule]:
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     orders = _profiled(spark, sf)
-    return monitor.metrics_frame(profile.profile_columns(orders), profile.profile_dataset(orders, "orders"), monitor.freshness(orders, "o_orderdate", "2001-09-01 00:00:00"))
+    return monitor.metrics_frame(profile.profile_columns(orders, medians=False), profile.profile_dataset(orders, "orders"), monitor.freshness(orders, "o_orderdate", "2001-09-01 00:00:00"))
 
 
 def _alert_rows(spark: SparkSession, sf: str) -> DataFrame:
