@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from strata import plans
 from strata.tables import TABLES
 from tools.check_queries import compare
 
@@ -30,14 +31,16 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("STRATA_ALL_QUERIES") else SAMPLE)
+@pytest.mark.parametrize("name", list(plans.QUERIES) if os.environ.get("STRATA_ALL_QUERIES") else SAMPLE)
 def test_query_matches_sql(spark, con, name):
     good, text = compare(spark, con, SF, name, QUERIES[name], SQL.get(name))
     assert good, text
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    plans.load_all()
+    assert set(plans.ORACLES) == set(plans.QUERIES) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES)
 
 
 def test_entry(spark):
