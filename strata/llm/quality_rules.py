@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the rules are learned from; the least hashes of their ids.
-LABELLED_ROWS = 4_000
+LABELLED_ROWS = 10_000
 #: Learning by sequential covering: rules, conditions of a rule, thresholds tried per statistic, rows that a rule covers at least, share of bad rows among those it covers.
 MAX_RULES, MAX_CONDITIONS, THRESHOLDS, MIN_COVER, MIN_PRECISION = 24, 3, 24, 8, 0.95
 #: Words of the learned list of words that stand in toxic documents only, and documents that must have one.
-FLAGGED_WORDS, FLAGGED_DOCUMENTS = 64, 8
+FLAGGED_WORDS, FLAGGED_DOCUMENTS = 128, 5
 
 SPACE = "\\x20\\x09-\\x0D"
 SPACES = " \t\n\x0b\x0c\r"
@@ -196,18 +196,12 @@ def learn(documents: DataFrame, labels: DataFrame, *, limit: int = LABELLED_ROWS
     marks = spark.createDataFrame(rows, "doc_id long, low boolean, toxic boolean")
     known = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
     # one word each of documents that are toxic, and of no other, by the number of documents
-    words = known.select("doc_id", "toxic", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+"))).alias("word"))
+    words = known.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+"))).alias("word"))
     found = (
-        words.where("length(word) > 2").groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"), F.collect_list(F.when(F.col("toxic"), F.col("doc_id"))).alias("ids"))
-        .where((F.col("a") >= FLAGGED_DOCUMENTS) & (F.col("b") * 50 <= F.col("a"))).orderBy(F.desc("a"), "word").limit(4 * FLAGGED_WORDS).collect()
+        words.where("length(word) > 2").groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+        .where((F.col("a") >= FLAGGED_DOCUMENTS) & (F.col("b") * 50 <= F.col("a"))).orderBy(F.desc("a"), "word").limit(FLAGGED_WORDS).collect()
     )
-    flagged, covered = [], set()
-    while found and len(flagged) < FLAGGED_WORDS:  # words that explain toxic documents no earlier word does
-        best = max(found, key=lambda r: (len(set(r.ids) - covered), r.word))
-        if len(set(best.ids) - covered) < FLAGGED_DOCUMENTS:
-            break
-        flagged.append(best.word)
-        covered |= set(best.ids)
+    flagged = [r.word for r in found]
     order = statistics(known, flagged).select("doc_id", (F.col("low") | F.col("toxic")).alias("bad"), *[F.col("stats")[f].cast("double").alias(f) for f in FEATURES]) \
         .orderBy(F.xxhash64("doc_id"), *FEATURES).limit(2 * limit).collect()
     return DecisionList(learn_list([{f: r[f] for f in FEATURES} for r in order], [r.bad for r in order]), flagged)
