@@ -31,12 +31,12 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _words(text: Column) -> Column:
+def words(text: Column) -> Column:
     bare = F.trim(text, F.lit(SPACES))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
 
 
-def _repeated(words: Column, width: int = 5) -> Column:
+def _repeated(own: Column, width: int = 5) -> Column:
     """Words inside windows of ``width`` words that stand in the array twice or more."""
     def covered(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -45,8 +45,8 @@ def _repeated(words: Column, width: int = 5) -> Column:
         widths = _let(places, lambda p: F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(width), F.get(p, k + 1) - x), F.lit(width))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(F.aggregate(widths, F.lit(0), lambda a, x: a + x))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))
-    return F.when(F.size(words) <= width, F.lit(0)).otherwise(_let(hashes, covered))
+    hashes = F.transform(F.sequence(F.lit(1), F.size(own) - (width - 1)), lambda i: F.xxhash64(F.slice(own, i, width)))
+    return F.when(F.size(own) <= width, F.lit(0)).otherwise(_let(hashes, covered))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -65,7 +65,7 @@ def statistics(documents: DataFrame, flagged: list[str] | None = None) -> DataFr
     kept = [F.col(f"`{c}`") for c in documents.columns]
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
     has = F.arrays_overlap(F.split(F.lower(text), "[^\\p{L}\\p{M}\\p{N}]+"), F.array(*[F.lit(w) for w in flagged])) if flagged else F.lit(False)
-    step = documents.select(*kept, _words(text).alias("__w"), lines.alias("__l"))
+    step = documents.select(*kept, words(text).alias("__w"), lines.alias("__l"))
     n = F.size("__w")
     counts = step.select(*kept, F.struct(
         n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
@@ -196,9 +196,9 @@ def learn(documents: DataFrame, labels: DataFrame, *, limit: int = LABELLED_ROWS
     marks = spark.createDataFrame(rows, "doc_id long, low boolean, toxic boolean")
     known = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
     # one word each of documents that are toxic, and of no other, by the number of documents
-    words = known.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+"))).alias("word"))
+    standing = known.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+"))).alias("word"))
     found = (
-        words.where("length(word) > 2").groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+        standing.where("length(word) > 2").groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
         .where((F.col("a") >= FLAGGED_DOCUMENTS) & (F.col("b") * 50 <= F.col("a"))).orderBy(F.desc("a"), "word").limit(FLAGGED_WORDS).collect()
     )
     flagged = [r.word for r in found]
