@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strata.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from strata.llm import debruijn_dedup, decontaminate, mixing, quality_rules, sharding, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup.digest(table(spark, sf_dir, "documents"))
