@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strata.llm import debruijn_dedup, decontaminate, maxent_lm, mixing, quality_rules, sharding, simhash, suffix_dedup
+from strata.llm import debruijn_dedup, decontaminate, line_dedup, maxent_lm, mixing, quality_rules, sharding, simhash, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,16 @@ def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_line_dedup"] = line_dedup.SQL
