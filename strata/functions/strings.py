@@ -12,11 +12,13 @@ NULL_TOKENS = ("", "NULL", "null", "None", "N/A", "n/a", "NA")
 # Output prefix of each mask kind; the last four characters follow.
 MASK_PREFIXES = {"phone": "***-***-", "ssn": "***-**-", "credit_card": "****-****-****-"}
 REDACTED = "[REDACTED]"
+# White space of any alphabet, and the four separators that count as white space.
+SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 
 def strip(value: ColumnLike) -> Column:
     """Remove white space of any kind from both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(as_col(value), r"^\s+|\s+$", "")
+    return F.regexp_replace(as_col(value), rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def null_if_token(value: ColumnLike, tokens: tuple[str, ...] | list[str] = NULL_TOKENS) -> Column:
@@ -26,7 +28,7 @@ def null_if_token(value: ColumnLike, tokens: tuple[str, ...] | list[str] = NULL_
 
 def clean_string(value: ColumnLike) -> Column:
     """Strip, then squeeze inner white space to one blank; null becomes the empty text."""
-    return F.coalesce(F.regexp_replace(strip(value), r"\s+", " "), F.lit(""))
+    return F.coalesce(F.regexp_replace(strip(value), rf"{SPACE}+", " "), F.lit(""))
 
 
 def title_case(value: ColumnLike) -> Column:
@@ -89,6 +91,12 @@ def surrogate_hash(*columns: ColumnLike) -> Column:
     return F.left(F.md5(F.concat_ws("|", *parts)), F.lit(16))
 
 
+def row_hash(*columns: ColumnLike) -> Column:
+    """All 32 hex digits of the digest that ``surrogate_hash`` takes 16 of."""
+    parts = [F.coalesce(as_col(c).cast("string"), F.lit("None")) for c in columns]
+    return F.md5(F.concat_ws("|", *parts))
+
+
 def natural_key(*columns: ColumnLike) -> Column:
     parts = [F.coalesce(as_col(c).cast("string"), F.lit("")) for c in columns]
     return F.concat_ws("|", *parts)

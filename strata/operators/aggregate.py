@@ -67,7 +67,7 @@ def aggregate(
     order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Filter, group, aggregate, filter again. Null keys form a group; no keys over no rows give no row."""
-    source = df.where(filter_condition(filters)) if filters else df
+    source = df.where(filter_condition(filters, df.schema)) if filters else df
     columns = [metric(source, spec, order_by).alias(name) for name, spec in metrics.items()]
     if group_by:
         result = source.groupBy(*group_by).agg(*columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.windows import HOT_ROWS, repeated_group_hashes, split_hot, tie_columns, window
+from strata.operators.windows import HOT_ROWS, hot_groups, split_hot, tie_columns, window
 
 KEEP = ("first", "last", "none")
 # Texts longer than this are compared by their SHA-256 digest.
@@ -21,7 +21,7 @@ def compact_key(df: DataFrame, name: str) -> Column:
     Digests carry a mark that makes them longer than any short text, so the two cannot meet. A long
     text that is only compared, and not part of the result, then never leaves its map task.
     """
-    value = F.col(name)
+    value = F.col("`" + name.replace("`", "``") + "`")
     if not isinstance(df.schema[name].dataType, T.StringType):
         return value
     return F.when(F.length(value) > DIGEST_ABOVE, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
@@ -54,26 +54,26 @@ def top_n_per_group(df: DataFrame, group_by: Sequence[str], order: Sequence[obje
 def repeat_number(df: DataFrame, key: str, order_by: Sequence[str], name: str, tie_break: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number the rows that share a non-null key 1, 2, 3 … in order; every row is kept, null keys get 1.
 
-    Keys are counted first, which moves hashes only. As long as few rows have a repeated key, just
-    those are shuffled and sorted; all others pass through with number 1.
+    Keys are counted first, which moves hashes only. Just the rows with a repeated key are shuffled and
+    sorted; all others, and the rows without a key, pass through with number 1.
     """
-    repeated = repeated_group_hashes(df.where(F.col(key).isNotNull()), [key])
+    present, absent = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull()).withColumn(name, F.lit(1))
+    repeated, _ = hot_groups(present, [key], 1)
     if repeated is None:
-        return window(df, [key], list(order_by), {name: {"function": "row_number"}}, tie_break, hot_rows)
-    if not repeated:
         return df.withColumn(name, F.lit(1))
-    some, rest = split_hot(df, [key], repeated)
+    some, rest = split_hot(present, [key], repeated)
     numbered = window(some, [key], list(order_by), {name: {"function": "row_number"}}, tie_break, hot_rows)
-    return numbered.unionByName(rest.withColumn(name, F.lit(1)))
+    return numbered.unionByName(rest.withColumn(name, F.lit(1))).unionByName(absent)
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """Rows, distinct rows and surplus copies of whole rows.
 
-    Rows are compared by a digest over all their columns in text form, so only digests are shuffled,
-    and copies are counted before that.
+    Rows are compared by a digest over all their columns in text form, times to the microsecond, so
+    only digests are shuffled, and copies are counted before that.
     """
-    whole = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    whole = F.sha2(F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]), exact), 256)
     copies = df.groupBy(whole.alias("row")).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),

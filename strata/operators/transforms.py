@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions import casts, strings
+from strata.functions.predicates import matches, threshold
 from strata.operators.joins import lookup
 
 
@@ -133,20 +134,20 @@ def field_errors(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> Colum
         if expected in RULE_TYPES and not isinstance(kind, RULE_TYPES[expected]):
             fail(name, expected, value.isNotNull())
         if "min" in rule:
-            fail(name, "min", value < F.lit(rule["min"]), rule["min"])
+            fail(name, "min", value.isNotNull() & ~threshold(value, "gte", rule["min"]), rule["min"])
         if "max" in rule:
-            fail(name, "max", value > F.lit(rule["max"]), rule["max"])
+            fail(name, "max", value.isNotNull() & ~threshold(value, "lte", rule["max"]), rule["max"])
         if "pattern" in rule and isinstance(kind, T.StringType):
             fail(name, "pattern", ~starts_with_pattern(value, rule["pattern"]), rule["pattern"])
         if "enum" in rule:
-            fail(name, "enum", ~value.isin(*rule["enum"]), list(rule["enum"]))
+            fail(name, "enum", value.isNotNull() & ~matches(value, [a for a in rule["enum"] if a is not None], kind), list(rule["enum"]))
     return strings.present_items(*items) if items else F.array().cast("array<string>")
 
 
 def starts_with_pattern(value: Column, pattern: str) -> Column:
-    """True when the pattern matches at the start of the text (the end is free)."""
+    """True when the pattern matches at the start of the text (the end is free); its classes cover all alphabets."""
     re.compile(pattern)
-    return value.rlike(f"^(?:{pattern})")
+    return value.rlike(f"(?U)^(?:{pattern})")
 
 
 def validate(df: DataFrame, rules: Mapping[str, Mapping[str, Any]], reject_invalid: bool = False) -> DataFrame:

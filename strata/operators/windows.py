@@ -1,7 +1,7 @@
 """Window metrics that also hold when one group is far larger than a task can sort.
 
 Groups are counted first (one aggregate over a 64-bit hash of the group key). If none is larger than
-``hot_rows``, an ordinary Spark window does the work. Rows of larger groups are instead range-partitioned
+``hot_rows``, an ordinary Spark window does the work; both ways give the same values. Rows of larger groups are instead range-partitioned
 by group and order into many segments, written once to the checkpoint folder, windowed inside their
 segment and completed with what the earlier (or later) segments of the group carry over. The carried
 rows are one per group and segment, so they stay small whatever the size of the group.
@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.session import shared_dir
+from strata.session import scratch_path, shared_dir
 
 HOT_ROWS = 2_000_000
-MAX_HOT_GROUPS = 20_000
-MAX_SEGMENTS = 20_000
+NUMBERED_ROWS = 250_000
 
 SEGMENT, SERIAL = "__w_segment", "__w_serial"
 OFFSET_FUNCTIONS = ("lag", "lead")
@@ -29,20 +28,34 @@ FUNCTIONS = ("row_number", "rank", *OFFSET_FUNCTIONS, *SUM_FUNCTIONS)
 
 
 def _summable(df: DataFrame, name: str) -> Column:
-    """Whole numbers and decimals are summed exactly, everything else as double."""
+    """Whole numbers and decimals as they are, everything else as a decimal of ten places.
+
+    All sums are exact, so they do not depend on how a group is split. Values that do not fit (texts that
+    are no numbers, not-a-number, beyond 10^27) are skipped like nulls.
+    """
     kind = df.schema[name].dataType
     if isinstance(kind, (T.IntegralType, T.DecimalType)):
         return F.col(name)
-    return F.col(name).try_cast("double")
+    return F.col(name).try_cast("double").try_cast("decimal(38,10)")
 
 
-def _zero(df: DataFrame, name: str) -> Column:
-    return F.lit(0).cast("double" if not isinstance(df.schema[name].dataType, (T.IntegralType, T.DecimalType)) else "bigint")
+def _sum_type(df: DataFrame, name: str) -> T.DataType:
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return T.LongType()
+    return T.DecimalType(min(37, kind.precision + 10), kind.scale) if isinstance(kind, T.DecimalType) else T.DecimalType(37, 10)
 
 
 def tie_columns(df: DataFrame, used: Sequence[str]) -> list[str]:
-    orderable = (T.AtomicType, T.StructType, T.ArrayType)
-    return [f.name for f in df.schema.fields if f.name not in used and isinstance(f.dataType, orderable)]
+    return [f.name for f in df.schema.fields if f.name not in used and _orderable(f.dataType)]
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType)
 
 
 def _check(metrics: Mapping[str, Mapping[str, Any]]) -> None:
@@ -51,45 +64,25 @@ def _check(metrics: Mapping[str, Mapping[str, Any]]) -> None:
             raise ValueError(f"window metric {name!r}: function must be one of {FUNCTIONS}")
 
 
-def hot_group_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int) -> dict[int, int]:
-    """Hash and size of the groups above ``hot_rows``, at most ``MAX_HOT_GROUPS`` of them (the largest).
-
-    A group that does not fit in the list any more holds less than one in ``MAX_HOT_GROUPS`` of all rows.
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Table of the hashes of all groups above ``hot_rows`` and the rows they hold; (None, 0) when there are none.
 
     Groups are told apart by hash only. Two groups with one hash travel together, which costs time
     but changes no result, because the rows are later grouped by their real keys.
     """
-    hashed = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
-    rows = (
-        df.select(hashed.alias("h")).groupBy("h").count().where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count")).limit(MAX_HOT_GROUPS).collect()
-    )
-    return {r["h"]: r["count"] for r in rows}
-
-
-def repeated_group_hashes(df: DataFrame, keys: Sequence[str], max_share: float = 0.25) -> list[int] | None:
-    """Hashes of the groups with more than one row; None when those hold more than ``max_share`` of the
-    rows or are more than ``MAX_HOT_GROUPS``."""
-    counts = df.select(F.xxhash64(*keys).alias("h")).groupBy("h").count()
-    many = F.col("count") > 1
-    total, rows, groups = counts.agg(F.sum("count"), F.sum(F.when(many, F.col("count"))), F.count_if(many)).first()
-    if not groups:
-        return []
-    if groups > MAX_HOT_GROUPS or rows > total * max_share:
-        return None
-    return [r["h"] for r in counts.where(many).limit(MAX_HOT_GROUPS).collect()]
+    counts = df.select(F.xxhash64(*keys).alias("__w_hot")).groupBy("__w_hot").count().where(F.col("count") > hot_rows)
+    path = scratch_path(df.sparkSession, "hot-groups")
+    counts.write.parquet(path)
+    listed = df.sparkSession.read.schema("`__w_hot` bigint, `count` bigint").parquet(path)
+    rows = listed.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return (listed.select("__w_hot"), rows) if rows else (None, 0)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hashes: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """(hot rows, other rows). The list of hashes is bounded by ``MAX_HOT_GROUPS``, so it may be broadcast."""
-    if not keys:
-        return df, df.where(F.lit(False))
-    listed = df.sparkSession.createDataFrame([(h,) for h in hashes], "`__w_hot` bigint")
+def split_hot(df: DataFrame, keys: Sequence[str], listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the listed groups, other rows). Spark broadcasts the list where it has measured it to be small."""
     tagged = df.withColumn("__w_hash", F.xxhash64(*keys))
     condition = tagged["__w_hash"] == listed["__w_hot"]
-    hot = tagged.join(F.broadcast(listed), condition, "left_semi").drop("__w_hash")
-    rest = tagged.join(F.broadcast(listed), condition, "left_anti").drop("__w_hash")
-    return hot, rest
+    return tagged.join(listed, condition, "left_semi").drop("__w_hash"), tagged.join(listed, condition, "left_anti").drop("__w_hash")
 
 
 def window(
@@ -99,12 +92,14 @@ def window(
     metrics: Mapping[str, Mapping[str, Any]],
     tie_break: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add window metrics ``{name: {"function", "column", "window"}}``.
 
     Ascending order, nulls first. ``tie_break`` (default: all other columns) makes the order total;
     pass ``[]`` when ``order_by`` is unique. ``rank`` follows SQL and ignores the tie-breakers.
     Running sums start from 0 and skip nulls; running averages are null before the first value.
+    ``rows`` saves counting the rows where there are no groups.
     """
     _check(metrics)
     if any(c.startswith("__w_") for c in df.columns):
@@ -112,17 +107,20 @@ def window(
     keys = list(partition_by)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     tie = tie_columns(df, [*keys, *order]) if tie_break is None else list(tie_break)
-    hot = hot_group_hashes(df, keys, hot_rows)
-    if not hot:
+    if not keys:
+        rows = df.count() if rows is None else rows
+        return _segmented(df, keys, order, tie, metrics, -(-rows // hot_rows)) if rows > hot_rows else _plain(df, keys, order, tie, metrics)
+    listed, rows = hot_groups(df, keys, hot_rows)
+    if listed is None:
         return _plain(df, keys, order, tie, metrics)
-    hot_part, rest = split_hot(df, keys, list(hot))
-    segments = min(MAX_SEGMENTS, max(2, -(-sum(hot.values()) // hot_rows)))
-    done = _segmented(hot_part, keys, order, tie, metrics, segments)
-    return done if not keys else _plain(rest, keys, order, tie, metrics).unionByName(done)
+    hot_part, rest = split_hot(df, keys, listed)
+    done = _segmented(hot_part, keys, order, tie, metrics, max(2, -(-rows // hot_rows)))
+    return _plain(rest, keys, order, tie, metrics).unionByName(done)
 
 
 def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number", **kwargs: Any) -> DataFrame:
-    """Dense numbers 1, 2, 3 … over the whole table without sorting it in one task."""
+    """Dense numbers 1, 2, 3 … over the whole table; a task sorts at most ``NUMBERED_ROWS`` whole rows."""
+    kwargs.setdefault("hot_rows", NUMBERED_ROWS)
     return window(df, [], order_by, {name: {"function": "row_number"}}, **kwargs)
 
 
@@ -145,8 +143,9 @@ def _expression(df: DataFrame, spec: Mapping[str, Any], total: Any, ranked: Any)
     frame = total.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     value = _summable(df, column)
     if function == "running_sum":
-        return F.coalesce(F.sum(value).over(frame), _zero(df, column)).cast("double")
-    return F.avg(value).over(frame).cast("double")
+        return F.coalesce(F.sum(value).over(frame).cast("double"), F.lit(0.0))
+    seen = F.count(value).over(frame)
+    return F.when(seen > 0, F.sum(value).over(frame).cast("double") / seen)
 
 
 def _segmented(
@@ -207,7 +206,8 @@ def _segmented(
             )
         else:
             i = sums.index(spec["column"])
-            total = F.coalesce(F.col(f"__w_s{i}"), _zero(df, spec["column"])) + F.coalesce(F.col(f"__w_bs{i}"), _zero(df, spec["column"]))
+            kind = _sum_type(df, spec["column"])  # one digit less before the point, so that the sum keeps all behind it
+            total = F.coalesce(F.col(f"__w_s{i}").cast(kind), F.lit(0).cast(kind)) + F.coalesce(F.col(f"__w_bs{i}").cast(kind), F.lit(0).cast(kind))
             seen = F.col(f"__w_c{i}") + F.col(f"__w_bc{i}")
             value = total.cast("double") if function == "running_sum" else F.when(seen > 0, total.cast("double") / seen)
         out.append(value.alias(name))

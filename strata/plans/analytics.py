@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import aggregate as agg
 from strata.operators import dedup, pivot, quantiles, windows
-from strata.plans.registry import query
+from strata.plans.registry import ORACLES, query
 from strata.quality import profile
 from strata.tables import load, view, with_views
 
@@ -127,7 +127,7 @@ def window_rank_lag_lead(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("window_running", """
-    SELECT o_orderkey, CAST(coalesce(sum(price) OVER w, 0) AS DOUBLE) AS running_sum, round(avg(CAST(price AS DOUBLE)) OVER w, 6) AS running_avg
+    SELECT o_orderkey, CAST(coalesce(sum(price) OVER w, 0) AS DOUBLE) AS running_sum, CAST(sum(price) OVER w AS DOUBLE) / nullif(count(price) OVER w, 0) AS running_avg
     FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS price FROM orders)
     WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def window_running(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +135,16 @@ def window_running(spark: SparkSession, sf: str) -> DataFrame:
     result = windows.window(orders, ["o_custkey"], "o_orderdate", {
         "running_sum": {"function": "running_sum", "column": "price"}, "running_avg": {"function": "running_avg", "column": "price"},
     }, tie_break=["o_orderkey"])
-    return result.select("o_orderkey", "running_sum", F.round("running_avg", 6).alias("running_avg"))
+    return result.select("o_orderkey", "running_sum", "running_avg")
+
+
+@query("window_running_split", ORACLES["window_running"].replace("PARTITION BY o_custkey", "PARTITION BY o_orderpriority"))
+def window_running_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Running sums and means of doubles over groups that are split into many segments: the same as over whole ones."""
+    orders = load(spark, sf, "orders").withColumn("price", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+    return windows.window(orders, ["o_orderpriority"], "o_orderdate", {
+        "running_sum": {"function": "running_sum", "column": "price"}, "running_avg": {"function": "running_avg", "column": "price"},
+    }, tie_break=["o_orderkey"], hot_rows=100).select("o_orderkey", "running_sum", "running_avg")
 
 
 @query("window_split_group", """
@@ -219,9 +228,12 @@ def dedup_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("duplicate_rows", """
     SELECT CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
-    FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag, l_linestatus)""")
+    FROM (SELECT count(*) AS n FROM (SELECT * FROM events UNION ALL SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 MICROSECOND ELSE ts END AS ts) FROM events) GROUP BY event_id, ts, user_id, event_type, value, props)""")
 def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.duplicate_summary(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    """Events and their copies, every third of which is a microsecond later and so another row."""
+    events = load(spark, sf, "events")
+    moved = events.withColumn("ts", F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 0.000001 SECOND")).otherwise(F.col("ts")))
+    return dedup.duplicate_summary(events.unionByName(moved))
 
 
 @query("derived_dimension", with_views("transactions") + """

@@ -119,10 +119,10 @@ def overview(spark: SparkSession, sf: str) -> DataFrame:
 
 _STG_P = r"""SELECT patient_id, 'Customer' AS first_name, last_name, first_name || ' ' || last_name AS full_name, date_of_birth, gender, NULL::VARCHAR AS blood_type, city, state, NOT is_deceased AS is_active FROM patients"""
 _STG_E = "SELECT encounter_id, patient_id, provider_id, encounter_type, encounter_date, total_charges, 0 AS diagnosis_count FROM encounters"
-# Only the larger encounters are taken for the models, so that some patients have none.
-_LARGE = "total_charges > 300000"
+# The encounters of every third patient go to a patient that does not exist, so that some patients have none.
+_STRAY = "CASE WHEN patient_id % 3 = 0 THEN -patient_id ELSE patient_id END"
 _INT_P = f"""SELECT p.*, coalesce(n, 0) AS encounter_count, coalesce(c, 0)::DOUBLE AS total_charges FROM ({_STG_P}) p
-    LEFT JOIN (SELECT patient_id AS pid, count(*) AS n, sum({_money('total_charges')}) AS c FROM ({_STG_E}) WHERE {_LARGE} GROUP BY patient_id) ON p.patient_id = pid"""
+    LEFT JOIN (SELECT {_STRAY} AS pid, count(*) AS n, sum({_money('total_charges')}) AS c FROM ({_STG_E}) GROUP BY 1) ON p.patient_id = pid"""
 _HEALTH = with_views("patients", "encounters")
 
 
@@ -138,7 +138,7 @@ def stg_encounters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("int_patient_encounters", _HEALTH + _INT_P)
 def int_patient_encounters(spark: SparkSession, sf: str) -> DataFrame:
-    return marts.int_patient_encounters(stg_patients(spark, sf), stg_encounters(spark, sf).where(_LARGE))
+    return marts.int_patient_encounters(stg_patients(spark, sf), stg_encounters(spark, sf).withColumn("patient_id", F.expr(_STRAY)))
 
 
 @query("mart_patient_summary", _HEALTH + f"""

@@ -68,11 +68,11 @@ def advisee_links(spark: SparkSession, sf: str) -> DataFrame:
     return records.advisee_links(view(spark, sf, "advised"))
 
 
-@query("advisee_lists", _STUDENTS + """
-    SELECT advisor, any_value(n) AS advisee_count, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS advisees FROM (
-      SELECT advisor, id, row_number() OVER (PARTITION BY advisor ORDER BY id) AS place, count(*) OVER (PARTITION BY advisor) AS n FROM advised) WHERE place <= 100 GROUP BY advisor""")
+@query("advisee_lists", _STUDENTS + f"""
+    SELECT advisor, place // {records.PAGE_SIZE} + 1 AS page, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS advisees
+    FROM (SELECT advisor, id, row_number() OVER (PARTITION BY advisor ORDER BY id) - 1 AS place FROM advised) GROUP BY ALL""")
 def advisee_lists(spark: SparkSession, sf: str) -> DataFrame:
-    lists = records.advisee_lists(view(spark, sf, "advised"))
+    lists = records.advisee_lists(view(spark, sf, "advised"), hot_rows=50)
     return lists.withColumn("advisees", F.array_join(F.col("advisees").cast("array<string>"), ","))
 
 

@@ -48,6 +48,24 @@ def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return _windows(spark, sf, 3600, 1800, "sliding")
 
 
+@query("stream_late_rows", with_views("metrics") + f"""
+    SELECT server_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, count(*) AS count, round(CAST(sum(CAST(cpu_usage_pct AS DECIMAL(18,2))) AS DOUBLE), 2) AS sum, true AS has_late FROM metrics GROUP BY ALL""")
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in several files without any order, a few files a batch: windows and late rows together hold every event."""
+    base = scratch_path(spark, "late")
+    spec = VIEWS["metrics"].columns
+    metrics = load(spark, sf, "events").select(*[F.expr(e if isinstance(e, str) else e[0]).alias(n) for n, e in spec.items()])
+    metrics = metrics.select("server_id", "timestamp", F.col("cpu_usage_pct").cast("decimal(18,2)").alias("cpu"))
+    metrics.repartition(6).write.parquet(f"{base}/in")
+    stream = sources.from_files(spark, f"{base}/in", metrics.schema, files_per_batch=2)
+    runner.drain(stream, windows.in_time_and_late("server_id", "cpu", "timestamp", f"{base}/out", f"{base}/late", 3600), f"{base}/checkpoint")
+    parts = spark.read.schema("key bigint, window_start timestamp, window_end timestamp, count bigint, sum double").parquet(f"{base}/out").drop("batch")
+    late = spark.read.schema(metrics.schema).parquet(f"{base}/late").drop("batch")
+    there = late.agg((F.count(F.lit(1)) > 0).alias("has_late"))
+    both = windows.merged(parts.unionByName(windows.windowed(late, "server_id", "cpu", "timestamp", 3600).drop("avg")))
+    return both.select(F.col("key").alias("server_id"), F.col("window_start").cast(NTZ).alias("window_start"), "count", F.round("sum", 2).alias("sum")).crossJoin(there)
+
+
 @query("window_rows", with_views("metrics") + """
     SELECT server_id, time_bucket(INTERVAL 1 MINUTE, timestamp) AS window_start, timestamp, cpu_usage_pct AS value FROM metrics""")
 def window_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,6 +245,6 @@ def stream_batches(spark: SparkSession, sf: str) -> DataFrame:
     """CSV files read as a stream of bounded batches; together they are the whole table."""
     folder = scratch_path(spark, "batches")
     rows = load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderpriority")
-    files.write_files(rows, folder, "csv")
-    stream = files.read_batches(spark, folder, rows.schema, files_per_batch=1000)
+    files.write_files(rows.repartition(12), folder, "csv")
+    stream = files.read_batches(spark, folder, rows.schema, files_per_batch=4)
     return runner.run_to_table(stream, "csv-batches").drop("batch")

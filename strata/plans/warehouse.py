@@ -156,7 +156,7 @@ def _key(number: str, table: str) -> str:
 
 
 @query("star_health", with_views("patients", "encounters", "providers") + f"""
-    SELECT left(md5(CAST(encounter_id AS VARCHAR)), 16) AS encounter_sk, p.sk AS patient_sk, d.sk AS provider_sk, {_date_sk('encounter_date', 'encounters')} AS date_sk, {_time_sk('encounter_date')} AS time_sk,
+    SELECT md5(CAST(encounter_id AS VARCHAR)) AS encounter_sk, p.sk AS patient_sk, d.sk AS provider_sk, {_date_sk('encounter_date', 'encounters')} AS date_sk, {_time_sk('encounter_date')} AS time_sk,
            NULL::BIGINT AS encounter_type_sk, CAST(encounter_id AS VARCHAR) AS encounter_id, total_charges
     FROM encounters e LEFT JOIN {_key('patient_id', 'patients')} p ON p.nk = CAST(e.patient_id AS VARCHAR) LEFT JOIN {_key('provider_id', 'providers')} d ON d.nk = CAST(e.provider_id AS VARCHAR)""")
 def star_health(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +166,7 @@ def star_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("star_finance", with_views("accounts", "transactions") + f"""
     , m AS (SELECT replace(lower(merchant_name), ' ', '_') AS nk, row_number() OVER (ORDER BY replace(lower(merchant_name), ' ', '_')) AS sk FROM (SELECT DISTINCT merchant_name FROM transactions WHERE merchant_name IS NOT NULL))
-    SELECT left(md5(CAST(transaction_id AS VARCHAR)), 16) AS transaction_sk, a.sk AS account_sk, c.sk AS customer_sk, m.sk AS merchant_sk, {_date_sk('transaction_date', 'transactions')} AS date_sk, {_time_sk('transaction_date')} AS time_sk,
+    SELECT md5(CAST(transaction_id AS VARCHAR)) AS transaction_sk, a.sk AS account_sk, c.sk AS customer_sk, m.sk AS merchant_sk, {_date_sk('transaction_date', 'transactions')} AS date_sk, {_time_sk('transaction_date')} AS time_sk,
            CAST(transaction_id AS VARCHAR) AS transaction_id, amount, CAST(fraud_score AS INTEGER) AS fraud_score, is_flagged
     FROM transactions t LEFT JOIN {_key('account_number', 'accounts')} a ON a.nk = CAST(t.account_id AS VARCHAR) LEFT JOIN {_key('customer_id', 'accounts')} c ON c.nk = CAST(t.account_id AS VARCHAR)
     LEFT JOIN m ON m.nk = replace(lower(t.merchant_name), ' ', '_')""")
@@ -176,7 +176,7 @@ def star_finance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("star_tech", with_views("servers", "metrics") + f"""
-    SELECT left(md5(CAST(metric_id AS VARCHAR)), 16) AS metric_sk, s.sk AS server_sk, {_date_sk('timestamp', 'metrics')} AS date_sk, {_time_sk('timestamp')} AS time_sk, CAST(cpu_usage_pct AS DOUBLE) AS cpu_usage_pct, CAST(memory_used_pct AS DOUBLE) AS memory_used_pct
+    SELECT md5(CAST(metric_id AS VARCHAR)) AS metric_sk, s.sk AS server_sk, {_date_sk('timestamp', 'metrics')} AS date_sk, {_time_sk('timestamp')} AS time_sk, CAST(cpu_usage_pct AS DOUBLE) AS cpu_usage_pct, CAST(memory_used_pct AS DOUBLE) AS memory_used_pct
     FROM metrics m LEFT JOIN {_key('server_id', 'servers')} s ON s.nk = CAST(m.server_id AS VARCHAR)""")
 def star_tech(spark: SparkSession, sf: str) -> DataFrame:
     tables = star.build_tech({n: view(spark, sf, n) for n in ("servers", "metrics", "applications")}, AS_OF, spark)
@@ -184,7 +184,7 @@ def star_tech(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("star_university", with_views("students", "courses", "enrollments", "faculty") + f"""
-    SELECT left(md5(enrollment_id), 16) AS enrollment_sk, s.sk AS student_sk, c.sk AS course_sk, i.sk AS instructor_sk,
+    SELECT md5(enrollment_id) AS enrollment_sk, s.sk AS student_sk, c.sk AS course_sk, i.sk AS instructor_sk,
            CAST(CASE k.term WHEN 'FALL_2023' THEN 1 WHEN 'FALL_2024' THEN 2 ELSE 3 END AS BIGINT) AS term_sk, enrollment_id, grade_points
     FROM enrollments e JOIN courses k ON e.course_id = k.course_id LEFT JOIN {_key('student_id', 'students')} s ON s.nk = CAST(e.student_id AS VARCHAR)
     LEFT JOIN {_key('course_code', 'courses')} c ON c.nk = k.course_code LEFT JOIN {_key('faculty_id', 'faculty')} i ON i.nk = CAST(k.instructor_id AS VARCHAR)""")

@@ -13,7 +13,6 @@ from strata.functions.predicates import COMPARE
 from strata.operators.transforms import project_to
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
-KEPT_RUNS = 1000
 GATE_SCORE = 80
 
 
@@ -134,7 +133,7 @@ def append_history(metrics: DataFrame, dataset: str, run_ts: str, path: str) ->
 def trend(history: DataFrame, dataset: str, metric: str, periods: int = 10) -> DataFrame:
     """Values of one metric over the last runs, newest first."""
     rows = history.where((F.col("dataset") == dataset) & (F.col("metric") == metric))
-    return rows.select("run_ts", "value").orderBy(F.desc("run_ts")).limit(min(periods, KEPT_RUNS))
+    return rows.select("run_ts", "value").orderBy(F.desc("run_ts")).limit(periods)
 
 
 def quality_gate(scores: DataFrame, minimum: float = GATE_SCORE) -> DataFrame:

@@ -36,12 +36,21 @@ def _label(kind: T.DataType) -> str:
 
 def _text_values(df: DataFrame, columns: Sequence[str], digest: bool) -> DataFrame:
     """(column_name, value) rows of the columns in text form."""
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    texts = df.select(*[F.col(quoted(c)).cast("string").alias(c) for c in columns])
 
     def text(name: str) -> Column:
-        return compact_key(texts, name) if digest else F.col(name)
+        return compact_key(texts, name) if digest else F.col(quoted(name))
 
-    return texts.select(*[text(c).alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
+    return texts.select(*[text(c).alias(c) for c in columns]).unpivot([], [F.col(quoted(c)) for c in columns], "column_name", "value")
+
+
+def quoted(name: str) -> str:
+    """A column's name in SQL, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -58,8 +67,8 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10)
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """(column_name, unique_count): exact by default; approximate needs no shuffle of the values."""
     if approximate:
-        wide = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in columns])
-        return wide.unpivot([], list(columns), "column_name", "unique_count")
+        wide = df.agg(*[F.approx_count_distinct(F.col(quoted(c)).cast("string")).alias(c) for c in columns])
+        return wide.unpivot([], [F.col(quoted(c)) for c in columns], "column_name", "unique_count")
     rows = _text_values(df, columns, digest=True).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
     return rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
 
@@ -78,7 +87,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
     # Written as SQL text: one expression per column instead of one driver call per function.
     totals, rows = ["count(1) AS total"], []
     for i, c in enumerate(names):
-        q, numbers, lengths = f"`{c}`", "NULL", "NULL"
+        q, numbers, lengths = quoted(c), "NULL", "NULL"
         label = f"'{kinds[c]}'"
         totals.append(f"count({q}) AS n{i}")
         if c in numeric:
@@ -95,7 +104,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
             return f"CAST({'NULL' if struct == 'NULL' else f'({struct}).{field_name}'} AS {kind})"
 
         rows.append(
-            f"struct('{c}' AS column_name, CASE WHEN n{i} = 0 THEN 'null' ELSE {label} END AS data_type, total AS total_count, total - n{i} AS null_count, "
+            f"struct({_literal(c)} AS column_name, CASE WHEN n{i} = 0 THEN 'null' ELSE {label} END AS data_type, total AS total_count, total - n{i} AS null_count, "
             + ", ".join(f"{part(numbers, k, 'DOUBLE')} AS {n}" for k, n in (("lo", "min_value"), ("hi", "max_value"), ("mean", "mean_value"), ("std", "std_dev"), ("sum", "sum_value")))
             + ", " + ", ".join(f"{part(lengths, k, t)} AS {n}" for k, n, t in (("lo", "min_length", "BIGINT"), ("hi", "max_length", "BIGINT"), ("mean", "avg_length", "DOUBLE")))
             + ")"
@@ -103,7 +112,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
     tall = df.agg(*[F.expr(t) for t in totals]).select(F.expr(f"inline(array({', '.join(rows)}))"))
     tall = tall.join(distinct_counts(df, names, approximate), "column_name", "left")
     if numeric and medians:
-        values = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], numeric, "column_name", "value")
+        values = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in numeric]).unpivot([], [F.col(quoted(c)) for c in numeric], "column_name", "value")
         tall = tall.join(exact_median(values, ["column_name"], "value", "median_value", hot_rows), "column_name", "left")
     else:
         tall = tall.withColumn("median_value", F.lit(None).cast("double"))
@@ -126,7 +135,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
 
 def profile_dataset(df: DataFrame, name: str) -> DataFrame:
     """One row: rows, columns, surplus copies of rows, and mean completeness of the columns."""
-    filled = " + ".join(f"count(`{c}`)" for c in df.columns)
+    filled = " + ".join(f"count({quoted(c)})" for c in df.columns)
     complete = df.agg(F.expr(f"CASE WHEN count(1) > 0 THEN round(({filled}) / (count(1) * {len(df.columns)}D), 4) ELSE 0D END AS overall_completeness"))
     copies = duplicate_summary(df)
     one = F.lit(1).alias("__one")

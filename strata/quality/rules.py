@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.predicates import matches
 from strata.functions.strings import present_items, strip
 from strata.operators.dedup import repeat_number
 from strata.operators.transforms import starts_with_pattern
@@ -145,7 +146,7 @@ def _failure(df: DataFrame, rule: Rule, marker: str | None) -> Column:
         failed = ~starts_with_pattern(value, p["regex"]) if isinstance(kind, T.StringType) else F.lit(False)
         message = _message("pattern", shown, field=rule.name)
     elif rule.kind == "enum_check":
-        failed = ~value.isin(*p["allowed"])
+        failed = value.isNotNull() & ~matches(value, [a for a in p["allowed"] if a is not None], kind)
         message = _message("enum_check", shown, field=rule.name)
     elif rule.kind == "custom":
         failed = value.isNotNull() & ~F.coalesce(p["check"](value), F.lit(False))

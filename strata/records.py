@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.quantiles import exact_median
+from strata.operators.windows import HOT_ROWS, window
 
-# Fixed value: places in an advisor's list.
-ADVISEE_PLACES = 100
+# Advisees on one page of an advisor's list.
+PAGE_SIZE = 100
 
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -69,17 +70,16 @@ def advisee_links(students: DataFrame, advisor: str = "advisor", student_id: str
     return students.where(F.col(advisor).isNotNull()).select(F.col(advisor).alias("advisor"), F.col(student_id).alias("advisee"))
 
 
-def advisee_lists(students: DataFrame, advisor: str = "advisor", student_id: str = "id", places: int = ADVISEE_PLACES) -> DataFrame:
-    """One row per advisor: number of advisees and the list of the first ``places`` ids.
+def advisee_lists(students: DataFrame, advisor: str = "advisor", student_id: str = "id", page_size: int = PAGE_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every advisee of every advisor as numbered pages: (advisor, page, advisees), ids in order.
 
-    The list has a fixed number of places; all advisees are counted and stay in :func:`advisee_links`.
-    Spark limits each group before the shuffle, so a list never grows with the group.
+    The pages of an advisor together hold all advisees; a page has a fixed size, so no row grows with the
+    group, and the places come from the segmented window, so an advisor with very many is split.
     """
     links = advisee_links(students, advisor, student_id)
-    ranked = links.withColumn("place", F.row_number().over(Window.partitionBy("advisor").orderBy("advisee"))).where(F.col("place") <= places)
-    lists = ranked.groupBy("advisor").agg(F.sort_array(F.collect_list("advisee")).alias("advisees"))
-    counts = links.groupBy("advisor").agg(F.count(F.lit(1)).alias("advisee_count"))
-    return counts.join(lists, "advisor")
+    placed = window(links, ["advisor"], ["advisee"], {"place": {"function": "row_number"}}, [], hot_rows)
+    paged = placed.withColumn("page", F.floor((F.col("place") - 1) / page_size) + 1)
+    return paged.groupBy("advisor", "page").agg(F.sort_array(F.collect_list("advisee")).alias("advisees"))
 
 
 def reassign(students: DataFrame, changes: DataFrame, student_id: str = "id", advisor: str = "advisor") -> DataFrame:

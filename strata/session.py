@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="strata-")
     if not sc.getCheckpointDir():

@@ -11,17 +11,18 @@ from pyspark.sql import types as T
 from strata.operators.transforms import drop_internal, rename
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", column_mapping: Mapping[str, str] | None = None, multi_line: bool = True) -> DataFrame:
-    """CSV with a header, every column a string; ``columns`` gives the header and saves reading it first.
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", column_mapping: Mapping[str, str] | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, every column a string; ``columns`` picks columns by their name in the header.
 
-    An empty field is null. A quoted value may hold line breaks. Set ``multi_line=False`` when none does: large files can
-    then be split between tasks.
+    An empty field is null. Large files are split between tasks. Only where quoted values hold line breaks, ask
+    for ``multi_line``, which makes each file one task.
     """
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("inferSchema", False)
     reader = reader.option("multiLine", multi_line).option("escape", '"')
+    rows = reader.csv(path)
     if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return rename(reader.csv(path), column_mapping or {})
+        rows = rows.select(*[F.col(f"`{c}`") for c in columns])
+    return rename(rows, column_mapping or {})
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, records_path: str | None = None, multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
@@ -39,9 +40,12 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_batches(spark: SparkSession, directory: str, schema: T.StructType | str, files_per_batch: int = 1, delimiter: str = ",") -> DataFrame:
-    """CSV folder as a stream of bounded batches; run it with the ``availableNow`` trigger."""
+    """CSV folder as a stream of bounded batches; run it with the ``availableNow`` trigger.
+
+    A file whose header differs from the schema ends the stream instead of filling the wrong columns.
+    """
     return (
-        spark.readStream.schema(schema).option("header", True).option("sep", delimiter)
+        spark.readStream.schema(schema).option("header", True).option("sep", delimiter).option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_batch).csv(directory)
     )
 

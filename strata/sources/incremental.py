@@ -32,19 +32,24 @@ def _literal(df: DataFrame, column: str, text: str) -> Column:
     return F.lit(text).cast(df.schema[column].dataType)
 
 
-def load_increment(df: DataFrame, column: str, mark_path: str, sink: Callable[[DataFrame], None]) -> DataFrame:
-    """Hand new rows to the sink, then save the new mark. Nulls come with the first load and never move the mark.
+def load_increment(df: DataFrame, column: str, mark_path: str, sink: Callable[[DataFrame], None], unmarked: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Hand new rows to the sink, then save the new mark.
 
-    The upper bound is fixed before the load, so rows that arrive meanwhile wait for the next one. The
+    Rows with a null mark cannot be told old from new and never move the mark. All of them go to
+    ``unmarked`` on every run, to replace what it holds; without it, to the sink on every run. The upper bound is fixed before the load, so rows that arrive meanwhile wait for the next one. The
     mark is saved after the sink has succeeded, so a failed run is repeated from the same place.
     """
     spark, kind = df.sparkSession, df.schema[column].dataType
     mark = last_mark(spark, mark_path, kind)
-    fresh = new_rows(df, column, mark)
+    fresh = new_rows(df, column, mark).where(F.col(column).isNotNull())
+    without = df.where(F.col(column).isNull())
     highest = fresh.agg(F.max(column).cast("string")).first()[0]
     if highest is not None:
-        within = F.col(column) <= _literal(df, column, highest)
-        fresh = fresh.where(within | F.col(column).isNull() if mark is None else within)
+        fresh = fresh.where(F.col(column) <= _literal(df, column, highest))
+    if unmarked:
+        unmarked(without)
+    else:
+        fresh = fresh.unionByName(without)
     sink(fresh)
     if highest is not None:
         saved = spark.range(1).select(F.lit(highest).cast(kind).alias("mark"))

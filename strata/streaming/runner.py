@@ -6,12 +6,14 @@ batch that is retried after a lost executor or driver leaves no second copy of i
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from strata.operators.dedup import deduplicate
 from strata.session import scratch_path
@@ -34,11 +36,43 @@ def to_folder(path: str) -> Write:
 def drain(stream: DataFrame, write: Write, checkpoint: str, output_mode: str = "append", name: str | None = None) -> StreamingQuery:
     """Process everything that is there now, then stop. The checkpoint remembers how far it came."""
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(output_mode).trigger(availableNow=True)
-    query = (writer.queryName(name) if name else writer).start()
-    query.awaitTermination()
+    log = _BatchLog()
+    stream.sparkSession.streams.addListener(log)
+    try:
+        query = (writer.queryName(name) if name else writer).start()
+        query.awaitTermination()
+        BATCHES[str(query.runId)] = log.complete(str(query.runId))
+    finally:
+        stream.sparkSession.streams.removeListener(log)
     return query
 
 
+#: Progress of every batch by run; a query by itself remembers the last hundred only.
+BATCHES: dict[str, list[dict]] = {}
+
+
+class _BatchLog(StreamingQueryListener):
+    def __init__(self) -> None:
+        self.seen: dict[str, list[dict]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event: object) -> None: ...
+
+    def onQueryIdle(self, event: object) -> None: ...
+
+    def onQueryProgress(self, event: object) -> None:
+        p = json.loads(event.progress.json)
+        self.seen.setdefault(p["runId"], []).append(p)
+
+    def onQueryTerminated(self, event: object) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def complete(self, run: str) -> list[dict]:
+        """All progress of an ended run; events arrive in order, the end last."""
+        self.ended.setdefault(run, threading.Event()).wait(30)
+        return self.seen.get(run, [])
+
+
 def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
     """Results of a stream as a table with a ``batch`` column."""
     spark = stream.sparkSession
@@ -71,13 +105,6 @@ def split_dead_letters(rows: DataFrame, checks: Mapping[str, Column], failed_at:
 def with_dead_letters(handler: Callable[[DataFrame], DataFrame], checks: Mapping[str, Column], out: str, letters: str, metrics: str | None = None) -> Write:
     """Batch writer that handles good rows, keeps bad ones apart and notes both numbers."""
     def write(rows: DataFrame, batch: int) -> None:
-        rows.persist()
-        try:
-            write_both(rows, batch)
-        finally:
-            rows.unpersist()
-
-    def write_both(rows: DataFrame, batch: int) -> None:
         good, bad = split_dead_letters(rows, checks, F.current_timestamp())
         handler(good).write.mode("overwrite").parquet(batch_folder(out, batch))
         bad.write.mode("overwrite").parquet(batch_folder(letters, batch))
@@ -96,24 +123,20 @@ def with_dead_letters(handler: Callable[[DataFrame], DataFrame], checks: Mapping
 def by_topic(routes: Mapping[str, Callable[[DataFrame], DataFrame]], out: str) -> Write:
     """Batch writer that sends each topic's messages through its handler into ``out/<topic>``."""
     def write(rows: DataFrame, batch: int) -> None:
-        rows.persist()
-        try:
-            for topic, handler in routes.items():
-                values = rows.where(F.col("topic") == topic).select("value.*")
-                handler(values).write.mode("overwrite").parquet(batch_folder(f"{out}/{topic}", batch))
-        finally:
-            rows.unpersist()
+        for topic, handler in routes.items():
+            values = rows.where(F.col("topic") == topic).select("value.*")
+            handler(values).write.mode("overwrite").parquet(batch_folder(f"{out}/{topic}", batch))
 
     return write
 
 
 def progress(query: StreamingQuery) -> list[dict[str, object]]:
-    """Batches of a run: input rows, duration, end offset and (where the source knows it) the lag behind the newest message."""
+    """All batches of a run: input rows, duration, end offset and (where the source knows it) the lag behind the newest message."""
     return [
         {
             "batch": p["batchId"], "input_rows": p["numInputRows"], "duration_ms": p["durationMs"].get("triggerExecution"),
             "end_offset": p["sources"][0]["endOffset"] if p["sources"] else None,
             "lag": (p["sources"][0].get("metrics") or {}).get("maxOffsetsBehindLatest") if p["sources"] else None,
         }
-        for p in query.recentProgress
+        for p in BATCHES.get(str(query.runId)) or query.recentProgress
     ]

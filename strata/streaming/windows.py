@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,3 +52,33 @@ def window_at(aggregates: DataFrame, key: object, at: str) -> DataFrame:
 def drop_expired(aggregates: DataFrame, as_of: str, max_age_seconds: int = MAX_AGE_SECONDS) -> DataFrame:
     """Windows that started no more than ``max_age_seconds`` before a moment."""
     return aggregates.where(F.col("window_start") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(max_age_seconds)} SECONDS"))
+
+
+def in_time_and_late(key: str, value: str, timestamp: str, out: str, late: str, size_seconds: int = WINDOW_SECONDS, max_age_seconds: int = MAX_AGE_SECONDS) -> Callable[[DataFrame, int], None]:
+    """Batch writer for tumbling windows that loses no row: parts of windows go to ``out``, late rows whole to ``late``.
+
+    A row is late if its window ended ``max_age_seconds`` or more before the newest event of the earlier
+    batches. Every batch writes its own folders and its newest event beside them, so a repeated batch
+    changes nothing. :func:`merged` adds the parts up; rows without a time are late.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        marks = f"{out.rstrip('/')}-marks"
+        newest = None
+        if batch:
+            newest = spark.read.schema("newest timestamp, batch long").parquet(marks).where(F.col("batch") < batch).agg(F.max("newest")).first()[0]
+        timed = rows.withColumn("__ts", F.col(timestamp).cast("timestamp"))
+        ends = F.timestamp_seconds((F.floor(F.unix_micros("__ts") / (size_seconds * 1_000_000)) + 1) * size_seconds)
+        limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {int(max_age_seconds)} SECONDS")
+        gone = F.col("__ts").isNull() | F.coalesce(ends <= limit, F.lit(False))
+        timed.where(gone).drop("__ts").write.mode("overwrite").parquet(f"{late.rstrip('/')}/batch={batch}")
+        windowed(timed.where(~gone).drop("__ts"), key, value, timestamp, size_seconds).drop("avg").write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
+        timed.agg(F.max("__ts").alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch}")
+
+    return write
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Windows from the parts that the batches have written."""
+    whole = parts.groupBy("key", "window_start", "window_end").agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"))
+    return whole.withColumn("avg", F.col("sum") / F.col("count"))

@@ -2,8 +2,8 @@
 
 Plain files have no MERGE, so each function returns the complete new version of the table together
 with an ``_action`` column. Write the result to a new folder, never over the folder being read.
-Source rows with a null key never match (as in SQL) and stay out of the join, so they cannot pile up
-in one task.
+Rows with a null key, on either side, never match (as in SQL) and stay out of the join, so they cannot
+pile up in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strata.operators.dedup import deduplicate
 from strata.operators.windows import HOT_ROWS, number_rows, window
+from strata.session import scratch_path
 
 ACTION = "_action"
 
@@ -49,7 +50,7 @@ def upsert(target: DataFrame, source: DataFrame, key_columns: Sequence[str], upd
     present = source.where(_all_present(keys))
     latest = deduplicate(present, keys, order_by, keep="last")
     changed = [c for c in (update_columns or source.columns) if c not in keys and c in target.columns and c in source.columns]
-    pairs = _pair(target, _aligned(latest, target), keys)
+    pairs = _pair(target.where(_all_present(keys)), _aligned(latest, target), keys)
     has_t, has_s = F.col("t").isNotNull(), F.col("s").isNotNull()
     columns = []
     for c in target.columns:
@@ -58,7 +59,7 @@ def upsert(target: DataFrame, source: DataFrame, key_columns: Sequence[str], upd
     action = F.when(has_t & has_s, "updated").when(has_s, "inserted").otherwise("kept")
     merged = pairs.select(*columns, action.alias(ACTION))
     nulls = _aligned(source.where(~_all_present(keys)), target).withColumn(ACTION, F.lit("inserted"))
-    return merged.unionByName(nulls)
+    return merged.unionByName(nulls).unionByName(target.where(~_all_present(keys)).withColumn(ACTION, F.lit("kept")))
 
 
 def action_counts(merged: DataFrame) -> DataFrame:
@@ -66,10 +67,17 @@ def action_counts(merged: DataFrame) -> DataFrame:
 
 
 def assign_surrogate_keys(df: DataFrame, surrogate: str, order_by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Fill null surrogate keys with the numbers after the highest one; existing keys never change."""
+    """Fill null surrogate keys with the numbers after the highest one; existing keys never change.
+
+    The table is evaluated once, into the shared folder; highest key and number of new rows come from
+    there with one aggregate over one column.
+    """
+    path = scratch_path(df.sparkSession, "keyed")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     known = df.where(F.col(surrogate).isNotNull())
-    highest = known.agg(F.max(surrogate)).first()[0] or 0
-    fresh = number_rows(df.where(F.col(surrogate).isNull()).drop(surrogate), order_by, surrogate, hot_rows=hot_rows)
+    highest, missing = df.agg(F.coalesce(F.max(surrogate), F.lit(0)), F.count_if(F.col(surrogate).isNull())).first()
+    fresh = number_rows(df.where(F.col(surrogate).isNull()).drop(surrogate), order_by, surrogate, hot_rows=hot_rows, rows=missing)
     numbered = fresh.withColumn(surrogate, (F.col(surrogate) + F.lit(highest)).cast("bigint"))
     return known.withColumn(surrogate, F.col(surrogate).cast("bigint")).unionByName(numbered)
 
@@ -109,6 +117,7 @@ def scd2(
     stamp = F.lit(as_of).cast(target.schema[effective].dataType)
     history = target.where(~F.coalesce(F.col(current), F.lit(False)))
     open_rows = target.where(F.coalesce(F.col(current), F.lit(False)))
+    keyless, open_rows = open_rows.where(~_all_present(keys)), open_rows.where(_all_present(keys))
     present = source.where(_all_present(keys))
     if chain:
         batch = _batch_versions(present, keys, tracked, order_by, hot_rows)
@@ -143,7 +152,7 @@ def scd2(
         F.when(has_s & (~has_t | differs), row("s", new_action, new_row)),
     ))
     result = pairs.select(F.explode(versions).alias("v")).select("v.*")
-    result = history.withColumn(ACTION, F.lit("history")).unionByName(result)
+    result = history.withColumn(ACTION, F.lit("history")).unionByName(result).unionByName(keyless.withColumn(ACTION, F.lit("untouched")))
     nulls = _aligned(source.where(~_all_present(keys)), target).withColumns(fresh_fields).withColumn(ACTION, F.lit("inserted"))
     result = result.unionByName(nulls)
     if rest is not None:

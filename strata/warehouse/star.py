@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.strings import merchant_slug, surrogate_hash
+from strata.functions.strings import merchant_slug, row_hash
 from strata.operators.dedup import deduplicate, derived_dimension
 from strata.operators.joins import orphans
 from strata.operators.windows import HOT_ROWS, number_rows
@@ -157,10 +157,10 @@ def resolve(rows: DataFrame, dimensions: Mapping[str, tuple[Dimension, DataFrame
 def fact_rows(resolved: DataFrame, fact: Fact, mapping: Mapping[str, str] | None = None, row_id: tuple[str, ...] | None = None) -> DataFrame:
     """Fact table from rows with their surrogate keys: hashed row key, the keys there are, mapped measures.
 
-    A hashed row key needs no order over all rows.
+    A hashed row key needs no order over all rows; it has 128 bits, so that no two of very many rows meet.
     """
     mapping = mapping or {}
-    out = [surrogate_hash(*(row_id or (mapping.get(fact.degenerate, fact.degenerate),))).alias(fact.primary_key)]
+    out = [row_hash(*(row_id or (mapping.get(fact.degenerate, fact.degenerate),))).alias(fact.primary_key)]
     out += [F.col(k) for k in fact.foreign_keys if k in resolved.columns]
     for item in fact.columns:
         name, kind = item.split()
@@ -238,7 +238,7 @@ def build_tech(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -
         if "application_id" in metrics.columns:
             links["application_sk"] = ("dim_application", F.col("application_id").cast("string"))
     mapping = {"network_in_mb": "network_in_mb_s", "network_out_mb": "network_out_mb_s"}
-    row_id = ("metric_id",) if "metric_id" in metrics.columns else ("server_id", "timestamp")
+    row_id = ("metric_id",) if "metric_id" in metrics.columns else tuple(metrics.columns)  # no smaller key is unique
     rows = resolve(metrics, {n: (dims[n], t) for n, t in tables.items()}, links)
     tables[TECH.fact.name] = fact_rows(rows, TECH.fact, {k: v for k, v in mapping.items() if v in metrics.columns}, row_id)
     return tables

@@ -15,7 +15,8 @@ def apply(spark, values, fn, kind="string"):
 
 
 def test_strip_takes_all_white_space(spark):
-    assert apply(spark, [" \t a b\n", None, "　x"], strings.strip)[:2] == ["a b", None]
+    assert apply(spark, [" \t a b\n", None, "\u3000x\u00a0", "\x1c\u2028 é \x85"], strings.strip) == ["a b", None, "x", "é"]
+    assert apply(spark, ["\u00a0a\u3000\u3000b", "\u3000"], strings.clean_string) == ["a b", ""]
 
 
 def test_null_tokens(spark):

@@ -36,15 +36,19 @@ def test_uniqueness_of_a_hot_value(spark):
     assert plain == split and {r[0] for r in split} == {str(i) for i in range(1, 30)}
 
 
-def test_uniqueness_with_many_repeated_values(spark, monkeypatch):
-    from strata.operators import windows
-
+def test_uniqueness_with_many_repeated_values(spark):
     df = spark.createDataFrame([(i, i // 2 if i < 20 else i) for i in range(100)] + [(100, None), (101, None)], "id int, v int")
-    assert len(windows.repeated_group_hashes(df.where("v IS NOT NULL"), ["v"])) == 10
     few = found(df, [rules.unique("v")])
-    monkeypatch.setattr(windows, "MAX_HOT_GROUPS", 3)
-    assert windows.repeated_group_hashes(df.where("v IS NOT NULL"), ["v"]) is None
-    assert few == found(df, [rules.unique("v")]) and {int(r[0]) for r in few} == set(range(1, 20, 2))
+    assert few == found(df, [rules.unique("v")], hot_rows=1) and {int(r[0]) for r in few} == set(range(1, 20, 2))
+
+
+def test_repeat_number_leaves_nulls_alone(spark):
+    from strata.operators.dedup import repeat_number
+
+    for ids in ([None, None, None, 1, 1], [None, None, None, 1, 2], [1, 1, 1, 1, None]):
+        df = spark.createDataFrame(list(enumerate(ids)), "n int, v int")
+        got = rows(repeat_number(df, "v", ["n"], "k").where("v IS NULL").select("k"))
+        assert got == [(1,)] * ids.count(None)
 
 
 def test_report(people):

@@ -14,11 +14,13 @@ def test_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"\nc', None, "x"), (2, " d ", "", "y")], "i int, s string, e string, _hidden string")
     path = str(tmp_path / "out")
     files.write_files(df, path, "csv")
-    back = files.read_csv(spark, path, column_mapping={"i": "id"})
+    back = files.read_csv(spark, path, column_mapping={"i": "id"}, multi_line=True)
     assert back.columns == ["id", "s", "e"] and [f.dataType for f in back.schema] == [T.StringType()] * 3
     assert sorted(r["s"] for r in back.collect()) == [" d ", 'a,"b"\nc']
     files.write_files(df, path, "csv", append=True)
-    assert files.read_csv(spark, path, ["i", "s", "e"]).count() == 4
+    assert files.read_csv(spark, path, ["i", "s", "e"], multi_line=True).count() == 4
+    (tmp_path / "turned.csv").write_text("b,a\n1,2\n")
+    assert rows(files.read_csv(spark, str(tmp_path / "turned.csv"), ["a", "b"])) == [("2", "1")]
     (tmp_path / "semi.csv").write_text("a;b\n1;2\n")
     assert rows(files.read_csv(spark, str(tmp_path / "semi.csv"), delimiter=";")) == [("1", "2")]
 
@@ -81,9 +83,10 @@ def test_incremental(spark, tmp_path):
         return spark.createDataFrame([(v,) for v in values], "v bigint")
 
     incremental.load_increment(table(9, 10, None), "v", mark, lambda p: sink(p.na.fill(-1)))
-    incremental.load_increment(table(10, 11, 100, None), "v", mark, sink)
-    incremental.load_increment(table(100), "v", mark, sink)
-    assert loaded == [[-1, 9, 10], [11, 100], []]
+    aside = []
+    incremental.load_increment(table(10, 11, 100, None, None), "v", mark, sink, lambda p: aside.append(p.count()))
+    incremental.load_increment(table(100, None), "v", mark, lambda p: sink(p.na.fill(-1)))
+    assert loaded == [[-1, 9, 10], [11, 100], [-1]] and aside == [2]
 
     def failing(_):
         raise RuntimeError("sink is down")

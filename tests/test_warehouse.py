@@ -154,7 +154,8 @@ def test_records(spark):
     assert rows(records.contains(students, "id", faculty, "id")) == [(0, True), (7, False)]
     assert records.delete(students, "id", faculty, "id").count() == 5
     assert rows(records.find(students, "id", 3).select("name")) == [("s3",)]
-    assert rows(records.advisee_lists(students, places=2)) == [(0, 2, [2, 4]), (1, 3, [1, 3])]
+    for hot_rows in (2_000_000, 1):
+        assert rows(records.advisee_lists(students, page_size=2, hot_rows=hot_rows)) == [(0, 1, [2, 4]), (1, 1, [1, 3]), (1, 2, [5])]
     assert rows(records.with_advisor(students, faculty).where("id < 3").select("id", "advisor_name")) == [(0, None), (1, None), (2, "f0")]
     changed = records.reassign(students, spark.createDataFrame([(1, 7), (2, None)], "id int, advisor int"))
     assert rows(changed.where("id < 4").select("id", "advisor")) == [(0, None), (1, 7), (2, None), (3, 1)]
