@@ -228,4 +228,6 @@ def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return judge(documents, learn(documents, labels)).where("kept").select(*[F.col(f"`{c}`") for c in documents.columns])
+    judged = judge(documents, learn(documents, labels))
+    # a row number in the condition keeps Spark from moving the filter below the statistics, where each use of one computes it anew
+    return judged.withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0").select(*[F.col(f"`{c}`") for c in documents.columns])
