@@ -9,7 +9,7 @@ from strata.operators.joins import orphans
 from strata.plans.registry import query
 from strata.quality import monitor, profile, rules
 from strata.session import scratch_path
-from strata.tables import load, view, with_views
+from strata.tables import VIEWS, load, view, with_views
 
 RUN_TS = "2024-06-30 12:00:00"
 
@@ -178,20 +178,38 @@ def dataset_drift(spark: SparkSession, sf: str) -> DataFrame:
     return profile.dataset_drift(old, profile.profile_dataset(_profiled(spark, sf), "all"))
 
 
+def _form(column: str, prefix: str, digits: int) -> str:
+    """An id in the required form for two of three rows."""
+    return f"CASE WHEN {column} % 3 > 0 THEN '{prefix}' || lpad(CAST({column} AS STRING), {digits}, '0') ELSE CAST({column} AS STRING) END"
+
+
+# Ids as the patterns of the rule sets want them, and the columns that the patterns of e-mails look at.
+_FORMS = {
+    "patients": {"patient_id": _form("patient_id", "PAT", 8)}, "accounts": {"account_number": _form("account_number", "ACC", 10)},
+    "servers": {"server_id": _form("server_id", "SRV-US-", 4)},
+    "students": {"student_id": _form("student_id", "STU", 8), "email": "CASE WHEN student_id % 5 = 0 THEN 'é' || last_name || '@uni.edu' WHEN student_id % 5 < 4 THEN last_name || '@uni.edu' ELSE last_name END"},
+}
 _DOMAINS = [
     ("health", "patients", "patient_id", ["patient_id", "first_name", "last_name", "date_of_birth", "gender", "city", "state", "is_deceased"],
-     "coalesce(first_name, '') <> '' AND coalesce(last_name, '') <> '' AND date_of_birth IS NOT NULL"),
+     "coalesce(first_name, '') <> '' AND coalesce(last_name, '') <> '' AND date_of_birth IS NOT NULL AND patient_id LIKE 'PAT________'"),
     ("finance", "accounts", "account_number", ["account_number", "customer_id", "customer_name", "customer_type", "account_type", "current_balance", "aml_risk_score", "status"],
-     "account_type IN ('CHECKING', 'SAVINGS', 'MONEY_MARKET', 'CD', 'BROKERAGE', 'CREDIT_CARD')"),
-    ("tech", "servers", "server_id", ["server_id", "hostname", "status", "environment", "datacenter"], "environment IN ('PROD', 'STAGING', 'DEV', 'QA')"),
-    ("university", "students", "student_id", ["student_id", "first_name", "last_name", "gpa", "major", "enrollment_status", "academic_level"], "false"),
+     "account_type IN ('CHECKING', 'SAVINGS', 'MONEY_MARKET', 'CD', 'BROKERAGE', 'CREDIT_CARD') AND account_number LIKE 'ACC__________'"),
+    ("tech", "servers", "server_id", ["server_id", "hostname", "status", "environment", "datacenter"], "environment IN ('PROD', 'STAGING', 'DEV', 'QA') AND server_id LIKE 'SRV-US-____'"),
+    ("university", "students", "student_id", ["student_id", "first_name", "last_name", "gpa", "major", "enrollment_status", "academic_level", "email"],
+     "first_name <> '' AND last_name <> '' AND gpa BETWEEN 0 AND 4 AND student_id LIKE 'STU________' AND email LIKE '%_@uni.edu'"),
 ]
 
 
+def _formed_sql(entity: str) -> str:
+    forms = _FORMS[entity]
+    fresh = "".join(f", {e} AS {n}" for n, e in forms.items() if n not in VIEWS[entity].columns)
+    return f"SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in forms.items() if n in VIEWS[entity].columns)}){fresh} FROM {entity}"
+
+
 def _score_sql(domain: str, entity: str, key: str, columns: list[str], valid: str) -> str:
     complete = " + ".join(f"count({c}) / count(*)" for c in columns)
     return f"""SELECT '{domain}' AS name, count(*) AS row_count, 100 * ({complete}) / {len(columns)} AS completeness, 100 * count(DISTINCT {key}) / count({key}) AS uniqueness,
-        100 * count(CASE WHEN {valid} THEN 1 END) / count(*) AS validity, 100 * count(DISTINCT ({', '.join(columns)})) / count(*) AS consistency FROM {entity}"""
+        100 * count(CASE WHEN {valid} THEN 1 END) / count(*) AS validity, 100 * count(DISTINCT ({', '.join(columns)})) / count(*) AS consistency FROM ({_formed_sql(entity)})"""
 
 
 _SCORES = with_views("patients", "accounts", "servers", "students") + ", parts AS (" + " UNION ALL ".join(_score_sql(*d) for d in _DOMAINS) + """),
@@ -202,13 +220,51 @@ def domain_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Profile, validate and score the main table of every domain."""
     result = None
     for domain, entity, key, columns, _ in _DOMAINS:
-        rows = view(spark, sf, entity).select(*columns)
-        known = [r for r in rules.DOMAIN_RULES[domain] if domain == "university" or r.kind != "pattern"]
-        score = profile.quality_score(profile.profile_columns(rows, medians=False), profile.profile_dataset(rows, domain), key, rules.report(rows, known), domain)
+        rows = view(spark, sf, entity).withColumns({n: F.expr(e) for n, e in _FORMS[entity].items()}).select(*columns)
+        score = profile.quality_score(profile.profile_columns(rows, medians=False), profile.profile_dataset(rows, domain), key, rules.report(rows, rules.DOMAIN_RULES[domain]), domain)
         result = score if result is None else result.unionByName(score)
     return result
 
 
+@query("catalogue_rules", with_views("transactions", "metrics", "students") + f"""
+    , f AS (SELECT 'finance' AS domain, 'account_number' AS field, 'pattern' AS rule FROM transactions WHERE account_id % 3 = 0
+      UNION ALL SELECT 'finance', 'amount', 'range_check' FROM transactions WHERE amount > 1e12
+      UNION ALL SELECT 'tech', 'server_id', 'pattern' FROM metrics WHERE server_id % 3 = 0
+      UNION ALL SELECT 'tech', 'cpu_usage', 'range_check' FROM metrics WHERE cpu_usage_pct * 1.5 > 100
+      UNION ALL SELECT 'tech', 'memory_usage', 'type_check' FROM metrics
+      UNION ALL SELECT 'university', 'student_id', 'pattern' FROM students WHERE student_id % 3 = 0
+      UNION ALL SELECT 'university', 'gpa', 'type_check' FROM students
+      UNION ALL SELECT 'university', 'gpa', 'range_check' FROM students WHERE gpa * 1.2 > 4
+      UNION ALL SELECT 'university', 'enrollment_status', 'enum_check' FROM students WHERE enrollment_status = 'GRADUATED')
+    SELECT domain, field, rule, count(*) AS failures FROM f GROUP BY ALL""")
+def catalogue_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures of the rule catalogue by domain, field and rule."""
+    tables = {
+        "finance": view(spark, sf, "transactions").select(F.expr(_form("account_id", "ACC", 10)).alias("account_number"), F.col("amount").cast("decimal(18,2)").cast("string").alias("amount"), "transaction_type"),
+        "tech": view(spark, sf, "metrics").select(F.expr(_form("server_id", "SRV-US-", 4)).alias("server_id"), (F.col("cpu_usage_pct") * 1.5).alias("cpu_usage"), F.lit("50").alias("memory_usage")),
+        "university": view(spark, sf, "students").select(F.expr(_form("student_id", "STU", 8)).alias("student_id"), (F.col("gpa") * 1.2).cast("string").alias("gpa"), F.when(F.col("enrollment_status") == "GRADUATED", "ALUMNI").otherwise(F.col("enrollment_status")).alias("enrollment_status")),
+    }
+    result = None
+    for domain, rows in tables.items():
+        known = rules.from_schema({n: e for n, e in rules.CATALOGUE[domain].items() if n in rows.columns})
+        failed = rules.checked(rows, known).select(F.explode("_failures").alias("f")).select(F.lit(domain).alias("domain"), F.col("f.field_name").alias("field"), F.col("f.rule_name").alias("rule"))
+        result = failed if result is None else result.unionByName(failed)
+    return result.groupBy("domain", "field", "rule").agg(F.count(F.lit(1)).alias("failures"))
+
+
+@query("threshold_alerts", _SCORES + """
+    , m AS (SELECT name || '.completeness' AS metric, completeness / 100 AS value, 0.95 AS threshold FROM parts UNION ALL SELECT name || '.uniqueness', uniqueness / 100, 1.0 FROM parts
+      UNION ALL SELECT name || '.validity', validity / 100, 0.98 FROM parts UNION ALL SELECT name || '.consistency', consistency / 100, 0.99 FROM parts)
+    SELECT metric AS metric_name, round(value, 4) AS metric_value, threshold::DOUBLE AS threshold FROM m WHERE round(value, 4) < threshold""")
+def threshold_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts where a part of a domain's score is below its threshold."""
+    parts = ("completeness", "uniqueness", "validity", "consistency")
+    tall = domain_scores(spark, sf).unpivot(["name"], list(parts), "part", "percent")
+    metrics = tall.select(F.concat("name", F.lit("."), "part").alias("metric"), F.round(F.col("percent") / 100, 4).alias("value"))
+    found = monitor.alerts(metrics, [r for d in rules.DOMAIN_RULES for r in monitor.threshold_rules(d)], RUN_TS)
+    return found.select("metric_name", "metric_value", "threshold")
+
+
 @query("domain_quality", _SCORES + """
     SELECT name, row_count, round(s, 2) AS overall_score, round(completeness, 2) AS completeness, round(uniqueness, 2) AS uniqueness, round(validity, 2) AS validity, round(consistency, 2) AS consistency,
            CASE WHEN s >= 95 THEN 'A+' WHEN s >= 90 THEN 'A' WHEN s >= 85 THEN 'B+' WHEN s >= 80 THEN 'B' WHEN s >= 75 THEN 'C+' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM scored""")

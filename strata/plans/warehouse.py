@@ -157,10 +157,13 @@ def _key(number: str, table: str) -> str:
 
 @query("star_health", with_views("patients", "encounters", "providers") + f"""
     SELECT md5(CAST(encounter_id AS VARCHAR)) AS encounter_sk, p.sk AS patient_sk, d.sk AS provider_sk, {_date_sk('encounter_date', 'encounters')} AS date_sk, {_time_sk('encounter_date')} AS time_sk,
-           NULL::BIGINT AS encounter_type_sk, CAST(encounter_id AS VARCHAR) AS encounter_id, total_charges
+           CASE encounter_type WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '5-LOW' THEN 4 END::BIGINT AS encounter_type_sk, CAST(encounter_id AS VARCHAR) AS encounter_id, total_charges
     FROM encounters e LEFT JOIN {_key('patient_id', 'patients')} p ON p.nk = CAST(e.patient_id AS VARCHAR) LEFT JOIN {_key('provider_id', 'providers')} d ON d.nk = CAST(e.provider_id AS VARCHAR)""")
 def star_health(spark: SparkSession, sf: str) -> DataFrame:
-    tables = star.build_health({n: view(spark, sf, n) for n in ("patients", "encounters", "providers")}, AS_OF, spark)
+    data = {n: view(spark, sf, n) for n in ("patients", "encounters", "providers")}
+    kinds = {"1-URGENT": "EMERGENCY", "2-HIGH": "INPATIENT", "3-MEDIUM": "OUTPATIENT", "5-LOW": "TELEHEALTH"}  # the others have no known type
+    data["encounters"] = data["encounters"].replace(kinds, subset=["encounter_type"])
+    tables = star.build_health(data, AS_OF, spark)
     return tables["fact_encounter"].select("encounter_sk", "patient_sk", "provider_sk", "date_sk", "time_sk", "encounter_type_sk", "encounter_id", "total_charges")
 
 
@@ -197,7 +200,7 @@ def star_university(spark: SparkSession, sf: str) -> DataFrame:
     SELECT CAST(customer_id AS VARCHAR) AS customer_id, customer_name, customer_type, row_number() OVER (ORDER BY CAST(customer_id AS VARCHAR)) AS customer_sk,
            DATE '{AS_OF}' AS effective_date, NULL::DATE AS expiration_date, true AS is_current FROM accounts""")
 def dim_customer(spark: SparkSession, sf: str) -> DataFrame:
-    tables = star.build_finance({n: view(spark, sf, n) for n in ("accounts", "transactions")}, AS_OF, spark)
+    tables = star.build_finance({n: view(spark, sf, n) for n in ("accounts", "transactions")}, AS_OF, spark, only=["dim_customer"])
     return tables["dim_customer"].select("customer_id", "customer_name", "customer_type", "customer_sk", "effective_date", "expiration_date", "is_current")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strata.functions.dates import hours_between
 from strata.functions.predicates import COMPARE
 from strata.operators.transforms import project_to
+from strata.quality.rules import THRESHOLDS
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 GATE_SCORE = 80
@@ -48,6 +49,13 @@ def freshness_rule(max_age_hours: float = 24, severity: str = "HIGH") -> Monitor
     return MonitorRule("data_freshness", "age_hours", "gt", max_age_hours, severity, f"Data older than {max_age_hours} hours")
 
 
+def threshold_rules(dataset: str) -> list[MonitorRule]:
+    """Rules for a dataset's score parts (as shares) and its age, from the fixed thresholds."""
+    parts = [name for name in THRESHOLDS if name.endswith("_threshold")]
+    rules = [MonitorRule(f"{dataset}_{p}", f"{dataset}.{p.removesuffix('_threshold')}", "lt", THRESHOLDS[p], "HIGH") for p in parts]
+    return [*rules, freshness_rule(THRESHOLDS["timeliness_hours"])]
+
+
 def freshness(df: DataFrame, timestamp_column: str, as_of: str) -> DataFrame:
     """Hours since the newest timestamp; infinite when there is none."""
     newest = F.max(timestamp_column)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from strata.functions.strings import merchant_slug, row_hash
 from strata.operators.dedup import deduplicate, derived_dimension
 from strata.operators.joins import orphans
 from strata.operators.windows import HOT_ROWS, number_rows
+from strata.session import scratch_path
 from strata.warehouse.dims import DEFAULT_GRAIN, date_dimension, date_dimension_of, map_columns, time_dimension
 
 
@@ -114,6 +115,7 @@ UNIVERSITY = Star(
     ),
 )
 STARS = {s.name: s for s in (HEALTH, FINANCE, TECH, UNIVERSITY)}
+# Rows of the encounter types and of the terms.
 ENCOUNTER_TYPES = [
     ("OUTPATIENT", "Outpatient Visit", "Ambulatory", False, False),
     ("INPATIENT", "Inpatient Admission", "Inpatient", False, True),
@@ -128,8 +130,14 @@ TERMS = [
 
 
 def first_load(source: DataFrame, dim: Dimension, as_of: str, mapping: Mapping[str, str] | None = None, defaults: Mapping[str, object] | None = None, order_by: tuple[str, ...] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Fill an empty dimension: one row per natural key (last wins), keys 1, 2, 3 … in key order."""
+    """Fill an empty dimension: one row per natural key (last wins), keys 1, 2, 3 … in key order.
+
+    The rows are written to the shared folder first, so they are computed once however often they are used.
+    """
+    spark, path = source.sparkSession, scratch_path(source.sparkSession, dim.name)
     rows = deduplicate(map_columns(source, dim.columns, mapping, defaults), list(dim.natural_key), order_by, keep="last")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     numbered = number_rows(rows, list(dim.natural_key), dim.surrogate, tie_break=[], hot_rows=hot_rows)
     numbered = numbered.withColumn(dim.surrogate, F.col(dim.surrogate).cast("bigint"))
     if dim.scd_type == 2:
@@ -178,55 +186,66 @@ def _calendar(spark: SparkSession, events: DataFrame | None, ts: str) -> DataFra
     return date_dimension(spark) if events is None else date_dimension_of(events, ts)
 
 
-def build_health(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -> dict[str, DataFrame]:
+def _assemble(makers: Mapping[str, Callable[[], DataFrame]], fact: str, make_fact: Callable[[dict[str, DataFrame]], DataFrame] | None, only: Sequence[str] | None) -> dict[str, DataFrame]:
+    """The tables asked for (default: all), each made once; the fact table needs every dimension."""
+    whole = only is None or fact in only
+    tables = {name: make() for name, make in makers.items() if whole or name in only}
+    if whole and make_fact:
+        tables[fact] = make_fact(tables)
+    return tables
+
+
+def build_health(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Tables of the health star; type and time keys are filled when the source has the columns."""
     encounters, dims = data.get("encounters"), HEALTH.dimensions
     types = spark.createDataFrame(ENCOUNTER_TYPES, "encounter_type_code string, encounter_type_name string, category string, is_emergency boolean, is_inpatient boolean")
-    tables = {"dim_date": _calendar(spark, encounters, "encounter_date"), "dim_time": time_dimension(spark), "dim_encounter_type": first_load(types, dims["dim_encounter_type"], as_of)}
+    makers = {"dim_date": lambda: _calendar(spark, encounters, "encounter_date"), "dim_time": lambda: time_dimension(spark), "dim_encounter_type": lambda: first_load(types, dims["dim_encounter_type"], as_of)}
     links: dict[str, tuple[str, Column]] = {}
     if "patients" in data:
-        tables["dim_patient"] = first_load(data["patients"], dims["dim_patient"], as_of)
+        makers["dim_patient"] = lambda: first_load(data["patients"], dims["dim_patient"], as_of)
         links["patient_sk"] = ("dim_patient", F.col("patient_id").cast("string"))
     if "providers" in data:
-        tables["dim_provider"] = first_load(data["providers"], dims["dim_provider"], as_of)
+        makers["dim_provider"] = lambda: first_load(data["providers"], dims["dim_provider"], as_of)
         links["provider_sk"] = ("dim_provider", F.col("provider_id").cast("string"))
-    if encounters is not None:
-        links |= {"date_sk": ("dim_date", F.col("encounter_date").cast("date")), "time_sk": ("dim_time", time_slot("encounter_date")), "encounter_type_sk": ("dim_encounter_type", F.col("encounter_type"))}
-        tables[HEALTH.fact.name] = fact_rows(resolve(encounters, {n: (dims[n], t) for n, t in tables.items()}, links), HEALTH.fact)
-    return tables
+    if encounters is None:
+        return _assemble(makers, HEALTH.fact.name, None, only)
+    links |= {"date_sk": ("dim_date", F.col("encounter_date").cast("date")), "time_sk": ("dim_time", time_slot("encounter_date")), "encounter_type_sk": ("dim_encounter_type", F.col("encounter_type"))}
+    return _assemble(makers, HEALTH.fact.name, lambda tables: fact_rows(resolve(encounters, {n: (dims[n], t) for n, t in tables.items()}, links), HEALTH.fact), only)
 
 
-def build_finance(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -> dict[str, DataFrame]:
+def build_finance(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
     accounts, transactions, dims = data["accounts"], data["transactions"], FINANCE.dimensions
     customers = derived_dimension(accounts, "customer_id", [c for c in ("customer_name", "customer_type") if c in accounts.columns], ["account_number"])
     merchant_columns = [c for c in ("merchant_category", "merchant_category_code") if c in transactions.columns]
     merchants = derived_dimension(transactions, "merchant_name", merchant_columns, ["transaction_id"]).withColumn("merchant_id", merchant_slug("merchant_name"))
-    tables = {
-        "dim_date": _calendar(spark, transactions, "transaction_date"),
-        "dim_time": time_dimension(spark),
-        "dim_account": first_load(accounts, dims["dim_account"], as_of, {"account_status": "status"}),
-        "dim_customer": first_load(customers, dims["dim_customer"], as_of),
-        "dim_merchant": first_load(merchants, dims["dim_merchant"], as_of),
+    makers = {
+        "dim_date": lambda: _calendar(spark, transactions, "transaction_date"),
+        "dim_time": lambda: time_dimension(spark),
+        "dim_account": lambda: first_load(accounts, dims["dim_account"], as_of, {"account_status": "status"}),
+        "dim_customer": lambda: first_load(customers, dims["dim_customer"], as_of),
+        "dim_merchant": lambda: first_load(merchants, dims["dim_merchant"], as_of),
     }
-    known = {n: (dims[n], t) for n, t in tables.items()}
-    owners = deduplicate(accounts.select(F.col("account_number").cast("string").alias("__account"), F.col("customer_id").cast("string").alias("__owner")), ["__account"], keep="last")
-    owners = resolve(owners, known, {"account_sk": ("dim_account", F.col("__account")), "customer_sk": ("dim_customer", F.col("__owner"))})
-    rows = transactions.join(owners, F.col("account_id").cast("string") == F.col("__account"), "left")
-    rows = resolve(rows, known, {
-        "merchant_sk": ("dim_merchant", merchant_slug("merchant_name")),
-        "date_sk": ("dim_date", F.col("transaction_date").cast("date")),
-        "time_sk": ("dim_time", time_slot("transaction_date")),
-    })
-    tables[FINANCE.fact.name] = fact_rows(rows, FINANCE.fact)
-    return tables
 
+    def facts(tables: dict[str, DataFrame]) -> DataFrame:
+        known = {n: (dims[n], t) for n, t in tables.items()}
+        owners = deduplicate(accounts.select(F.col("account_number").cast("string").alias("__account"), F.col("customer_id").cast("string").alias("__owner")), ["__account"], keep="last")
+        owners = resolve(owners, known, {"account_sk": ("dim_account", F.col("__account")), "customer_sk": ("dim_customer", F.col("__owner"))})
+        rows = transactions.join(owners, F.col("account_id").cast("string") == F.col("__account"), "left")
+        return fact_rows(resolve(rows, known, {
+            "merchant_sk": ("dim_merchant", merchant_slug("merchant_name")),
+            "date_sk": ("dim_date", F.col("transaction_date").cast("date")),
+            "time_sk": ("dim_time", time_slot("transaction_date")),
+        }), FINANCE.fact)
+
+    return _assemble(makers, FINANCE.fact.name, facts, only)
 
-def build_tech(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -> dict[str, DataFrame]:
+
+def build_tech(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
     metrics, dims = data["metrics"], TECH.dimensions
-    tables = {
-        "dim_date": _calendar(spark, metrics, "timestamp"),
-        "dim_time": time_dimension(spark),
-        "dim_server": first_load(data["servers"], dims["dim_server"], as_of),
+    makers = {
+        "dim_date": lambda: _calendar(spark, metrics, "timestamp"),
+        "dim_time": lambda: time_dimension(spark),
+        "dim_server": lambda: first_load(data["servers"], dims["dim_server"], as_of),
     }
     links = {
         "server_sk": ("dim_server", F.col("server_id").cast("string")),
@@ -234,40 +253,46 @@ def build_tech(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -
         "time_sk": ("dim_time", time_slot("timestamp")),
     }
     if "applications" in data:
-        tables["dim_application"] = first_load(data["applications"], dims["dim_application"], as_of)
+        makers["dim_application"] = lambda: first_load(data["applications"], dims["dim_application"], as_of)
         if "application_id" in metrics.columns:
             links["application_sk"] = ("dim_application", F.col("application_id").cast("string"))
     mapping = {"network_in_mb": "network_in_mb_s", "network_out_mb": "network_out_mb_s"}
     row_id = ("metric_id",) if "metric_id" in metrics.columns else tuple(metrics.columns)  # no smaller key is unique
-    rows = resolve(metrics, {n: (dims[n], t) for n, t in tables.items()}, links)
-    tables[TECH.fact.name] = fact_rows(rows, TECH.fact, {k: v for k, v in mapping.items() if v in metrics.columns}, row_id)
-    return tables
+
+    def facts(tables: dict[str, DataFrame]) -> DataFrame:
+        rows = resolve(metrics, {n: (dims[n], t) for n, t in tables.items()}, links)
+        return fact_rows(rows, TECH.fact, {k: v for k, v in mapping.items() if v in metrics.columns}, row_id)
+
+    return _assemble(makers, TECH.fact.name, facts, only)
 
 
-def build_university(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession) -> dict[str, DataFrame]:
+def build_university(data: Mapping[str, DataFrame], as_of: str, spark: SparkSession, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Enrollments find their course through its code, instructor and term through the course row."""
     students, courses, enrollments, dims = data["students"], data["courses"], data["enrollments"], UNIVERSITY.dimensions
     terms = spark.createDataFrame(TERMS, "term_code string, term_name string, academic_year int, semester string, start_date string, end_date string, is_current boolean")
-    tables = {
-        "dim_date": date_dimension(spark) if "enrollment_date" not in enrollments.columns else date_dimension_of(enrollments, "enrollment_date"),
-        "dim_student": first_load(students, dims["dim_student"], as_of),
-        "dim_course": first_load(courses, dims["dim_course"], as_of, {"course_title": "title", "department": "department_id"}),
-        "dim_term": first_load(terms, dims["dim_term"], as_of),
+    makers = {
+        "dim_date": lambda: date_dimension(spark) if "enrollment_date" not in enrollments.columns else date_dimension_of(enrollments, "enrollment_date"),
+        "dim_student": lambda: first_load(students, dims["dim_student"], as_of),
+        "dim_course": lambda: first_load(courses, dims["dim_course"], as_of, {"course_title": "title", "department": "department_id"}),
+        "dim_term": lambda: first_load(terms, dims["dim_term"], as_of),
     }
     extra = [c for c in ("instructor_id", "term") if c in courses.columns]
     links = {"course_sk": ("dim_course", F.col("course_code").cast("string"))}
     if "faculty" in data:
-        tables["dim_instructor"] = first_load(data["faculty"], dims["dim_instructor"], as_of)
+        makers["dim_instructor"] = lambda: first_load(data["faculty"], dims["dim_instructor"], as_of)
         if "instructor_id" in extra:
             links["instructor_sk"] = ("dim_instructor", F.col("instructor_id").cast("string"))
     if "term" in extra:
         links["term_sk"] = ("dim_term", F.col("term"))
-    known = {n: (dims[n], t) for n, t in tables.items()}
-    named = deduplicate(courses.select(F.col("course_id").alias("__course"), "course_code", *extra), ["__course"], keep="last")
-    named = resolve(named, known, links).select("__course", *links)
-    rows = enrollments.join(named, F.col("course_id") == F.col("__course"), "left")
-    tables[UNIVERSITY.fact.name] = fact_rows(resolve(rows, known, {"student_sk": ("dim_student", F.col("student_id").cast("string"))}), UNIVERSITY.fact)
-    return tables
+
+    def facts(tables: dict[str, DataFrame]) -> DataFrame:
+        known = {n: (dims[n], t) for n, t in tables.items()}
+        named = deduplicate(courses.select(F.col("course_id").alias("__course"), "course_code", *extra), ["__course"], keep="last")
+        named = resolve(named, known, links).select("__course", *links)
+        rows = enrollments.join(named, F.col("course_id") == F.col("__course"), "left")
+        return fact_rows(resolve(rows, known, {"student_sk": ("dim_student", F.col("student_id").cast("string"))}), UNIVERSITY.fact)
+
+    return _assemble(makers, UNIVERSITY.fact.name, facts, only)
 
 
 def save(tables: Mapping[str, DataFrame], schema: str, path: str) -> None:
