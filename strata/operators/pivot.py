@@ -17,7 +17,7 @@ def pivot_values(df: DataFrame, column: str) -> list[Any]:
     """Sorted distinct values that become columns; refused when there are too many to be columns."""
     rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
     if len(rows) > MAX_PIVOT_VALUES:
-        raise ValueError(f"column {column!r} has more than {MAX_PIVOT_VALUES} values; it cannot be pivoted")
+        raise ValueError(f"column {column!r} has more than {MAX_PIVOT_VALUES} values; take pivot_long")
     return sorted(r[0] for r in rows)
 
 
@@ -42,6 +42,12 @@ def pivot(
     return wide.select(*out)
 
 
+def pivot_long(df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "sum", order_by: Sequence[str] = ()) -> DataFrame:
+    """The cells of :func:`pivot` as rows (index, ``columns``, cell), for any number of values; absent cells have no row."""
+    kept = df.where(F.col(columns).isNotNull() & F.col(values).isNotNull())
+    return kept.groupBy(*index, columns).agg(metric(kept, {"column": values, "function": aggfunc}, order_by).alias("cell"))
+
+
 def pivot_rows(df: DataFrame, group_by: str, pivot_column: str, value_column: str, agg_func: str = "sum", pivot_on: Sequence[Any] | None = None) -> DataFrame:
     """Pivot that keeps everything: a null pivot value makes a ``_None`` column, counts and averages include nulls."""
     wanted = pivot_values(df, pivot_column) if pivot_on is None else [v for v in pivot_on if v is not None]

@@ -104,6 +104,14 @@ def pivot_rows_macro(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in wide.columns[1:]])
 
 
+@query("pivot_long", "SELECT o_orderpriority, o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS cell FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")
+def pivot_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells by priority and customer, more customers than a table can have columns."""
+    orders = load(spark, sf, "orders").select("o_orderpriority", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("decimal(18,2)")).alias("price"))
+    cells = pivot.pivot_long(orders, ["o_orderpriority"], "o_custkey", "price")
+    return cells.withColumn("cell", F.col("cell").cast("double"))
+
+
 @query("unpivot_columns", """
     SELECT l_orderkey, l_linenumber, 'l_quantity' AS measure, l_quantity AS amount FROM lineitem
     UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', nullif(l_discount, 0) FROM lineitem
