@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,23 +223,29 @@ def stream_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return batches.agg(*[F.sum(c).alias(c) for c in ("received", "processed", "failed")])
 
 
-@query("stream_routes", """
-    SELECT topic, count(*) AS results, count(DISTINCT who) AS keys FROM (
-      SELECT CASE WHEN event_type = 'error' THEN 'tech.incidents' ELSE 'tech.metrics' END AS topic, user_id AS who FROM events) GROUP BY topic""")
+_ROUTED = {
+    "health.encounters": "patient_id", "health.lab_results": "patient_id", "finance.transactions": "account_id", "finance.fraud_alerts": "alert_id",
+    "tech.metrics": "server_id", "tech.incidents": "server_id", "university.enrollments": "student_id", "university.grades": "student_id",
+}
+
+
+@query("stream_routes", f"""
+    SELECT [{', '.join(f"'{t}'" for t in _ROUTED)}][event_id % 8 + 1] AS topic, count(*) AS results, count(DISTINCT user_id) AS keys FROM events GROUP BY topic""")
 def stream_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """One stream of two topics; each topic goes to its own handler and folder."""
+    """One stream of eight topics; each topic goes to its own handler and folder."""
     base = scratch_path(spark, "routes")
     events = sources.from_files(spark, f"{sf.rstrip('/')}/events.parquet", load(spark, sf, "events").schema)
+    ids = [F.col("user_id").alias(n) for n in ("patient_id", "account_id", "server_id", "student_id")] + [F.col("event_id").alias(n) for n in ("encounter_id", "transaction_id", "incident_id", "enrollment_id")]
     shaped = events.select(
-        F.when(F.col("event_type") == "error", "tech.incidents").otherwise("tech.metrics").alias("kind"), "ts", F.col("user_id").alias("server_id"), F.col("event_id").alias("incident_id"),
-        F.concat(F.lit("SEV"), (F.col("event_id") % 4 + 1).cast("string")).alias("severity"), F.least("value", F.lit(100.0)).alias("cpu_usage_pct"))
+        F.element_at(F.array(*[F.lit(t) for t in _ROUTED]), (F.col("event_id") % 8 + 1).cast("int")).alias("kind"), "ts", *ids, F.col("user_id").cast("string").alias("alert_id"),
+        F.concat(F.lit("SEV"), (F.col("event_id") % 4 + 1).cast("string")).alias("severity"), F.least("value", F.lit(100.0)).alias("cpu_usage_pct"),
+        F.struct(F.col("value").alias("heart_rate"), F.col("value").alias("blood_pressure_systolic"), F.col("value").alias("temperature")).alias("vitals"),
+        F.col("event_type").alias("test_code"), "value", F.col("value").alias("amount"), (F.col("value") > 50).alias("abnormal_flag"), (F.col("value") > 90).alias("critical_flag"),
+        F.col("event_type").alias("course_code"), F.lit("A").alias("grade"))
     topics = sources.messages(shaped, "mixed", "server_id", "ts").withColumn("topic", F.col("value.kind"))
-    routes = {t: handlers.HANDLERS[t] for t in ("tech.incidents", "tech.metrics")}
-    runner.drain(topics, runner.by_topic(routes, base), f"{base}-checkpoint")
-    counts = [
-        spark.read.schema("server_id bigint").parquet(f"{base}/{t}").agg(F.lit(t).alias("topic"), F.count(F.lit(1)).alias("results"), F.count_distinct("server_id").alias("keys")) for t in routes
-    ]
-    return counts[0].unionByName(counts[1])
+    runner.drain(topics, runner.by_topic({t: handlers.HANDLERS[t] for t in _ROUTED}, base), f"{base}-checkpoint")
+    counts = [spark.read.parquet(f"{base}/{t}").agg(F.lit(t).alias("topic"), F.count(F.lit(1)).alias("results"), F.count_distinct(key).alias("keys")) for t, key in _ROUTED.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("stream_batches", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders")
