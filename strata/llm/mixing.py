@@ -94,6 +94,7 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def repeat(documents: DataFrame) -> DataFrame:
-    """The mixed documents as rows, each as often as it is taken, with their own columns."""
-    mixed = mix(documents)
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The mixed documents as rows, each as often as it is taken, with their own columns, whatever these are called."""
+    aside = {c: f"__own_{c}" for c in documents.columns if c.lower() in ("size", "source_size", "target", "copies")}
+    mixed = mix(documents.withColumnsRenamed(aside)).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return mixed.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in documents.columns])

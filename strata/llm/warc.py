@@ -81,7 +81,7 @@ def response(page_id: str, url: str, page: str, date: str = DATE) -> bytes:
 def plain(page: str) -> str:
     """Visible text of a page: without hidden parts and tags, entities resolved, a line for each block, no empty lines."""
     title = TITLE.search(page)
-    page = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", page)))
+    page = TAG.sub("", BLOCK.sub("\n", TITLE.sub(" ", HIDDEN.sub(" ", page))))
     lines = [title[1] if title else "", *page.split("\n")]
     return "\n".join(line for line in (" ".join(html.unescape(x).split()) for x in lines) if line)
 
