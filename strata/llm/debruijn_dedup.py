@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.batches import Hashes, Piece, mix, pieces, space_table, word_bounds
-from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, with_lists
+from strata.llm.batches import PIECE, Hashes, Piece, mix, space_table, word_bounds
+from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, unzipped, with_lists
 from strata.session import scratch_path
 
 WIDTH, CORE = 35, 12
@@ -38,7 +38,7 @@ def _values(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
 def _take_apart(width: int):
     """Paths as they are (``single`` false, with their end nodes), and the single edges of paths at branches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in unzipped(batches, PIECE):
             codes, before = _values(piece)
             one, two = Hashes(codes), Hashes(codes, 1)
             row, (at, copies, variants) = listed(piece, ["at", "copies", "variants"])
@@ -64,7 +64,7 @@ def _take_apart(width: int):
 def repeated_edges(docs: DataFrame, *, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """``id, tag, first, count, e1, joins``: occurrences of repeated paths; ``joins``: the node before it does not branch."""
     spark = docs.sparkSession
-    rows = repeated_segments(docs, _values, width, core)
+    rows = repeated_segments(docs, _values, width, core, PIECE)
     chosen = with_lists(docs, rows.where("chosen"), "at", "copies", "variants")
     path = scratch_path(spark, "edges")
     chosen.select("text", *KEY, "list").mapInArrow(_take_apart(width), "single boolean, e0 long, e1 long, start long, stop long, copies long, id long, tag long, first long").write.parquet(path)
@@ -105,7 +105,7 @@ def mark(documents: DataFrame, *, width: int = WIDTH, core: int = CORE) -> DataF
     edges = repeated_edges(docs, width=width, core=core)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in unzipped(batches, PIECE):
             begin, end, before, codes = _words(piece)
             row, (first, count, e1, joins) = listed(piece, ["first", "count", "e1", "joins"])
             if len(row):  # the coordinates must hold the words of the path
@@ -128,7 +128,7 @@ def mark(documents: DataFrame, *, width: int = WIDTH, core: int = CORE) -> DataF
                     kept.append(b" ".join(text.split()))
                 a, b = where[i], where[i + 1]
                 paths.append([{"first": f, "words": w} for f, w in zip(path_first[a:b].tolist(), path_words[a:b].tolist())])
-            yield pa.RecordBatch.from_arrays([piece.rows.column(0), piece.rows.column(1), pa.array(np.diff(before)), pa.array(removed), pa.array(paths, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), pa.array([k.decode(errors="replace") for k in kept], pa.string())],
+            yield pa.RecordBatch.from_arrays([piece.rows.column(0), piece.rows.column(1).cast(pa.string()), pa.array(np.diff(before)), pa.array(removed), pa.array(paths, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), pa.array([k.decode(errors="replace") for k in kept], pa.string())],
                                              names=["doc_id", "text", "n_words", "n_removed", "paths", "kept"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()

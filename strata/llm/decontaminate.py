@@ -22,6 +22,8 @@ from strata.llm.fm_index import FmIndex
 WINDOW = 10
 #: Words of the benchmark in one broadcast block.
 BLOCK_WORDS = 400_000
+#: Bytes of text in a shard.
+SHARD = 4_000_000
 LOWER = lower_table()
 #: Bytes between words, after A-Z became a-z: all ASCII but digits and letters.
 BREAKS = np.zeros(256, bool)
@@ -161,7 +163,7 @@ def mark(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, bl
         return pa.RecordBatch.from_arrays(columns + new, names=[*piece.rows.schema.names, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return map(search, pieces(batches))
+        return map(search, pieces(batches, limit=SHARD))
 
     fields = ", n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
     return source.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + fields)

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.batches import Hashes, Piece, mix, pieces, space_table
-from strata.llm.repeats import KEY, covered, keyed, listed, with_lists
+from strata.llm.batches import PIECE, Hashes, Piece, mix, pieces, space_table
+from strata.llm.repeats import KEY, covered, keyed, listed, unzipped, with_lists
 
 WIDTH = 3
 GAPS = space_table()
@@ -64,7 +64,7 @@ def mark(documents: DataFrame, *, width: int = WIDTH) -> DataFrame:
     later = found.join(firsts, (F.col("h0") == F.col("f0")) & (F.col("h1") == F.col("f1"))).where(place != F.col("least")).select(*KEY, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in unzipped(batches, PIECE):
             first, end, before, worded, worded_before = lines(piece)
             row, (start,) = listed(piece, ["place"])
             gone = np.zeros(len(first), bool)
@@ -76,7 +76,7 @@ def mark(documents: DataFrame, *, width: int = WIDTH) -> DataFrame:
             for i in np.flatnonzero(removed):
                 own = np.flatnonzero(~gone[before[i]:before[i + 1]]) + before[i]
                 texts[i] = b"\n".join([piece.data[s:e].tobytes() for s, e in zip(first[own].tolist(), end[own].tolist())]).decode(errors="replace")
-            yield pa.RecordBatch.from_arrays([piece.rows.column(0), piece.rows.column(1), pa.array(np.diff(before)), pa.array(removed), pa.array(texts, pa.string())], names=["doc_id", "text", "n_lines", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([piece.rows.column(0), piece.rows.column(1).cast(pa.string()), pa.array(np.diff(before)), pa.array(removed), pa.array(texts, pa.string())], names=["doc_id", "text", "n_lines", "n_removed", "kept"])
 
     joined = with_lists(docs, later, "place", how="left").select("doc_id", "text", "list")
     return joined.mapInArrow(run, f"doc_id {kind}, text string, n_lines long, n_removed long, kept string")

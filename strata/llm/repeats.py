@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,12 @@ def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> (ANCHOR_BITS + COUNT_BITS), at >> ANCHOR_BITS & 2**COUNT_BITS - 1, at & 2**ANCHOR_BITS - 1
 
 
-def repeated_segments(docs: DataFrame, parse: Parse, width: int, core: int) -> DataFrame:
+def repeated_segments(docs: DataFrame, parse: Parse, width: int, core: int, limit: int) -> DataFrame:
     """``core, cls, id, tag, at, copies, variants, chosen`` of segments whose core is repeated; ``chosen``: one of each class."""
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=limit):
             values, starts = parse(piece)
             hashes, others = Hashes(values), Hashes(values, 1)
             s = segments(hashes, starts, width, core)
@@ -70,8 +71,33 @@ def repeated_segments(docs: DataFrame, parse: Parse, width: int, core: int) -> D
     return spark.read.parquet(path)
 
 
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for piece in pieces([batch]):
+            at = piece.rows.schema.get_field_index("text")
+            texts = [None if not full else pack(piece.text(i)) for i, full in enumerate(piece.rows.column(at).is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if k == at else c for k, c in enumerate(piece.rows.columns)], names=piece.rows.schema.names)
+
+
+def unzipped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Piece]:
+    """Pieces of rows whose ``text`` has come compressed."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            at = part.schema.get_field_index("text")
+            texts = pa.array([None if t is None else open_(t) for t in part.column(at).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            yield from pieces([pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)], limit=limit)
+
+
 def with_lists(docs: DataFrame, rows: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
-    """``docs`` with ``list``: the different ``columns`` of the rows that have the document's key."""
+    """``docs`` with ``list``: the different ``columns`` of the rows that have the document's key.
+
+    The texts cross the shuffle compressed one by one, and stay so until ``unzipped`` reads them in a task.
+    """
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    docs = docs.mapInArrow(_zip, schema)
     lists = rows.select(*KEY, *columns).distinct().groupBy(*KEY).agg(F.collect_list(F.struct(*columns)).alias("list"))
     lists = lists.select(F.col("id").alias("i"), F.col("tag").alias("t"), "list")
     return docs.join(lists, (F.col("id") == F.col("i")) & (F.col("tag") == F.col("t")), how).drop("i", "t")

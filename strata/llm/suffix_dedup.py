@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.batches import Hashes, Piece, mix, pieces
-from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, with_lists
+from strata.llm.batches import Hashes, Piece, flat, mix
+from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, unzipped, with_lists
 from strata.session import scratch_path
 
 WIDTH, CORE, BLOCK = 200, 64, 16
 #: Blocks in a bucket, about.
-BUCKET = 400_000
+BUCKET = 150_000
+#: Bytes of text that a task holds hashes of (about 20 arrays of 8 bytes for each).
+LIMIT = 1_000_000
 _U = np.uint64
 
 
@@ -60,7 +62,7 @@ def _blocks(row: np.ndarray, at: np.ndarray, starts: np.ndarray, width: int) ->
 def _emit(width: int):
     """Rows of blocks: tokens of the shared bytes, key of the whole block, the bytes around, copies, and where it stands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in unzipped(batches, LIMIT):
             row, (at, copies) = listed(piece, ["at", "copies"])
             entry, block, low, high, anchor = _blocks(row, at, piece.starts, width)
             one, two = Hashes(piece.data), Hashes(piece.data, 1)
@@ -84,12 +86,13 @@ def _emit(width: int):
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with a mask of the offsets whose strings stand twice or more in their run."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     get = lambda n: table.column(n).to_numpy()
     t0, t1, span, copies, whole = (get(n) for n in ("t0", "t1", "span", "copies", "whole"))
-    around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint8).reshape(-1, 2 * BLOCK - 2)
+    around = flat(table.column("around"))[0].reshape(-1, 2 * BLOCK - 2)
     order = multikey_sort([t0, t1, span >> 8])
     t0, t1, span, copies, whole, around = t0[order], t1[order], span[order], copies[order], whole[order], around[order]
     fresh = np.append(True, (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1]) | (span[1:] >> 8 != span[:-1] >> 8))
@@ -119,7 +122,7 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_starts(docs: DataFrame, *, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """``id, tag, first, count``: runs of places where a string starts that also starts elsewhere."""
     spark = docs.sparkSession
-    rows = repeated_segments(docs, _bytes, width, core)
+    rows = repeated_segments(docs, _bytes, width, core, LIMIT)
     settled = rows.where("copies > 1").select(*KEY, F.shiftright("at", 24).alias("first"), F.shiftright("at", 12).bitwiseAND(4095).alias("count"))
     open_rows = rows.where("variants > 1 AND chosen")
     source = with_lists(docs, open_rows, "at", "copies")
@@ -153,7 +156,7 @@ def mark(documents: DataFrame, *, width: int = WIDTH, core: int = CORE) -> DataF
     spans = repeated_starts(docs, width=width, core=core)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in unzipped(batches, LIMIT):
             row, (first, count) = listed(piece, ["first", "count"])
             gone = covered(row, first, count, piece.starts, width) if len(row) else np.zeros(len(piece.data), bool)
             total = np.concatenate([[0], np.cumsum(gone)])
@@ -167,7 +170,7 @@ def mark(documents: DataFrame, *, width: int = WIDTH, core: int = CORE) -> DataF
                 else:
                     ranges.append([])
                     out.append(piece.text(i))
-            yield pa.RecordBatch.from_arrays([piece.rows.column(0), piece.rows.column(1), pa.array(np.diff(piece.starts)), pa.array(removed), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out, pa.binary())],
+            yield pa.RecordBatch.from_arrays([piece.rows.column(0), piece.rows.column(1).cast(pa.string()), pa.array(np.diff(piece.starts)), pa.array(removed), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out, pa.binary())],
                                              names=["doc_id", "text", "n_bytes", "n_removed", "spans", "kept"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
