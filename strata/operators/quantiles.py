@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 from strata.operators.windows import HOT_ROWS, window
 
 
-def exact_median(df: DataFrame, group_by: Sequence[str], column: str, name: str = "median", hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_median(df: DataFrame, group_by: Sequence[str], column: str, name: str = "median", hot_rows: int = HOT_ROWS, few_groups: bool = False) -> DataFrame:
     """Median per group: equal values are counted first, then ranks are found with a running count.
 
     The running count is split over many tasks when a group has very many distinct values. Nulls are
-    left out. The mean of the middle two is taken for an even number of values.
+    left out. The mean of the middle two is taken for an even number of values. Without groups, or with
+    ``few_groups`` (as many as a table has columns), the totals are so few rows that each task gets them all, and the
+    values stay where they are.
     """
     groups = list(group_by) or ["__all"]
     source = df if group_by else df.withColumn("__all", F.lit(1))
     counted = source.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("__k"))
     running = window(counted, groups, [column], {"__upto": {"function": "running_sum", "column": "__k"}}, [], hot_rows)
     totals = counted.groupBy(*groups).agg(F.sum("__k").alias("__total"))
-    a, b = running.alias("a"), totals.alias("b")
+    a, b = running.alias("a"), (totals if group_by and not few_groups else F.broadcast(totals)).alias("b")
     condition = F.lit(True)
     for g in groups:
         condition = condition & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))

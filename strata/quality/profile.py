@@ -113,7 +113,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
     tall = tall.join(distinct_counts(df, names, approximate), "column_name", "left")
     if numeric and medians:
         values = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in numeric]).unpivot([], [F.col(quoted(c)) for c in numeric], "column_name", "value")
-        tall = tall.join(exact_median(values, ["column_name"], "value", "median_value", hot_rows), "column_name", "left")
+        tall = tall.join(exact_median(values, ["column_name"], "value", "median_value", hot_rows, few_groups=True), "column_name", "left")
     else:
         tall = tall.withColumn("median_value", F.lit(None).cast("double"))
     present = F.col("total_count") - F.col("null_count")
