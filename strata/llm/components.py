@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import scratch_path
+from strata.llm.repeats import written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,14 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Links to itself, repeated and reversed links change nothing; a link with a null is no link. A root
     stands in the result too. No links: an empty result.
     """
-    spark = links.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "links")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -33,10 +26,10 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = written(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large)
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        now = written(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

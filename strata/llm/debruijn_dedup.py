@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.batches import PIECE, Hashes, Piece, mix, space_table, word_bounds
-from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, unzipped, with_lists
-from strata.session import scratch_path
+from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, unzipped, with_lists, written
 
 WIDTH, CORE = 35, 12
 GAPS = space_table()
@@ -63,21 +62,18 @@ def _take_apart(width: int):
 
 def repeated_edges(docs: DataFrame, *, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """``id, tag, first, count, e1, joins``: occurrences of repeated paths; ``joins``: the node before it does not branch."""
-    spark = docs.sparkSession
     rows = repeated_segments(docs, _values, width, core, PIECE)
     chosen = with_lists(docs, rows.where("chosen"), "at", "copies", "variants")
-    path = scratch_path(spark, "edges")
-    chosen.select("text", *KEY, "list").mapInArrow(_take_apart(width), "single boolean, e0 long, e1 long, start long, stop long, copies long, id long, tag long, first long").write.parquet(path)
-    edges = spark.read.parquet(path)
+    edges = written(chosen.select("text", *KEY, "list").mapInArrow(_take_apart(width), "single boolean, e0 long, e1 long, start long, stop long, copies long, id long, tag long, first long"), "edges")
     paths = edges.where("NOT single").select("e0", "e1", "start", "stop").distinct()
     nodes = paths.select(F.col("start").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(paths.select(F.col("stop").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
     plain = nodes.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out = 1 AND in = 1").select("node")
     compact = paths.join(plain, F.col("start") == F.col("node"), "left").select(F.col("e1").alias("e"), F.col("start"), F.col("node").isNotNull().alias("joins"))
-    compact = compact.groupBy("e").agg(F.min("joins").alias("joins"))
+    compact = written(compact.groupBy("e").agg(F.min("joins").alias("joins")), "paths")
     settled = rows.where("copies > 1").select(*KEY, F.shiftright("at", 24).alias("first"), F.shiftright("at", 12).bitwiseAND(4095).alias("count"), F.col("cls").alias("e1"))
     settled = settled.join(compact, F.col("e1") == F.col("e"), "left").select(*KEY, "first", "count", "e1", F.coalesce("joins", F.lit(False)).alias("joins"))
     singles = edges.where("single")
-    counted = singles.groupBy("e0", "e1").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("e0").alias("f0"), F.col("e1").alias("f1"))
+    counted = written(singles.groupBy("e0", "e1").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("e0").alias("f0"), F.col("e1").alias("f1")), "repeated-edges")
     found = singles.where("copies = 1").select("e0", "e1", *KEY, "first").join(counted, (F.col("e0") == F.col("f0")) & (F.col("e1") == F.col("f1")))
     return settled.unionByName(found.select(*KEY, "first", F.lit(1).cast("long").alias("count"), "e1", F.lit(False).alias("joins")))
 

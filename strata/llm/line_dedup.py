@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.batches import PIECE, Hashes, Piece, mix, pieces, space_table
-from strata.llm.repeats import KEY, covered, keyed, listed, unzipped, with_lists
+from strata.llm.repeats import KEY, covered, keyed, listed, unzipped, with_lists, written
 
 WIDTH = 3
 GAPS = space_table()
@@ -61,6 +61,7 @@ def mark(documents: DataFrame, *, width: int = WIDTH) -> DataFrame:
     found = docs.select("text", "doc_id", *KEY).mapInArrow(_windows(width), f"h0 long, h1 long, doc_id {kind}, id long, tag long, place long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY, "place")
     firsts = found.groupBy(F.col("h0").alias("f0"), F.col("h1").alias("f1")).agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").drop("most")
+    firsts = written(firsts, "windows")
     later = found.join(firsts, (F.col("h0") == F.col("f0")) & (F.col("h1") == F.col("f1"))).where(place != F.col("least")).select(*KEY, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,10 +39,19 @@ def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> (ANCHOR_BITS + COUNT_BITS), at >> ANCHOR_BITS & 2**COUNT_BITS - 1, at & 2**ANCHOR_BITS - 1
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` through a table in the shared folder.
+
+    A small side of a join that is an aggregate over the join's key is written first: the join then has an
+    exchange of its own on either side, and adaptive execution can split a hot key.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def repeated_segments(docs: DataFrame, parse: Parse, width: int, core: int, limit: int) -> DataFrame:
     """``core, cls, id, tag, at, copies, variants, chosen`` of segments whose core is repeated; ``chosen``: one of each class."""
-    spark = docs.sparkSession
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=limit):
             values, starts = parse(piece)
@@ -55,20 +64,15 @@ def repeated_segments(docs: DataFrame, parse: Parse, width: int, core: int, limi
             ], names=["core", "cls", "id", "tag", "at"])
 
     found = docs.select("text", *KEY).mapInArrow(cut, "core long, cls long, id long, tag long, at long")
-    cores = found.groupBy(F.col("core").alias("c")).count().where("count > 1").select("c")
-    path = scratch_path(spark, "segments")
-    found.join(cores, F.col("core") == F.col("c")).drop("c").write.parquet(path)
-    rows = spark.read.parquet(path)
+    cores = written(found.groupBy(F.col("core").alias("c")).count().where("count > 1").select("c"), "cores")
+    rows = written(found.join(cores, F.col("core") == F.col("c")).drop("c"), "segments")
     classes = rows.groupBy("core", "cls").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "tag", "at")).alias("least"))
-    path = scratch_path(spark, "classes")
-    classes.write.parquet(path)
-    classes = spark.read.parquet(path)
-    variants = classes.groupBy(F.col("core").alias("c")).agg(F.count(F.lit(1)).alias("variants"))
-    classes = classes.join(variants, F.col("core") == F.col("c")).select(F.col("core").alias("c"), F.col("cls").alias("d"), "copies", "least", "variants").where("copies > 1 OR variants > 1")
+    classes = written(classes, "classes")
+    variants = written(classes.groupBy(F.col("core").alias("c")).agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"), "variants")
+    classes = classes.join(variants, F.col("core") == F.col("c"), "left").select(F.col("core").alias("c"), F.col("cls").alias("d"), "copies", "least", F.coalesce("variants", F.lit(1)).alias("variants"))
+    classes = classes.where("copies > 1 OR variants > 1")
     out = rows.join(classes, (F.col("core") == F.col("c")) & (F.col("cls") == F.col("d")))
-    path = scratch_path(spark, "repeats")
-    out.select("core", "cls", *KEY, "at", "copies", "variants", (F.struct("id", "tag", "at") == F.col("least")).alias("chosen")).write.parquet(path)
-    return spark.read.parquet(path)
+    return written(out.select("core", "cls", *KEY, "at", "copies", "variants", (F.struct("id", "tag", "at") == F.col("least")).alias("chosen")), "repeats")
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
