@@ -183,22 +183,29 @@ def linked(prints: DataFrame, *, radius: int = RADIUS, leaf: int = LEAF, sample:
     return components(met)
 
 
+def _prints(documents: DataFrame) -> DataFrame:
+    path = scratch_path(documents.sparkSession, "prints")
+    with_fingerprint(documents.select("doc_id", "text")).select("doc_id", "fingerprint").write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def _named(prints: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, root, component_id`` for each row of ``prints``; the root is one fingerprint of the component."""
+    groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    roots = linked(prints)
+    rooted = groups.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(ids, "root").select(F.col("fingerprint").alias("__f"), "root", "component_id")
+    return prints.join(named, F.col("fingerprint") == F.col("__f")).select("doc_id", "fingerprint", "root", "component_id")
+
+
 def classes(documents: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` (a long) and ``component_id``, the least ``doc_id`` that links reach from the document.
 
     Null and empty texts have fingerprint 0 and link like any others. Rows that repeat have the same
     fingerprint. A null id is never a component's id unless the component has no other.
     """
-    spark = documents.sparkSession
-    path = scratch_path(spark, "prints")
-    with_fingerprint(documents.select("doc_id", "text")).select("doc_id", "fingerprint").write.parquet(path)
-    prints = spark.read.parquet(path)
-    groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = linked(prints)
-    rooted = groups.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select(F.col("fingerprint").alias("__f"), "component_id")
-    return prints.join(named, F.col("fingerprint") == F.col("__f")).select("doc_id", "fingerprint", "component_id")
+    return _named(_prints(documents)).select("doc_id", "fingerprint", "component_id")
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -206,13 +213,25 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The document with the least id of each component, with its own columns.
+    """One row of each component, with its own columns: that with the least id, a null id only if there is no other.
 
-    If rows share that id, the one with the least text of them stays, and of equal ones one.
+    If rows of the component share that id, or it is null, the one with the least text of them stays, and of
+    equal ones one. An id that stands on one row alone finds its row; only the rows of null and shared ids are
+    told apart by their fingerprints.
     """
-    found = classes(documents).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).select(F.col("doc_id").alias("__id"), "__n")
+    spark, prints = documents.sparkSession, _prints(documents)
+    path = scratch_path(spark, "kept")
+    first = _named(prints).where("doc_id <=> component_id").select("doc_id", "fingerprint", "root").distinct()
+    first.select(*[F.col(c).alias(f"__{c}") for c in first.columns]).write.parquet(path)
+    first = spark.read.parquet(path)
+    path = scratch_path(spark, "shared")
+    prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__shared")).write.parquet(path)
+    shared = spark.read.parquet(path)
     own = [F.col(f"`{c}`") for c in documents.columns]
-    kept = documents.join(found, F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = kept.where("__n = 1").select(*own)
-    first = kept.where("__n > 1").groupBy("__id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("t"), F.struct(*own).alias("row"))).alias("best"))
-    return once.unionByName(first.select(*[F.col("best.row")[c].alias(c) for c in documents.columns]))
+    single = first.where("__doc_id IS NOT NULL").join(shared, F.col("__doc_id") == F.col("__shared"), "left_anti")
+    once = documents.join(single, F.col("doc_id") == F.col("__doc_id")).select(*own)
+    unsure = documents.where("doc_id IS NULL").unionByName(documents.join(shared, F.col("doc_id") == F.col("__shared"), "left_semi"))
+    packed = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)]).alias("__row")
+    met = with_fingerprint(unsure.select("doc_id", "text", packed)).join(first, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("fingerprint") == F.col("__fingerprint")))
+    best = met.groupBy("__root").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("t"), F.col("__row").alias("row"))).alias("best"))
+    return once.unionByName(best.select(*[F.col(f"best.row.c{i}").alias(c) for i, c in enumerate(documents.columns)]))

@@ -154,6 +154,21 @@ def test_simhash(docs, empty):
     assert simhash.digest(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_component_under_null_and_shared_ids(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 6) for _ in range(60)) for _ in range(12)]
+    near = texts[0].upper()  # another text with the same fingerprint
+    rows = [(None, texts[k]) for k in range(1, 5)] + [(None, texts[1])]  # null ids alone in their components
+    rows += [(7, texts[5]), (7, texts[6])]  # one id, texts that nothing links
+    rows += [(1, texts[7]), (1, texts[0]), (0, near)]  # one id, one of its texts linked to a lesser id
+    rows += [(None, texts[8]), (9, texts[8]), (5, texts[9]), (5, texts[9]), (4, texts[10])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("own")).repartition(4)
+    want = [(None, texts[k]) for k in range(1, 5)] + [(7, texts[5]), (7, texts[6]), (1, texts[7]), (0, near), (9, texts[8]), (5, texts[9]), (4, texts[10])]
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert found(kept, df.columns) == sorted([(*r, "own") for r in want], key=str)
+
+
 def test_tree_finds_all_links_at_any_leaf_size(spark):
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
