@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from strata.llm import decontaminate, mixing, near, quality_rules, sharding, simhash
 from strata.session import scratch_path
 
 #: The learned rules, the components and the shards go beyond SQL; tests hold the stages against brute force.
@@ -26,8 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, that with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies, that with the least id.
+
+    Near copies have fingerprints within two bits, or five-word shingles of similarity 0.8 or more.
+    """
+    return simhash.keep_one(docs, near.links(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,104 @@
+"""Near-duplicates by five-word shingles: Jaccard similarity 0.8 or more, candidates by MinHash, each checked exactly.
+
+A text has 160 least hashes of its set of shingles in 32 bands of five. Texts that share a band are
+candidates: a pair at 0.8 shares none with probability (1 - 0.8^5)^32, 3 in a million, and less above 0.8.
+The least text of a band is compared with all others of it; those it is not linked to are compared with
+all of the band, so every pair of a band is either checked or linked through the least text already.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strata.llm.batches import Hashes, Piece, lower_table, mix, pieces, space_table, word_bounds
+from strata.llm.simhash import fingerprints
+from strata.session import scratch_path
+
+SHINGLE, BANDS, ROWS = 5, 32, 5
+LOWER, GAPS = lower_table(), space_table()
+FACTORS = np.random.default_rng(31).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingle hashes of each text in order, and where each text's begin; under five words: one shingle of all, no words: none."""
+    data = LOWER[piece.data]
+    first, end, before = word_bounds(data, piece.starts, GAPS)
+    words = np.diff(before)
+    width = np.minimum(words, SHINGLE)
+    count = np.where(words > 0, words - width + 1, 0)
+    row = np.repeat(np.arange(len(piece)), count)
+    place = before[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    values = mix(Hashes(mix(Hashes(data).of(first, end)), 1).of(place, place + width[row]))
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    return values[new], np.searchsorted(row[new], np.arange(len(piece) + 1))
+
+
+def bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Band keys of each set, one row of ``BANDS`` for each; no set may be empty."""
+    out = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band, np.uint64)
+        for factor in FACTORS[band * ROWS:(band + 1) * ROWS]:
+            key = mix(key ^ np.minimum.reduceat(values * factor, starts)) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, band] = key
+    return out
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches):
+        values, starts = shingles(piece)
+        have = np.flatnonzero(np.diff(starts))
+        if len(have):
+            keys = bands(values, starts[have])
+            columns = [piece.rows.column(0).take(pa.array(have)), pa.array(fingerprints(piece)[have].view(np.int64)), pa.array(np.diff(starts)[have]), _lists(keys.ravel(), np.arange(len(have) + 1) * BANDS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "fingerprint", "size", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches):
+        yield pa.RecordBatch.from_arrays([piece.rows.column(0), _lists(*shingles(piece))], names=["node", "set"])
+
+
+def links(documents: DataFrame) -> DataFrame:
+    """``(a, b)``: SimHash fingerprints of texts of similarity 0.8 or more, so many that all such texts are connected.
+
+    Equal texts count once. Null texts and texts without a word have no links.
+    """
+    spark = documents.sparkSession
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    texts = documents.where("text IS NOT NULL").select(F.unhex(F.md5("text")).alias("node"), "text")
+    marks = written(texts.mapInArrow(_marks, "node binary, fingerprint long, size long, bands array<long>").dropDuplicates(["node"]), "marks")
+    every = marks.select(F.explode("bands").alias("band"), F.struct("node", "fingerprint", "size").alias("x"))
+    met = written(every.join(every.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi"), "bands")
+    sets = written(texts.join(met.select("x.node").distinct(), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets, "node binary, set array<long>"), "sets")
+    one, two = (sets.select(F.col("node").alias(f"n{i}"), F.col("set").alias(f"s{i}")) for i in (1, 2))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)").distinct()
+        both = pairs.join(one, F.col("x.node") == F.col("n1")).join(two, F.col("y.node") == F.col("n2"))
+        return both.where("9 * size(array_intersect(s1, s2)) >= 4 * (x.size + y.size)").select("x", "y")
+
+    heads = met.groupBy("band").agg(F.min("x").alias("y"))
+    stars = met.join(heads, "band").where("x.node <> y.node")
+    near = written(checked(stars.select("x", "y")), "near")
+    far = stars.join(near.select(F.col("x.node").alias("n1"), F.col("y.node").alias("n2")), F.expr("x.node = n1 AND y.node = n2"), "left_anti")
+    rest = far.select("band", "x", F.col("y").alias("head")).join(met.select("band", F.col("x").alias("y")), "band").where("x.node <> y.node AND y.node <> head.node")
+    others = checked(rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    return near.unionByName(others).select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")).where("a <> b")

@@ -159,10 +159,11 @@ def with_fingerprint(documents: DataFrame) -> DataFrame:
     return source.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", fingerprint long")
 
 
-def linked(prints: DataFrame, *, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def linked(prints: DataFrame, *, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE, more: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` for the fingerprints of ``prints`` that have another within ``radius`` bits, all pairs considered.
 
-    Equal fingerprints count once, so groups of copies add nothing. Nulls are left out.
+    Equal fingerprints count once, so groups of copies add nothing. Nulls are left out. ``more`` are links
+    ``(a, b)`` of fingerprints that hold besides.
     """
     distinct = prints.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
     total = distinct.count()
@@ -180,7 +181,7 @@ def linked(prints: DataFrame, *, radius: int = RADIUS, leaf: int = LEAF, sample:
         return pa.table({"a": _signed(member), "b": _signed(head)})
 
     met = distinct.mapInArrow(route, "leaf long, fingerprint long").groupBy("leaf").applyInArrow(link, "a long, b long")
-    return components(met)
+    return components(met if more is None else met.unionByName(more))
 
 
 def _prints(documents: DataFrame) -> DataFrame:
@@ -189,10 +190,10 @@ def _prints(documents: DataFrame) -> DataFrame:
     return documents.sparkSession.read.parquet(path)
 
 
-def _named(prints: DataFrame) -> DataFrame:
+def _named(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """``doc_id, fingerprint, root, component_id`` for each row of ``prints``; the root is one fingerprint of the component."""
     groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = linked(prints)
+    roots = linked(prints, more=more)
     rooted = groups.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select(F.col("fingerprint").alias("__f"), "root", "component_id")
@@ -212,16 +213,16 @@ def digest(documents: DataFrame) -> DataFrame:
     return classes(documents).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """One row of each component, with its own columns: that with the least id, a null id only if there is no other.
 
     If rows of the component share that id, or it is null, the one with the least text of them stays, and of
     equal ones one. An id that stands on one row alone finds its row; only the rows of null and shared ids are
-    told apart by their fingerprints.
+    told apart by their fingerprints. ``more`` are links ``(a, b)`` of fingerprints that hold besides.
     """
     spark, prints = documents.sparkSession, _prints(documents)
     path = scratch_path(spark, "kept")
-    first = _named(prints).where("doc_id <=> component_id").select("doc_id", "fingerprint", "root").distinct()
+    first = _named(prints, more).where("doc_id <=> component_id").select("doc_id", "fingerprint", "root").distinct()
     first.select(*[F.col(c).alias(f"__{c}") for c in first.columns]).write.parquet(path)
     first = spark.read.parquet(path)
     path = scratch_path(spark, "shared")
