@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strata.llm import debruijn_dedup, decontaminate, line_dedup, maxent_lm, mixing, quality_rules, sharding, simhash, suffix_dedup, warc
+from strata.llm import centroids, debruijn_dedup, decontaminate, fill_middle, line_dedup, maxent_lm, minhash, mixing, quality_rules, sharding, simhash, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_line_dedup"] = line_dedup.SQL
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_centroids"] = centroids.SQL
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_fill_middle"] = fill_middle.SQL
+
+
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))

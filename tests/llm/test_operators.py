@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strata.llm import components, debruijn_dedup, decontaminate, fm_index, line_dedup, maxent_lm, mixing, quality_rules, sharding, simhash, suffix_dedup, warc
+from strata.llm import centroids, components, debruijn_dedup, decontaminate, fill_middle, fm_index, line_dedup, maxent_lm, minhash, mixing, quality_rules, set_links, sharding, simhash, suffix_dedup, warc
 from tests.llm.brute import LOWER, WORD, raw, repeated, sha, special_rows
 
 ROWS = special_rows()
@@ -345,3 +345,191 @@ def test_warc_round_trip(spark):
     notes = next(warc.read_record(bytes(r.record))[1].decode() for r in rows if r.page_id == 1 and r.kind == "metadata")
     assert "sourceHeader-Content-Type: text/html" in notes and "outlink: /l" in notes
     assert warc.derive(None) == warc.derive(b"no record") == warc.derive(warc.response("1", "u", "p")[:80]) == []
+
+
+def _fill_middle(doc_id, text, unit):
+    text = text or ""
+    h = sha(f"7:{'' if doc_id is None else doc_id}".encode())
+    draws = [int(h[8 * k:8 * k + 8], 16) for k in range(4)]
+    units = re.findall(r"[^\n]*\n|[^\n]+", text) if unit == "line" else list(text)
+    one, two = sorted(d % (len(units) + 1) for d in draws[:2])
+    p, m, s = "".join(units[:one]), "".join(units[one:two]), "".join(units[two:])
+    if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")):
+        return (doc_id, len(units), "plain", None, None, text, text)
+    if draws[3] % 100 < 50:
+        return (doc_id, len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", text)
+    return (doc_id, len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", text)
+
+
+FILL_ROWS = [*ROWS, (600, "\n"), (601, "\n\n\nä"), (602, "é\n€\n𝄞\nx\n" * 40), (603, "a <S> b\nc"), (604, "a\n<P\n>S>\n<\nM"), (605, "𝄞" * 300), (606, "ab€\r\n" * 50 + "end"), (606, "one\ntwo\n"), (607, "z" * 70_000 + "\n" + "é" * 70_000)]
+
+
+@pytest.mark.parametrize("unit", fill_middle.UNITS)
+@pytest.mark.parametrize("piece", [1 << 20, 300])
+def test_fill_middle(spark, monkeypatch, unit, piece):
+    monkeypatch.setattr(fill_middle, "PIECE", piece)
+    df = spark.createDataFrame(FILL_ROWS, "doc_id long, text string").repartition(3).withColumns({"form": F.lit("own"), "N": F.lit(1), "draws": F.lit("d"), "draws_": F.lit(None).cast("string")})
+    made = fill_middle.transform(df, unit=unit)
+    assert {"doc_id", "text", "draws", "draws_", "n", "form", "output"} <= set(made.columns) and "N" not in made.columns
+    got = made.withColumn("back", fill_middle.restored(F.col("output"), F.col("form")))
+    columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "back"]
+    assert found(got, columns) == sorted((_fill_middle(i, t, unit) for i, t in FILL_ROWS), key=str)
+
+
+def test_fill_middle_digest_and_empty_table(docs, empty):
+    want = sorted(((*w[:5], sha(w[5].encode()), sha(w[6].encode())) for w in (_fill_middle(i, t, "line") for i, t in ROWS)), key=str)
+    assert found(fill_middle.digest(docs), ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]) == want
+    assert fill_middle.digest(empty).count() == 0
+    assert fill_middle.transform(docs, cut=0).where("form <> 'plain' OR output <> coalesce(text, '')").count() == 0
+
+
+def test_exceptions_turn_bytes_into_code_points_and_back():
+    rng = random.Random(1)
+    for _ in range(60):
+        text = "".join(rng.choice("ab\né€𝄞") for _ in range(rng.randrange(0, 40)))
+        index = fill_middle.Exceptions.of(np.frombuffer(text.encode(), np.uint8))
+        places = np.array([len(text[:k].encode()) for k in range(len(text) + 1)])
+        assert list(index.chars(places)) == list(range(len(text) + 1)) and list(index.bytes(np.arange(len(text) + 1))) == list(places)
+        assert len(index.byte) == sum(len(c.encode()) > 1 for c in text)
+
+
+def _centroids(rows, clusters, rounds):
+    kept = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    now = [v for _, _, v in sorted((sha(f"3:{'' if i is None else i}".encode()), k, v) for k, (i, v) in enumerate(sorted(kept, key=lambda r: r[1])))][:clusters]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), k) for k, c in enumerate(now))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[near(v)[1]].append(v)
+        now = [tuple(sum(x) // len(groups[k]) for x in zip(*groups[k])) if k in groups else c for k, c in enumerate(now)]
+    placed = [(i, *near(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, k in placed:
+        inertia[k] += d
+    return [(i, k, d, inertia[k], sum(inertia.values()), sha(",".join(map(str, now[k])).encode())) for i, d, k in placed]
+
+
+def _vectors():
+    rng = random.Random(12)
+    middles = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(5)]
+    rows = [(i, [float(np.float32(x + rng.gauss(0, 0.3))) for x in rng.choice(middles)]) for i in range(120)]
+    rows += [(200, rows[0][1]), (200, rows[0][1]), (201, rows[5][1]), (None, rows[7][1]), (202, None), (203, []), (204, [1.0] * 63), (205, [1.0] * 65)]
+    return rows + [(206, [None] + [1.0] * 63), (207, [math.nan] * 64), (208, [math.inf] + [0.0] * 63), (209, [-0.0] * 64), (210, [1e-30] * 64)]
+
+
+@pytest.mark.parametrize("large", [[], [(300, [1e9] * 64), (301, [-3e5] * 32 + [2.5e5] * 32)]])
+def test_centroids(spark, large):
+    rows = _vectors() + large
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).withColumns({"cluster": F.lit("own"), "__v": F.lit(1), "__v__": F.lit(2)})
+    columns = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    fits = lambda r: tuple(None if isinstance(x, int) and x >= 2**63 else x for x in r)
+    want = sorted((fits(r) for r in _centroids(rows, 8, 10)), key=str)
+    assert found(centroids.digest(df), columns) == want
+    model = centroids.fit(df)
+    out = centroids.assign(df, model)
+    assert set(out.columns) == {*df.columns, "distance"} and found(out, columns[:3]) == sorted([r[:3] for r in want], key=str)
+    assert model.wide == bool(large)
+
+
+def test_centroids_with_few_vectors_and_none(spark):
+    df = spark.createDataFrame(_vectors(), "vec_id long, embedding array<double>")
+    few = df.where("vec_id IN (3, 9, 200)")
+    assert len(centroids.fit(few).values) == 4 and centroids.digest(few).agg(F.sum("distance")).first()[0] == 0
+    none = df.where("vec_id = 204")
+    assert centroids.fit(none).values == () and centroids.digest(none).count() == 0 and centroids.assign(none, centroids.fit(none)).count() == 0
+    assert centroids.digest(none).columns == centroids.digest(few).columns
+    assert centroids.digest(df.where("1 = 0")).count() == 0
+
+
+def _shingle_sets(rows, width):
+    words = [tuple(WORD.findall(raw(t).translate(LOWER))) for _, t in rows]
+    return [{w[k:k + width] for k in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+
+
+def _linked(sets, per_cent=80):
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= per_cent * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
+def _variants(seed, groups, copies, edits):
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(rng.choice([2, 5, 30, 120, 300]))]
+        for _ in range(copies):
+            own = list(words)
+            for _ in range(rng.randrange(0, 1 + int(len(words) * edits))):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 1000, " ".join(own)))
+    return rows
+
+
+def test_minhash(spark, empty):
+    rows = [*_variants(3, 25, 8, 0.05), *ROWS, (2000, "Aa bB"), (2001, "AA  bb"), (2002, "aa bb cc dd"), (2003, "aa bb cc dd aa bb cc dd"), (None, "aa\x0bBB")]
+    sets = _shingle_sets(rows, 4)
+    roots, least = _linked(sets), {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[roots[i]] = min(name, least.get(roots[i], name))
+    want = sorted(((rows[i][0], len(sets[i]), least.get(roots[i]), rows[i][0] == least.get(roots[i])) for i in range(len(rows))), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({"node": F.lit("own"), "size": F.lit(1), "bands": F.lit(2)})
+    assert found(minhash.digest(df), ["doc_id", "n_shingles", "component_id", "kept"]) == want
+    assert len(set(roots)) < len(rows) - 100
+    assert minhash.digest(empty).count() == 0
+
+
+def test_bins_agree_like_the_similarity_of_small_and_large_sets():
+    rng = np.random.default_rng(8)
+    for size, low, high in ((9, 0.70, 0.90), (2000, 0.70, 0.90)):
+        agree = []
+        for _ in range(40):
+            both = np.unique(rng.integers(0, 2**64 - 1, size, dtype=np.uint64))
+            extra = np.unique(rng.integers(0, 2**64 - 1, size // 8, dtype=np.uint64))  # 8 of 9 and of 9 are common: 0.8
+            one, two = np.sort(np.append(both[:-len(extra)], extra)), both
+            values, starts = np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)])
+            a, b = minhash.sketches(values, starts)
+            agree.append((a == b).mean())
+        assert low < np.mean(agree) < high
+
+
+def test_a_head_that_few_members_resemble_hides_no_link(spark, monkeypatch):
+    """One bucket for all: stars link each text to the least node only, the rest comes from rare shingles."""
+    rows = _variants(9, 12, 6, 0.08)
+    sets = _shingle_sets(rows, 4)
+    monkeypatch.setattr(set_links, "SPLIT", 3)  # heads in many groups
+    monkeypatch.setattr(minhash, "bands", lambda sketch: np.zeros((len(sketch), minhash.BANDS), np.uint64))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    roots, least = _linked(sets), {}
+    for i, (name, _) in enumerate(rows):
+        least[roots[i]] = min(name, least.get(roots[i], name))
+    assert found(minhash.digest(df), ["doc_id", "component_id"]) == sorted([(rows[i][0], least[roots[i]]) for i in range(len(rows))], key=str)
+
+
+def test_texts_of_a_template_do_not_meet(spark):
+    """Texts of one template just under the limit share buckets, but no pair of them is made."""
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(400)]
+    rows = []
+    for i in range(150):
+        own = list(template)
+        for k in rng.sample(range(len(own)), 7):
+            own[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    sets = _shingle_sets(rows, 4)
+    assert all(0.7 < len(sets[0] & s) / len(sets[0] | s) < 0.8 for s in sets[1:])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = df.select(set_links.node_of(F.col("text")).alias("node"))
+    whole = set_links.sets_of(df, nodes, 4)
+    involved = whole.select("node", F.col("node").alias("comp"), F.size("set").cast("long").alias("size"))
+    assert set_links.prefix_pairs(involved, whole, 80).count() == 0
+    assert minhash.digest(df).where("kept").count() == len(rows)

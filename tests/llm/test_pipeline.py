@@ -41,7 +41,7 @@ def test_stages_take_no_rows(spark):
 
 
 def test_all_queries_are_there():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 def test_near_duplicates_against_brute_force(spark):
