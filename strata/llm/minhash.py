@@ -57,20 +57,21 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 
 
 def marks(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``node, size, bands`` of every text, row by row; no text: size 0 and no bands."""
+    """``node, size, bands, sketch`` (packed) of every text, row by row; without words: size 0 and empty lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             values, starts = set_links.shingles(piece, width)
             have = np.diff(starts) > 0
-            keys = bands(sketches(values, np.append(starts[:-1][have], len(values)))) if have.any() else np.zeros((0, BANDS), np.uint64)
-            place = np.concatenate([[0], np.cumsum(have)]) * BANDS
+            sketch = sketches(values, np.append(starts[:-1][have], len(values))) if have.any() else np.zeros((0, BINS), np.uint64)
+            before = np.concatenate([[0], np.cumsum(have)])
+            keys, low = bands(sketch), set_links.packed(sketch)
             others = [c for k, c in enumerate(piece.rows.columns) if piece.rows.schema.names[k] != "text"]
             names = [c for c in piece.rows.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(np.diff(starts)), set_links.lists(keys.ravel(), place)], names=[*names, "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*others, pa.array(np.diff(starts)), set_links.lists(keys.ravel(), before * BANDS), set_links.lists(low.ravel(), before * low.shape[1])], names=[*names, "size", "bands", "sketch"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.schema if f.name != "text")
     source = documents.withColumn("node", set_links.node_of(F.coalesce("text", F.lit(""))))
-    return source.mapInArrow(run, f"{fields}, node binary, size long, bands array<long>")
+    return source.mapInArrow(run, f"{fields}node binary, size long, bands array<long>, sketch array<long>")
 
 
 def classes(documents: DataFrame, *, width: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
@@ -82,8 +83,8 @@ def classes(documents: DataFrame, *, width: int = SHINGLE, per_cent: int = PER_C
     id is a component's id only if it has no other. Texts count whole, however long; an empty table stays empty.
     """
     named = written(marks(documents.select("doc_id", "text"), width), "marks")
-    distinct = named.where("size > 0").select("node", "size", "bands").dropDuplicates(["node"])
-    roots = components(set_links.links(documents, written(distinct, "nodes"), width, per_cent)).select(F.col("node").alias("m"), "root")
+    distinct = named.where("size > 0").select("node", "size", "bands", "sketch").dropDuplicates(["node"])
+    roots = components(set_links.links(documents, written(distinct, "nodes"), width, per_cent, BINS)).select(F.col("node").alias("m"), "root")
     least = named.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = written(least.join(roots, F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     ids = written(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("id")), "ids")

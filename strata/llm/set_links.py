@@ -1,9 +1,9 @@
 """Links between texts whose sets of word shingles are similar, found from banded buckets of any kind.
 
 A text is known by the MD5 of its bytes. The members of a bucket are candidates of one of them, its head, only: a
-star, whose pairs grow with the bucket. Members that stars leave in different components and that a bucket
-with others could still link are joined exactly by their rarest shingles (``prefix_pairs``). Each pair
-is confirmed on whole sets; a head's set goes to a task once for ``SPLIT`` members, a member's once for each head.
+star, whose pairs grow with the bucket. Members of a bucket that the stars leave in different components go on to
+their rarest shingles: stars again, of which each shingle has one, and at last the exact join of what is still
+apart (``prefix_pairs``). Each pair is confirmed on whole sets; a head's set goes to a task once for ``SPLIT`` members.
 """
 
 from __future__ import annotations
@@ -20,7 +20,13 @@ from strata.llm.components import components
 from strata.llm.repeats import written
 
 #: Members that are compared with a head in one group.
-SPLIT = 1000
+SPLIT = 250
+#: Rounds of stars over rare shingles before what is left is joined pair by pair.
+STARS = 1
+#: Four bits of each bin of a sketch, packed into longs.
+BITS, WORD_BITS = 4, 64
+#: Standard deviations that the agreement of two sketches may stay under its mean; less is passed over (2 in 10^8).
+SIGMAS = 5.5
 LOWER, GAPS = lower_table(), space_table()
 
 
@@ -95,33 +101,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return written(rows.mapInArrow(lambda batches: _similar(batches, per_cent), "a binary, b binary"), "similar")
 
 
-def prefix_pairs(involved: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components that can be similar, no similar pair left out; ``involved``: (node, comp, size).
+def packed(sketch: np.ndarray) -> np.ndarray:
+    """The low bits of all bins of each sketch, as rows of longs."""
+    per = WORD_BITS // BITS
+    low = (mix(sketch) & np.uint64(2**BITS - 1)).reshape(len(sketch), -1, per) << np.arange(0, WORD_BITS, BITS, dtype=np.uint64)
+    return np.bitwise_or.reduce(low, axis=2)
 
-    Shingles are ordered by how many involved texts have them, rarest first. Of two similar sets the larger
-    one's first ``size - ceil(t * size) + 1`` shingles and the smaller one's first ``size - ceil(2t / (1 + t) * size) + 1``
-    have one in common. Texts of one template differ in more rare shingles than that, so they do not meet.
+
+def _differ(one: str, two: str, words: int) -> str:
+    """SQL for the number of bins whose low bits differ."""
+    spread = "|".join(f"shiftrightunsigned({one}[{{0}}] ^ {two}[{{0}}], {k})" for k in range(BITS))
+    mask = sum(1 << k for k in range(0, WORD_BITS, BITS))
+    return " + ".join(f"bit_count(({spread.format(w)}) & {mask}L)" for w in range(words))
+
+
+def _may_differ(bins: int, per_cent: int, sigmas: float) -> int:
+    """Bins in which the sketches of two sets at the limit differ, with ``sigmas`` standard deviations more."""
+    agree = per_cent / 100 + (1 - per_cent / 100) / 2**BITS
+    return int(bins * (1 - agree) + sigmas * (bins * agree * (1 - agree)) ** 0.5) + 1
+
+
+def rare_shingles(involved: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """``node, size, left, token, sketch``: the rare shingles of each involved text that others have as well, written.
+
+    Shingles are ordered by how many involved texts have them, rarest first; ``left`` counts those from this one
+    on. Two similar sets have one of the first ``size - ceil(t * size) + 1`` of either in common.
     """
-    p = per_cent
-    inside = involved.join(sets, "node").select("node", "comp", "size", F.explode("set").alias("token"))
+    inside = involved.join(sets, "node").select("node", "size", F.explode("set").alias("token"))
     counts = written(inside.groupBy(F.col("token").alias("t")).count().where("count > 1"), "shared")
-    ranked = inside.join(counts, F.col("token") == F.col("t"), "left").select("node", "comp", "size", "token", F.coalesce("count", F.lit(1)).alias("n"))
-    probe, index = F.expr(f"size - (({p} * size + 99) div 100) + 1"), F.expr(f"size - ((2 * {p} * size + {99 + p}) div {100 + p}) + 1")
-    rare = ranked.groupBy("node", "comp", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "token"))), 1, F.max(probe).cast("int")).alias("rare"))
-    posted = written(rare.select("node", "comp", "size", F.posexplode("rare").alias("at", "x")).where("x.n > 1").select("node", "comp", "size", F.col("x.token").alias("token"), (F.col("at") < index).alias("early")), "rare")
-    spread = posted.groupBy(F.col("token").alias("t"), F.col("comp").alias("c")).count().groupBy("t").agg(F.max_by("c", "count").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    spread = written(spread, "spread")
-    open_ = written(posted.join(spread, F.col("token") == F.col("t")).drop("t", "comps"), "open")
-    x = open_.where("comp <> most").select(*[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "size", "token", "early")])
-    met = x.join(open_, F.col("x_token") == F.col("token")).where("comp <> x_comp AND (x_early OR early)")
-    met = met.where(f"100 * least(size, x_size) >= {p} * greatest(size, x_size) AND CASE WHEN size < x_size THEN early WHEN size > x_size THEN x_early ELSE early AND x_early END")
-    return written(met.select(F.col("x_node").alias("a"), F.col("node").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix")
-
-
-def links(documents: DataFrame, marks: DataFrame, width: int, per_cent: int) -> DataFrame:
+    ranked = inside.join(counts, F.col("token") == F.col("t"), "left").select("node", "size", "token", F.coalesce("count", F.lit(1)).alias("n"))
+    length = F.expr(f"size - (({per_cent} * size + 99) div 100) + 1")
+    rare = ranked.groupBy("node", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "token"))), 1, F.max(length).cast("int")).alias("rare"))
+    posted = rare.select("node", "size", F.posexplode("rare").alias("at", "x")).where("x.n > 1").select(F.col("node").alias("m"), "size", (F.col("size") - F.col("at")).alias("left"), F.col("x.token").alias("token"))
+    return written(posted.join(involved.select("node", "sketch"), F.col("m") == F.col("node")).drop("m"), "rare")
+
+
+def _open(posted: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rare shingles that stand in several components, with ``comp`` and the one that has the shingle most often."""
+    placed = posted.join(roots, F.col("node") == F.col("m"), "left").select(*posted.columns, F.coalesce("root", "node").alias("comp"))
+    placed = written(placed, "placed")
+    spread = placed.groupBy(F.col("token").alias("t"), F.col("comp").alias("c")).count().groupBy("t").agg(F.max_by("c", "count").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return written(placed.join(written(spread, "spread"), F.col("token") == F.col("t")).drop("t", "comps"), "open")
+
+
+def _near(met: DataFrame, per_cent: int, bins: int, sigmas: float = SIGMAS) -> DataFrame:
+    """Of rows with the columns of two texts (the other's with ``x_``): the different pairs that can be similar, written.
+
+    The first rare shingle that similar sets have in common stands so early in both that the rest can still hold
+    their intersection; and their sketches do not differ in too many bins.
+    """
+    p = per_cent
+    met = met.where(f"100 * least(size, x_size) >= {p} * greatest(size, x_size) AND {100 + p} * least(left, x_left) >= {p} * (size + x_size)")
+    met = met.where(f"{_differ('sketch', 'x_sketch', bins * BITS // WORD_BITS)} <= {_may_differ(bins, p, sigmas)}")
+    return written(met.select("node", "x_node").distinct().select(F.col("node").alias("a"), F.col("x_node").alias("b")), "rare-pairs")
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "size", "token", "left", "sketch")])
+
+
+def star_pairs(posted: DataFrame, roots: DataFrame, per_cent: int, bins: int, seed: int) -> DataFrame:
+    """Pairs ``(a, b)`` of each text with one text, ``b``, of each of its rare shingles, in different components."""
+    rows = _open(posted, roots)
+    chosen = rows.groupBy("token").agg(F.min_by(F.struct("node", "comp", "size", "left", "sketch"), F.xxhash64(F.lit(seed), "node")).alias("x"))
+    heads = _renamed(written(chosen.select("token", "x.*"), "chosen"))
+    return _near(rows.join(heads, F.col("token") == F.col("x_token")).where("comp <> x_comp"), per_cent, bins)
+
+
+def prefix_pairs(posted: DataFrame, roots: DataFrame, per_cent: int, bins: int, sigmas: float = SIGMAS) -> DataFrame:
+    """All pairs ``(a, b)`` of texts of different components that can be similar by their rare shingles and sketches.
+
+    Texts of one template differ in so many rare shingles that they hardly meet. ``roots``: (m, root).
+    """
+    rows = _open(posted, roots)
+    x = _renamed(rows.where("comp <> most"))
+    # of a pair outside the most frequent component, which both sides hold, one order is enough
+    return _near(x.join(rows, F.col("x_token") == F.col("token")).where("comp <> x_comp AND (comp = most OR node < x_node)"), per_cent, bins, sigmas)
+
+
+def links(documents: DataFrame, marks: DataFrame, width: int, per_cent: int, bins: int) -> DataFrame:
     """``(a, b)``: nodes of similar texts, so many that all similar texts that share a bucket are connected.
 
-    ``marks``: ``node, size, bands`` of texts with words, a row for each different text.
+    ``marks``: ``node, size, bands, sketch`` (packed) of texts with words, a row for each different text.
     """
     x = F.struct("node", "size")
     every = marks.select(F.explode("bands").alias("band"), "node", "size")
@@ -132,8 +193,18 @@ def links(documents: DataFrame, marks: DataFrame, width: int, per_cent: int) ->
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.where("n > 2").select("node"))
     sets = sets_of(documents, nodes, width)
     near = confirmed(pairs, sets, per_cent)
-    roots = components(near).select(F.col("node").alias("m"), "root")
-    labelled = written(met.where("n > 2").join(roots, F.col("node") == F.col("m"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("comp")), "labelled")
+
+    def roots() -> DataFrame:
+        return components(near).select(F.col("node").alias("m"), "root")
+
+    labelled = met.where("n > 2").join(roots(), F.col("node") == F.col("m"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("comp"))
+    labelled = written(labelled, "labelled")
     split = written(labelled.groupBy(F.col("band").alias("k")).agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("k"), "split")
-    involved = written(labelled.join(split, F.col("band") == F.col("k")).select("node", "size", "comp").distinct(), "involved")
-    return near.unionByName(confirmed(prefix_pairs(involved, sets, per_cent), sets, per_cent))
+    involved = labelled.join(split, F.col("band") == F.col("k")).select("node", "size").distinct()
+    involved = written(involved.join(marks.select(F.col("node").alias("m"), "sketch"), F.col("node") == F.col("m")).drop("m"), "involved")
+    posted = rare_shingles(involved, sets, per_cent)
+    for seed in range(STARS):
+        near = near.unionByName(confirmed(star_pairs(posted, roots(), per_cent, bins, seed), sets, per_cent))
+    for sigmas in (0.0, SIGMAS):  # pairs that look similar first: what they join needs no others
+        near = near.unionByName(confirmed(prefix_pairs(posted, roots(), per_cent, bins, sigmas), sets, per_cent))
+    return near
