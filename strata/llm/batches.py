@@ -36,7 +36,9 @@ class Piece:
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the place where each row starts."""
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()

@@ -86,7 +86,7 @@ class Wavelet:
 class FmIndex:
     def __init__(self, seq: np.ndarray):
         """``seq`` ends with a separator."""
-        order = suffix_array(seq)
+        order = suffix_array(seq).astype(np.int32 if len(seq) < 2**31 else np.int64)
         self.last = seq[order - 1]  # order 0: the closing separator
         bits = max(1, int(seq.max()).bit_length())
         self.least = np.zeros(2**bits + 1, np.int64)
@@ -94,7 +94,7 @@ class FmIndex:
         self.size = len(seq)
         self.tree = Wavelet(self.last, bits)
         kept = (order % SAMPLE == 0) | (self.last == 0)
-        self.kept = np.zeros(len(seq) + 1, np.int64)
+        self.kept = np.zeros(len(seq) + 1, np.int32)
         np.cumsum(kept, out=self.kept[1:])
         self.places = order[kept]
 

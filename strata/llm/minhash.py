@@ -74,6 +74,17 @@ def marks(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
     return source.mapInArrow(run, f"{fields}node binary, size long, bands array<long>, sketch array<long>")
 
 
+def links(named: DataFrame, documents: DataFrame, width: int, per_cent: int = PER_CENT) -> DataFrame:
+    """``(a, b)``: nodes (MD5 of the text) of similar texts, so many that all similar ones are connected; ``named``: written ``marks``."""
+    distinct = named.where("size > 0").select("node", "size", "bands", "sketch").dropDuplicates(["node"])
+    return set_links.links(documents, written(distinct, "nodes"), width, per_cent, BINS)
+
+
+def near(documents: DataFrame, *, width: int, per_cent: int = PER_CENT) -> DataFrame:
+    """``links`` of the texts of ``documents``. Null texts and texts without a word have none, copies count once."""
+    return links(written(marks(documents.select("text"), width), "marks"), documents, width, per_cent)
+
+
 def classes(documents: DataFrame, *, width: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: the least ``doc_id`` that links reach, and whether it is the row's own.
 
@@ -83,8 +94,7 @@ def classes(documents: DataFrame, *, width: int = SHINGLE, per_cent: int = PER_C
     id is a component's id only if it has no other. Texts count whole, however long; an empty table stays empty.
     """
     named = written(marks(documents.select("doc_id", "text"), width), "marks")
-    distinct = named.where("size > 0").select("node", "size", "bands", "sketch").dropDuplicates(["node"])
-    roots = components(set_links.links(documents, written(distinct, "nodes"), width, per_cent, BINS)).select(F.col("node").alias("m"), "root")
+    roots = components(links(named, documents, width, per_cent)).select(F.col("node").alias("m"), "root")
     least = named.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = written(least.join(roots, F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     ids = written(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("id")), "ids")

@@ -184,20 +184,22 @@ def links(documents: DataFrame, marks: DataFrame, width: int, per_cent: int, bin
 
     ``marks``: ``node, size, bands, sketch`` (packed) of texts with words, a row for each different text.
     """
-    x = F.struct("node", "size")
-    every = marks.select(F.explode("bands").alias("band"), "node", "size")
-    heads = written(every.groupBy(F.col("band").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("head")).where("n > 1"), "buckets")
-    met = written(every.join(heads, F.col("band") == F.col("k")).where("node <> head.node").select("band", "node", "size", "head", "n"), "met")
-    fits = f"100 * least(size, head.size) >= {per_cent} * greatest(size, head.size)"
-    pairs = written(met.where(fits).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "stars")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.where("n > 2").select("node"))
+    named = marks.select(F.xxhash64("node").alias("short"), "node", "size")  # two nodes of one short name share their candidates
+    every = marks.select(F.explode("bands").alias("band"), F.xxhash64("node").alias("short"))
+    heads = written(every.groupBy(F.col("band").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("short").alias("head")).where("n > 1"), "buckets")
+    met = written(every.join(heads, F.col("band") == F.col("k")).where("short <> head").select("band", "short", "head", "n"), "met")
+    pairs = met.select("short", "head").distinct().join(named, "short").select(F.col("node").alias("a"), F.col("size").alias("x"), "head")
+    pairs = pairs.join(named, F.col("head") == F.col("short")).where(f"100 * least(size, x) >= {per_cent} * greatest(size, x)")
+    pairs = written(pairs.select("a", F.col("node").alias("b")), "stars")
+    met = written(met.where("n > 2").select("band", "short").join(named, "short").select("band", "node", "size"), "crowds")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.select("node"))
     sets = sets_of(documents, nodes, width)
     near = confirmed(pairs, sets, per_cent)
 
     def roots() -> DataFrame:
         return components(near).select(F.col("node").alias("m"), "root")
 
-    labelled = met.where("n > 2").join(roots(), F.col("node") == F.col("m"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("comp"))
+    labelled = met.join(roots(), F.col("node") == F.col("m"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("comp"))
     labelled = written(labelled, "labelled")
     split = written(labelled.groupBy(F.col("band").alias("k")).agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("k"), "split")
     involved = labelled.join(split, F.col("band") == F.col("k")).select("node", "size").distinct()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.batches import SPACES, Piece, lower_table, pieces, space_table, word_bounds
 from strata.llm.components import components
+from strata.llm.set_links import node_of
 from strata.session import scratch_path
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -185,8 +186,9 @@ def linked(prints: DataFrame, *, radius: int = RADIUS, leaf: int = LEAF, sample:
 
 
 def _prints(documents: DataFrame) -> DataFrame:
+    """``doc_id, node, fingerprint`` of each row; the node is the MD5 of the text (null: empty)."""
     path = scratch_path(documents.sparkSession, "prints")
-    with_fingerprint(documents.select("doc_id", "text")).select("doc_id", "fingerprint").write.parquet(path)
+    with_fingerprint(documents.select("doc_id", "text", node_of(F.coalesce("text", F.lit(""))).alias("node"))).drop("text").write.parquet(path)
     return documents.sparkSession.read.parquet(path)
 
 
@@ -218,9 +220,13 @@ def keep_one(documents: DataFrame, more: DataFrame | None = None) -> DataFrame:
 
     If rows of the component share that id, or it is null, the one with the least text of them stays, and of
     equal ones one. An id that stands on one row alone finds its row; only the rows of null and shared ids are
-    told apart by their fingerprints. ``more`` are links ``(a, b)`` of fingerprints that hold besides.
+    told apart by their fingerprints. ``more`` are links ``(a, b)`` of texts, by the MD5 of each, that hold besides.
     """
     spark, prints = documents.sparkSession, _prints(documents)
+    if more is not None:
+        by_node = prints.select("node", "fingerprint").distinct()
+        more = more.join(by_node.withColumnsRenamed({"node": "a", "fingerprint": "x"}), "a").join(by_node.withColumnsRenamed({"node": "b", "fingerprint": "y"}), "b")
+        more = more.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
     path = scratch_path(spark, "kept")
     first = _named(prints, more).where("doc_id <=> component_id").select("doc_id", "fingerprint", "root").distinct()
     first.select(*[F.col(c).alias(f"__{c}") for c in first.columns]).write.parquet(path)

@@ -108,15 +108,21 @@ def _leaks(rows, items):
         yield i, len(w), len(hit), len(names), sha(",".join(sorted(names)).encode()), bool(hit)
 
 
-def test_decontaminate(docs, empty, spark):
+def test_decontaminate(docs, empty, spark, monkeypatch):
     rng = random.Random(4)
     items = [(k, " ".join(re.findall(r"\w+", ROWS[rng.randrange(80)][1])[5:5 + rng.randrange(1, 30)]).upper() + "!") for k in range(12)] + [(3, ROWS[5][1]), (90, None), (91, ""), (92, "..."), (None, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = sorted(_leaks(ROWS, items), key=str)
     assert found(decontaminate.digest(docs, bench), columns) == want
-    small = decontaminate.mark(docs.select("doc_id", "text"), bench, block_words=20)  # many blocks find the same
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_hit, len(r["items"])) for r in small.collect()) == sorted((w[0] is None, w[0] or 0, w[2], w[3]) for w in want)
+    table, count = decontaminate.blocks(bench, block_words=40, part_words=13)
+    assert count > 4 and table.count() > len(items)
+    whole = sorted((str(r.doc_id), r.n_hit, r["items"], r.spans) for r in decontaminate.mark(docs.select("doc_id", "text"), bench).collect())
+    small = decontaminate.mark(docs.select("doc_id", "text"), bench, block_words=40, part_words=13)  # many blocks of parts find the same
+    assert sorted((str(r.doc_id), r.n_hit, r["items"], r.spans) for r in small.collect()) == whole
+    monkeypatch.setattr(decontaminate, "SHARD", 500)
+    assert found(decontaminate.digest(docs, bench), columns) == want
+    monkeypatch.undo()
     clean = decontaminate.remove(docs, bench)
     assert clean.columns == docs.columns
     assert decontaminate.digest(clean, bench).where("contaminated").count() == 0
