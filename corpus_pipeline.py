@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, mixing, near, quality_rules, sharding, simhash
+from strata.llm import decontaminate, minhash, mixing, quality_rules, sharding, simhash
 from strata.session import scratch_path
 
 #: The learned rules, the components and the shards go beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near copies have fingerprints within two bits, or five-word shingles of similarity 0.8 or more.
     """
-    return simhash.keep_one(docs, near.links(docs))
+    return simhash.keep_one(docs, minhash.near(docs, width=SHINGLE))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
