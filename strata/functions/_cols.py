@@ -8,3 +8,13 @@ ColumnLike = Column | str
 
 def as_col(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
+
+
+def quoted(name: str) -> str:
+    """A column's name in SQL, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    """The column of exactly that name, dots and quotes included."""
+    return F.col(quoted(name))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions._cols import named
 from strata.operators.windows import HOT_ROWS, hot_groups, split_hot, tie_columns, window
 
 KEEP = ("first", "last", "none")
@@ -21,7 +22,7 @@ def compact_key(df: DataFrame, name: str) -> Column:
     Digests carry a mark that makes them longer than any short text, so the two cannot meet. A long
     text that is only compared, and not part of the result, then never leaves its map task.
     """
-    value = F.col("`" + name.replace("`", "``") + "`")
+    value = named(name)
     if not isinstance(df.schema[name].dataType, T.StringType):
         return value
     return F.when(F.length(value) > DIGEST_ABOVE, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
@@ -39,7 +40,7 @@ def deduplicate(df: DataFrame, key_columns: Sequence[str], order_by: Sequence[st
     if not key_columns:
         return df
     order = [*order_by, *tie_columns(df, [*key_columns, *order_by])]
-    sides = [F.col(c).desc_nulls_last() if keep == "last" else F.col(c).asc_nulls_first() for c in order] or [F.lit(1)]
+    sides = [named(c).desc_nulls_last() if keep == "last" else named(c).asc_nulls_first() for c in order] or [F.lit(1)]
     keys = [compact_key(df, c) for c in key_columns]
     ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*sides)))
     return ranked.where(F.col("__rn") == 1).drop("__rn")

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions._cols import named, quoted
 from strata.operators.aggregate import metric
 
 MAX_PIVOT_VALUES = 10_000
@@ -15,7 +16,7 @@ MAX_PIVOT_VALUES = 10_000
 
 def pivot_values(df: DataFrame, column: str) -> list[Any]:
     """Sorted distinct values that become columns; refused when there are too many to be columns."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
+    rows = df.select(named(column)).where(named(column).isNotNull()).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
     if len(rows) > MAX_PIVOT_VALUES:
         raise ValueError(f"column {column!r} has more than {MAX_PIVOT_VALUES} values; take pivot_long")
     return sorted(r[0] for r in rows)
@@ -30,22 +31,24 @@ def pivot(
     Rows whose pivot value or measure is null are left out first, so an index that has no others
     disappears. An absent cell is 0 for sums and counts and null otherwise.
     """
-    kept = df.where(F.col(columns).isNotNull() & F.col(values).isNotNull())
+    kept = df.where(named(columns).isNotNull() & named(values).isNotNull())
     wanted = pivot_values(kept, columns) if pivot_on is None else list(pivot_on)
     cell = metric(kept, {"column": values, "function": aggfunc}, order_by)
-    wide = kept.groupBy(*index).pivot(columns, wanted).agg(cell.alias("cell"))
+    # Spark names the columns itself, so they are taken by place: a value may hold any character
+    wide = kept.groupBy(*[named(c) for c in index]).pivot(quoted(columns), wanted).agg(cell.alias("cell"))
+    wide = wide.toDF(*index, *[f"__cell{i}" for i in range(len(wanted))])
     zero = {"sum": F.lit(0.0), "count": F.lit(0), "count_distinct": F.lit(0)}.get(aggfunc)
-    out = [F.col(c) for c in index]
-    for value in wanted:
-        column = F.col(f"`{value}`")
+    out = [named(c) for c in index]
+    for i, value in enumerate(wanted):
+        column = F.col(f"__cell{i}")
         out.append((column if zero is None else F.coalesce(column, zero)).alias(f"{columns}_{value}"))
     return wide.select(*out)
 
 
 def pivot_long(df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "sum", order_by: Sequence[str] = ()) -> DataFrame:
     """The cells of :func:`pivot` as rows (index, ``columns``, cell), for any number of values; absent cells have no row."""
-    kept = df.where(F.col(columns).isNotNull() & F.col(values).isNotNull())
-    return kept.groupBy(*index, columns).agg(metric(kept, {"column": values, "function": aggfunc}, order_by).alias("cell"))
+    kept = df.where(named(columns).isNotNull() & named(values).isNotNull())
+    return kept.groupBy(*[named(c) for c in [*index, columns]]).agg(metric(kept, {"column": values, "function": aggfunc}, order_by).alias("cell"))
 
 
 def pivot_rows(df: DataFrame, group_by: str, pivot_column: str, value_column: str, agg_func: str = "sum", pivot_on: Sequence[Any] | None = None) -> DataFrame:

@@ -72,6 +72,17 @@ def cleanse(
     return cleaned.dropna(subset=list(critical_columns)) if critical_columns else cleaned
 
 
+def _null_on_failure(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column whose failing rows are null: how expressions fail is settled when they are resolved."""
+    conf = df.sparkSession.conf
+    strict = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        return df.withColumn(name, value)
+    finally:
+        conf.set("spark.sql.ansi.enabled", strict)
+
+
 def enrich(
     df: DataFrame,
     default_values: Mapping[str, Any] | None = None,
@@ -80,13 +91,17 @@ def enrich(
     run_ts: str | None = None,
     job_id: str | None = None,
 ) -> DataFrame:
-    """Defaults, then computed fields (each sees the earlier ones), then lookups, then the run stamp."""
+    """Defaults, then computed fields (each sees the earlier ones), then lookups, then the run stamp.
+
+    A computed field that fails on a row, by a cast, a division by zero or an index out of range, is null there;
+    whole numbers beyond their type wrap around, so compute those as decimals.
+    """
     result = df
     for name, default in (default_values or {}).items():
         value = F.coalesce(F.col(name), F.lit(default)) if name in result.columns else F.lit(default)
         result = result.withColumn(name, value)
     for name, rule in (computed_fields or {}).items():
-        result = result.withColumn(name, rule if isinstance(rule, Column) else rule(result))
+        result = _null_on_failure(result, name, rule if isinstance(rule, Column) else rule(result))
     for field, (table, key, value_name) in (lookup_tables or {}).items():
         if field in result.columns:
             result = lookup(result, field, table, key, value_name)

@@ -1,7 +1,7 @@
 """Window metrics that also hold when one group is far larger than a task can sort.
 
 Groups are counted first (one aggregate over a 64-bit hash of the group key). If none is larger than
-``hot_rows``, an ordinary Spark window does the work; both ways give the same values. Rows of larger groups are instead range-partitioned
+``hot_rows``, an ordinary Spark window does the work; both ways give the same values, sums of doubles too (``exact_sum``). Rows of larger groups are instead range-partitioned
 by group and order into many segments, written once to the checkpoint folder, windowed inside their
 segment and completed with what the earlier (or later) segments of the group carry over. The carried
 rows are one per group and segment, so they stay small whatever the size of the group.
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions._cols import named, quoted
+from strata.operators.exact_sum import Doubles, Whole, accumulators, number
 from strata.session import scratch_path, shared_dir
 
 HOT_ROWS = 2_000_000
@@ -27,25 +29,6 @@ SUM_FUNCTIONS = ("running_sum", "running_avg")
 FUNCTIONS = ("row_number", "rank", *OFFSET_FUNCTIONS, *SUM_FUNCTIONS)
 
 
-def _summable(df: DataFrame, name: str) -> Column:
-    """Whole numbers and decimals as they are, everything else as a decimal of ten places.
-
-    All sums are exact, so they do not depend on how a group is split. Values that do not fit (texts that
-    are no numbers, not-a-number, beyond 10^27) are skipped like nulls.
-    """
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.IntegralType, T.DecimalType)):
-        return F.col(name)
-    return F.col(name).try_cast("double").try_cast("decimal(38,10)")
-
-
-def _sum_type(df: DataFrame, name: str) -> T.DataType:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.IntegralType):
-        return T.LongType()
-    return T.DecimalType(min(37, kind.precision + 10), kind.scale) if isinstance(kind, T.DecimalType) else T.DecimalType(37, 10)
-
-
 def tie_columns(df: DataFrame, used: Sequence[str]) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in used and _orderable(f.dataType)]
 
@@ -70,7 +53,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataF
     Groups are told apart by hash only. Two groups with one hash travel together, which costs time
     but changes no result, because the rows are later grouped by their real keys.
     """
-    counts = df.select(F.xxhash64(*keys).alias("__w_hot")).groupBy("__w_hot").count().where(F.col("count") > hot_rows)
+    counts = df.select(F.xxhash64(*map(quoted, keys)).alias("__w_hot")).groupBy("__w_hot").count().where(F.col("count") > hot_rows)
     path = scratch_path(df.sparkSession, "hot-groups")
     counts.write.parquet(path)
     listed = df.sparkSession.read.schema("`__w_hot` bigint, `count` bigint").parquet(path)
@@ -80,7 +63,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataF
 
 def split_hot(df: DataFrame, keys: Sequence[str], listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the listed groups, other rows). Spark broadcasts the list where it has measured it to be small."""
-    tagged = df.withColumn("__w_hash", F.xxhash64(*keys))
+    tagged = df.withColumn("__w_hash", F.xxhash64(*map(quoted, keys)))
     condition = tagged["__w_hash"] == listed["__w_hot"]
     return tagged.join(listed, condition, "left_semi").drop("__w_hash"), tagged.join(listed, condition, "left_anti").drop("__w_hash")
 
@@ -98,7 +81,8 @@ def window(
 
     Ascending order, nulls first. ``tie_break`` (default: all other columns) makes the order total;
     pass ``[]`` when ``order_by`` is unique. ``rank`` follows SQL and ignores the tie-breakers.
-    Running sums start from 0 and skip nulls; running averages are null before the first value.
+    Running sums start from 0 and skip nulls and texts that are no numbers; running averages are null before the
+    first value. Both are exact until they are rounded to a double; infinities and not-a-number add up as doubles do.
     ``rows`` saves counting the rows where there are no groups.
     """
     _check(metrics)
@@ -125,27 +109,37 @@ def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number"
 
 
 def _plain(df: DataFrame, keys: list[str], order: list[str], tie: list[str], metrics: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    ranked = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    total = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in [*order, *tie]])
-    return df.withColumns({name: _expression(df, spec, total, ranked) for name, spec in metrics.items()})
+    keys = [quoted(k) for k in keys]
+    ranked = Window.partitionBy(*keys).orderBy(*[named(c).asc_nulls_first() for c in order])
+    total = Window.partitionBy(*keys).orderBy(*[named(c).asc_nulls_first() for c in [*order, *tie]])
+    how = accumulators(df, _summed(metrics))
+    rows, run = df, total.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work: dict[str, Column] = {}
+    for i, (c, kind) in enumerate(how.items()):  # the sums of all bins first, in one window; the doubles from them
+        work |= {f"__w_s{i}_{k}": F.sum(v).over(run) for k, v in kind.parts(number(df, c)).items()} | {f"__w_c{i}": F.count(number(df, c)).over(run)}
+    rows = df.withColumns(work) if work else df
+    new = {name: _expression(spec, total, ranked, how) for name, spec in metrics.items()}
+    return rows.withColumns(new).select(*[named(c) for c in dict.fromkeys([*df.columns, *new])])
+
+
+def _summed(metrics: Mapping[str, Mapping[str, Any]]) -> list[str]:
+    return sorted({m["column"] for m in metrics.values() if m["function"] in SUM_FUNCTIONS})
 
 
-def _expression(df: DataFrame, spec: Mapping[str, Any], total: Any, ranked: Any) -> Column:
+def _expression(spec: Mapping[str, Any], total: Any, ranked: Any, how: Mapping[str, Whole | Doubles]) -> Column:
     function, column, offset = spec["function"], spec.get("column"), int(spec.get("window", 1))
     if function == "row_number":
         return F.row_number().over(total)
     if function == "rank":
         return F.rank().over(ranked)
     if function == "lag":
-        return F.lag(column, offset).over(total)
+        return F.lag(named(column), offset).over(total)
     if function == "lead":
-        return F.lead(column, offset).over(total)
-    frame = total.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    value = _summable(df, column)
-    if function == "running_sum":
-        return F.coalesce(F.sum(value).over(frame).cast("double"), F.lit(0.0))
-    seen = F.count(value).over(frame)
-    return F.when(seen > 0, F.sum(value).over(frame).cast("double") / seen)
+        return F.lead(named(column), offset).over(total)
+    i, kind = list(how).index(column), how[column]
+    seen = F.col(f"__w_c{i}")
+    value = kind.total({k: F.col(f"__w_s{i}_{k}") for k in kind.parts(F.lit(0.0))})
+    return F.coalesce(value, F.lit(0.0)) if function == "running_sum" else F.when(seen > 0, value / seen)
 
 
 def _segmented(
@@ -157,43 +151,43 @@ def _segmented(
     # copies can be cut into segments. The checkpoint fixes segment and serial for both uses below.
     placed = (
         df.withColumn(SERIAL, F.monotonically_increasing_id())
-        .repartitionByRange(segments, *keys, *[F.col(c).asc_nulls_first() for c in [*order, *tie]], SERIAL)
+        .repartitionByRange(segments, *map(named, keys), *[named(c).asc_nulls_first() for c in [*order, *tie]], SERIAL)
         .withColumn(SEGMENT, F.spark_partition_id())
         .checkpoint()
     )
-    inner = [*keys, SEGMENT]
-    local = Window.partitionBy(*inner).orderBy(*[F.col(c).asc_nulls_first() for c in [*order, *tie]], SERIAL)
+    inner = [*map(quoted, keys), SEGMENT]
+    local = Window.partitionBy(*inner).orderBy(*[named(c).asc_nulls_first() for c in [*order, *tie]], SERIAL)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sorted({m["column"] for m in metrics.values() if m["function"] in SUM_FUNCTIONS})
+    sums = accumulators(placed, _summed(metrics))
     shifts = {n: m for n, m in metrics.items() if m["function"] in OFFSET_FUNCTIONS}
     with_rank = any(m["function"] == "rank" for m in metrics.values())
 
     carried = _carry(placed, keys, order, tie, sums, shifts, with_rank)
     work: dict[str, Column] = {"__w_n": F.row_number().over(local)}
-    for i, c in enumerate(sums):
-        work[f"__w_s{i}"] = F.sum(_summable(df, c)).over(upto)
-        work[f"__w_c{i}"] = F.count(_summable(df, c)).over(upto)
+    for i, (c, kind) in enumerate(sums.items()):
+        work |= {f"__w_s{i}_{k}": F.sum(v).over(upto) for k, v in kind.parts(number(df, c)).items()}
+        work[f"__w_c{i}"] = F.count(number(df, c)).over(upto)
     for name, spec in shifts.items():
         shift = F.lag if spec["function"] == "lag" else F.lead
-        work[f"__w_v_{name}"] = shift(spec["column"], int(spec.get("window", 1))).over(local)
+        work[f"__w_v_{name}"] = shift(named(spec["column"]), int(spec.get("window", 1))).over(local)
     rows = placed.withColumns(work)
     if with_rank:
-        rows = rows.withColumn("__w_tie", F.first("__w_n").over(Window.partitionBy(*inner, *order).orderBy("__w_n")))
+        rows = rows.withColumn("__w_tie", F.first("__w_n").over(Window.partitionBy(*inner, *map(quoted, order)).orderBy("__w_n")))
 
     left, right = rows.alias("l"), carried.alias("r")
     condition = F.col(f"l.{SEGMENT}") == F.col(f"r.{SEGMENT}")
     for k in keys:
-        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        condition = condition & F.col(f"l.{quoted(k)}").eqNullSafe(F.col(f"r.{quoted(k)}"))
     joined = left.join(right, condition, "left")
 
-    out: list[Column] = [F.col(f"l.{c}") for c in columns]
+    out: list[Column] = [F.col(f"l.{quoted(c)}") for c in columns]
     position = F.col("__w_n") + F.col("__w_before")
     for name, spec in metrics.items():
         function, n = spec["function"], int(spec.get("window", 1))
         if function == "row_number":
             value = position.cast("bigint")
         elif function == "rank":
-            same = F.struct(*[F.col(f"l.{c}") for c in order]).eqNullSafe(F.col("__w_first"))
+            same = F.struct(*[F.col(f"l.{quoted(c)}") for c in order]).eqNullSafe(F.col("__w_first"))
             value = (F.col("__w_tie") + F.col("__w_before") - F.when(same, F.col("__w_tied")).otherwise(0)).cast("bigint")
         elif function == "lag":
             size = F.size(f"__w_t_{name}")
@@ -205,55 +199,56 @@ def _segmented(
                 F.get(F.col(f"__w_t_{name}"), (F.col("__w_n") + n - F.col("__w_rows") - 1).cast("int"))["v"]
             )
         else:
-            i = sums.index(spec["column"])
-            kind = _sum_type(df, spec["column"])  # one digit less before the point, so that the sum keeps all behind it
-            total = F.coalesce(F.col(f"__w_s{i}").cast(kind), F.lit(0).cast(kind)) + F.coalesce(F.col(f"__w_bs{i}").cast(kind), F.lit(0).cast(kind))
+            i, how = list(sums).index(spec["column"]), sums[spec["column"]]
+            none = F.lit(0).cast(how.sum_type)
+            both = {k: F.coalesce(F.col(f"__w_s{i}_{k}").cast(how.sum_type), none) + F.coalesce(F.col(f"__w_bs{i}_{k}").cast(how.sum_type), none) for k in how.parts(F.lit(0.0))}
             seen = F.col(f"__w_c{i}") + F.col(f"__w_bc{i}")
-            value = total.cast("double") if function == "running_sum" else F.when(seen > 0, total.cast("double") / seen)
+            value = how.total(both) if function == "running_sum" else F.when(seen > 0, how.total(both) / seen)
         out.append(value.alias(name))
     return joined.select(*out)
 
 
 def _carry(
-    placed: DataFrame, keys: list[str], order: list[str], tie: list[str], sums: list[str], shifts: Mapping[str, Mapping[str, Any]], with_rank: bool
+    placed: DataFrame, keys: list[str], order: list[str], tie: list[str], sums: Mapping[str, Whole | Doubles], shifts: Mapping[str, Mapping[str, Any]], with_rank: bool
 ) -> DataFrame:
     """One row per group and segment with what the group's other segments contribute."""
-    inner = [*keys, SEGMENT]
+    inner = [*map(quoted, keys), SEGMENT]
     aggregates = [F.count(F.lit(1)).alias("__w_rows")]
-    for i, c in enumerate(sums):
-        aggregates += [F.sum(_summable(placed, c)).alias(f"__w_ps{i}"), F.count(_summable(placed, c)).alias(f"__w_pc{i}")]
+    for i, (c, how) in enumerate(sums.items()):
+        aggregates += [F.sum(v).alias(f"__w_ps{i}_{k}") for k, v in how.parts(number(placed, c)).items()]
+        aggregates.append(F.count(number(placed, c)).alias(f"__w_pc{i}"))
     summary = placed.groupBy(*inner).agg(*aggregates)
 
-    by_segment = Window.partitionBy(*keys).orderBy(SEGMENT)
+    by_segment = Window.partitionBy(*map(quoted, keys)).orderBy(SEGMENT)
     earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
     carried: dict[str, Column] = {"__w_before": F.coalesce(F.sum("__w_rows").over(earlier), F.lit(0))}
-    for i, _ in enumerate(sums):
-        carried[f"__w_bs{i}"] = F.sum(f"__w_ps{i}").over(earlier)
+    for i, how in enumerate(sums.values()):
+        carried |= {f"__w_bs{i}_{k}": F.sum(f"__w_ps{i}_{k}").over(earlier) for k in how.parts(F.lit(0.0))}
         carried[f"__w_bc{i}"] = F.coalesce(F.sum(f"__w_pc{i}").over(earlier), F.lit(0))
 
     if with_rank:
-        per_value = placed.groupBy(*inner, *order).agg(F.count(F.lit(1)).alias("__w_k"))
-        ordered = F.struct(*order)
+        per_value = placed.groupBy(*inner, *map(quoted, order)).agg(F.count(F.lit(1)).alias("__w_k"))
+        ordered = F.struct(*map(quoted, order))
         ends = per_value.groupBy(*inner).agg(
             F.min(ordered).alias("__w_first"), F.max(ordered).alias("__w_last"), F.max_by("__w_k", ordered).alias("__w_at_last")
         )
-        summary = _join_inner(summary, ends, inner)
-        run = Window.partitionBy(*keys, "__w_last").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summary = _join_inner(summary, ends, [*keys, SEGMENT])
+        run = Window.partitionBy(*map(quoted, keys), "__w_last").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         summary = summary.withColumn("__w_run", F.sum("__w_at_last").over(run))
         same = F.lag("__w_last").over(by_segment).eqNullSafe(F.col("__w_first"))
         carried["__w_tied"] = F.when(same, F.lag("__w_run").over(by_segment)).otherwise(0)
 
     for name, spec in shifts.items():
         n, lag = int(spec.get("window", 1)), spec["function"] == "lag"
-        sides = [F.col(c).desc_nulls_last() if lag else F.col(c).asc_nulls_first() for c in [*order, *tie]]
+        sides = [named(c).desc_nulls_last() if lag else named(c).asc_nulls_first() for c in [*order, *tie]]
         sides.append(F.col(SERIAL).desc() if lag else F.col(SERIAL).asc())
         edge = (
             placed.withColumn("__w_e", F.row_number().over(Window.partitionBy(*inner).orderBy(*sides)))
             .where(F.col("__w_e") <= n)
             .groupBy(*inner)
-            .agg(F.sort_array(F.collect_list(F.struct((F.col("__w_e") * (-1 if lag else 1)).alias("e"), F.col(spec["column"]).alias("v")))).alias(f"__w_e_{name}"))
+            .agg(F.sort_array(F.collect_list(F.struct((F.col("__w_e") * (-1 if lag else 1)).alias("e"), named(spec["column"]).alias("v")))).alias(f"__w_e_{name}"))
         )
-        summary = _join_inner(summary, edge, inner)
+        summary = _join_inner(summary, edge, [*keys, SEGMENT])
         near = by_segment.rowsBetween(-n, -1) if lag else by_segment.rowsBetween(1, n)
         joined = F.flatten(F.collect_list(f"__w_e_{name}").over(near))
         carried[f"__w_t_{name}"] = joined
@@ -265,6 +260,6 @@ def _join_inner(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     a, b = left.alias("a"), right.alias("b")
     condition = F.lit(True)
     for k in keys:
-        condition = condition & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    extra = [F.col(f"b.{c}") for c in right.columns if c not in keys]
-    return a.join(b, condition, "left").select("a.*", *extra)
+        condition = condition & F.col(f"a.{quoted(k)}").eqNullSafe(F.col(f"b.{quoted(k)}"))
+    extra = [F.col(f"b.{quoted(c)}") for c in right.columns if c not in keys]
+    return a.join(b, condition, "left").select(*[F.col(f"a.{quoted(c)}") for c in left.columns], *extra)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import aggregate as agg
-from strata.operators import dedup, pivot, quantiles, windows
+from strata.operators import dedup, exact_sum, pivot, quantiles, windows
 from strata.plans.registry import ORACLES, query
 from strata.quality import profile
 from strata.tables import load, view, with_views
@@ -148,13 +148,44 @@ def window_running(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("window_running_split", ORACLES["window_running"].replace("PARTITION BY o_custkey", "PARTITION BY o_orderpriority"))
 def window_running_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Running sums and means of doubles over groups that are split into many segments: the same as over whole ones."""
-    orders = load(spark, sf, "orders").withColumn("price", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+    """Running sums and means over groups that are split into many segments: the same as over whole ones."""
+    orders = load(spark, sf, "orders").withColumn("price", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("decimal(18,2)")))
     return windows.window(orders, ["o_orderpriority"], "o_orderdate", {
         "running_sum": {"function": "running_sum", "column": "price"}, "running_avg": {"function": "running_avg", "column": "price"},
     }, tie_break=["o_orderkey"], hot_rows=100).select("o_orderkey", "running_sum", "running_avg")
 
 
+# A scale for each type of event, from far below to far above one; some of the largest are infinite.
+_SCALED = """CASE event_type WHEN 'view' THEN floor(value) * power(2, -900) WHEN 'click' THEN floor(value) * power(2, -50) WHEN 'error' THEN floor(value) * power(2, 100)
+    WHEN 'signup' THEN CASE WHEN event_id % 97 = 5 THEN CAST('Infinity' AS DOUBLE) ELSE floor(value) END ELSE floor(value) * power(2, 900) END"""
+
+
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "events").select("event_id", "event_type", "user_id", F.expr(_SCALED).alias("scaled.value"))
+
+
+@query("window_running_scales", f"""
+    SELECT event_id, sum(scaled) OVER w AS running_sum, sum(scaled) OVER w / count(scaled) OVER w AS running_avg FROM (SELECT *, {_SCALED} AS scaled FROM events)
+    WINDOW w AS (PARTITION BY event_type ORDER BY user_id, event_id ROWS UNBOUNDED PRECEDING)""")
+def window_running_scales(spark: SparkSession, sf: str, hot_rows: int = windows.HOT_ROWS) -> DataFrame:
+    """Running sums of doubles of any size, none of them rounded away."""
+    return windows.window(_scaled(spark, sf), ["event_type"], "user_id", {
+        "running_sum": {"function": "running_sum", "column": "scaled.value"}, "running_avg": {"function": "running_avg", "column": "scaled.value"},
+    }, tie_break=["event_id"], hot_rows=hot_rows).select("event_id", "running_sum", "running_avg")
+
+
+@query("window_running_scales_split", ORACLES["window_running_scales"])
+def window_running_scales_split(spark: SparkSession, sf: str) -> DataFrame:
+    return window_running_scales(spark, sf, hot_rows=300)
+
+
+@query("exact_totals", f"""
+    SELECT event_type, user_id % 10 AS part, sum(scaled) AS total, count(scaled) AS total_n FROM (SELECT *, {_SCALED} AS scaled FROM events) GROUP BY ALL""")
+def exact_totals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scaled(spark, sf).withColumn("part", F.col("user_id") % 10)
+    return exact_sum.exact_sums(rows, ["event_type", "part"], {"total": "scaled.value"}, "_n")
+
+
 @query("window_split_group", """
     SELECT event_id, row_number() OVER w AS rn, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS rk, lag(value, 3) OVER w AS before_value
     FROM events WINDOW w AS (PARTITION BY event_type ORDER BY user_id, ts, event_id)""")

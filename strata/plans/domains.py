@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata import kpi
 from strata.plans.registry import query
+from strata.quality import relations
 from strata.tables import VIEWS, view, view_sql, with_views
 from strata.warehouse import marts
 
@@ -198,4 +199,16 @@ def relationships(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("enrollments"), F.count_distinct("student_id").alias("students"), F.count("known").alias("known_students"))
 
 
+_RELATIONS = relations.present(relations.RELATIONS, {name: list(v.columns) for name, v in VIEWS.items()})
+
+
+@query("relationship_audit", with_views(*sorted({t for r in _RELATIONS for t in (r.child, r.parent)})) + " UNION ALL ".join(f"""
+    SELECT '{r.name}' AS relation, '{r.child}' AS child, '{r.parent}' AS parent, count(*) AS children, count(*) - count(k) AS nulls, count(CASE WHEN k IS NOT NULL AND p IS NULL THEN 1 END) AS orphans,
+           count(DISTINCT CASE WHEN p IS NULL THEN k END) AS orphan_keys, (SELECT count(DISTINCT {r.key}) FROM {r.parent}) AS parents
+    FROM (SELECT CAST({r.column} AS VARCHAR) AS k FROM {r.child}) LEFT JOIN (SELECT DISTINCT CAST({r.key} AS VARCHAR) AS p FROM {r.parent}) ON k = p""" for r in _RELATIONS))
+def relationship_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """All declared relations whose two sides are there, in one pass."""
+    return relations.audit(lambda name: view(spark, sf, name), _RELATIONS)
+
+
 assert set(e for es in OVERVIEW.values() for e in es) <= set(VIEWS)

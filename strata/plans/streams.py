@@ -68,6 +68,24 @@ def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("key").alias("server_id"), F.col("window_start").cast(NTZ).alias("window_start"), "count", F.round("sum", 2).alias("sum")).crossJoin(there)
 
 
+@query("stream_sliding_panes", with_views("metrics") + """
+    SELECT server_id, start AS window_start, count(*) AS count, round(CAST(sum(CAST(cpu_usage_pct AS DECIMAL(18,2))) AS DOUBLE), 2) AS sum
+    FROM (SELECT *, unnest([time_bucket(INTERVAL 20 MINUTE, timestamp), time_bucket(INTERVAL 20 MINUTE, timestamp) - INTERVAL 20 MINUTE, time_bucket(INTERVAL 20 MINUTE, timestamp) - INTERVAL 40 MINUTE]) AS start FROM metrics) GROUP BY server_id, start""")
+def stream_sliding_panes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sliding windows over unordered files: panes of each batch and the late rows' panes are merged into all windows."""
+    base, size, slide = scratch_path(spark, "panes"), 3600, 1200
+    spec = VIEWS["metrics"].columns
+    metrics = load(spark, sf, "events").select(*[F.expr(e if isinstance(e, str) else e[0]).alias(n) for n, e in spec.items()])
+    metrics = metrics.select("server_id", "timestamp", F.col("cpu_usage_pct").cast("decimal(18,2)").alias("cpu"))
+    metrics.repartition(6).write.parquet(f"{base}/in")
+    stream = sources.from_files(spark, f"{base}/in", metrics.schema, files_per_batch=2)
+    runner.drain(stream, windows.in_time_and_late("server_id", "cpu", "timestamp", f"{base}/out", f"{base}/late", size, slide_seconds=slide), f"{base}/checkpoint")
+    parts = spark.read.schema("key bigint, window_start timestamp, window_end timestamp, count bigint, sum double").parquet(f"{base}/out").drop("batch")
+    late = windows.panes(spark.read.schema(metrics.schema).parquet(f"{base}/late").drop("batch"), "server_id", "cpu", "timestamp", size, slide)
+    both = windows.merged_panes(parts.unionByName(late), size, slide)
+    return both.select(F.col("key").alias("server_id"), F.col("window_start").cast(NTZ).alias("window_start"), "count", F.round("sum", 2).alias("sum"))
+
+
 @query("window_rows", with_views("metrics") + """
     SELECT server_id, time_bucket(INTERVAL 1 MINUTE, timestamp) AS window_start, timestamp, cpu_usage_pct AS value FROM metrics""")
 def window_rows(spark: SparkSession, sf: str) -> DataFrame:

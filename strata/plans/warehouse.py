@@ -9,7 +9,7 @@ from strata.operators.dedup import deduplicate
 from strata.plans.registry import query
 from strata.session import scratch_path
 from strata.tables import load, view, with_views
-from strata.warehouse import dims, scd, star
+from strata.warehouse import bucketed, dims, scd, star
 
 AS_OF = "2024-06-30"
 CUTOFF = "1998-01-01"
@@ -75,6 +75,28 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
     return scd.upsert(customer_state(spark, sf, CUTOFF), changes, ["o_custkey"], ["tier"], ["o_orderdate", "o_orderkey"])
 
 
+_DAY, _BUCKETS = "2001-07-20", 128
+_BUCKET = f"CAST('0x' || substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 8) AS BIGINT) % {_BUCKETS}"
+
+
+@query("upsert_touched", f"""
+    WITH old AS ({_state_sql(_DAY)}), new AS (SELECT * FROM ({_state_sql()}) WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{_DAY}')),
+    touched AS (SELECT DISTINCT {_BUCKET} AS b FROM new)
+    SELECT coalesce(n.o_custkey, o.o_custkey) AS o_custkey, CASE WHEN n.o_custkey IS NOT NULL THEN n.tier ELSE o.tier END AS tier, CASE WHEN n.o_custkey IS NOT NULL THEN n.status ELSE o.status END AS status,
+           (SELECT count(*) FROM touched) AS buckets_written, (SELECT count(DISTINCT {_BUCKET}) FROM old WHERE {_BUCKET} NOT IN (SELECT b FROM touched)) AS buckets_kept
+    FROM old o FULL JOIN new n ON o.o_custkey = n.o_custkey""")
+def upsert_touched(spark: SparkSession, sf: str) -> DataFrame:
+    """The last days' orders merged into the customers' states: only the buckets of their customers are read and written."""
+    path = scratch_path(spark, "customers")
+    bucketed.create(customer_state(spark, sf, _DAY), path, ["o_custkey"], _BUCKETS)
+    before = bucketed.snapshot(spark, path)
+    changes = load(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit(_DAY).cast("timestamp_ntz")).select(
+        "o_custkey", F.col("o_orderpriority").alias("tier"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"), "o_orderdate", "o_orderkey")
+    after = bucketed.merge(spark, path, changes, order_by=["o_orderdate", "o_orderkey"])
+    figures = bucketed.files_left(spark, before, after).first()
+    return after.rows(spark).withColumns({name: F.lit(figures[name]).cast("long") for name in ("buckets_written", "buckets_kept")})
+
+
 @query("scd1", _STATES + """, k AS (SELECT *, row_number() OVER (ORDER BY o_custkey) AS customer_sk FROM old)
     SELECT coalesce(k.o_custkey, n.o_custkey) AS o_custkey, n.tier, n.status,
            coalesce(k.customer_sk, (SELECT count(*) FROM k) + row_number() OVER (PARTITION BY k.customer_sk IS NULL ORDER BY n.o_custkey)) AS customer_sk,

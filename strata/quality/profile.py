@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions._cols import quoted
 from strata.functions.domain import letter_grade
 from strata.operators.dedup import compact_key, duplicate_summary, top_n_per_group
 from strata.operators.quantiles import exact_median
@@ -44,11 +45,6 @@ def _text_values(df: DataFrame, columns: Sequence[str], digest: bool) -> DataFra
     return texts.select(*[text(c).alias(c) for c in columns]).unpivot([], [F.col(quoted(c)) for c in columns], "column_name", "value")
 
 
-def quoted(name: str) -> str:
-    """A column's name in SQL, whatever is in it."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

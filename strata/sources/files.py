@@ -14,11 +14,12 @@ from strata.operators.transforms import drop_internal, rename
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", column_mapping: Mapping[str, str] | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column a string; ``columns`` picks columns by their name in the header.
 
-    An empty field is null. Large files are split between tasks. Only where quoted values hold line breaks, ask
-    for ``multi_line``, which makes each file one task.
+    An empty field is null. Files of a folder must have the same header: one with other columns, or the same in
+    another order, ends the scan instead of filling the wrong columns. Large files are split between tasks. Only where
+    quoted values hold line breaks, ask for ``multi_line``, which makes each file one task.
     """
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("inferSchema", False)
-    reader = reader.option("multiLine", multi_line).option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("escape", '"').option("enforceSchema", False)
     rows = reader.csv(path)
     if columns:
         rows = rows.select(*[F.col(f"`{c}`") for c in columns])

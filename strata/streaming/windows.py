@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,26 +55,49 @@ def drop_expired(aggregates: DataFrame, as_of: str, max_age_seconds: int = MAX_A
     return aggregates.where(F.col("window_start") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(max_age_seconds)} SECONDS"))
 
 
-def in_time_and_late(key: str, value: str, timestamp: str, out: str, late: str, size_seconds: int = WINDOW_SECONDS, max_age_seconds: int = MAX_AGE_SECONDS) -> Callable[[DataFrame, int], None]:
-    """Batch writer for tumbling windows that loses no row: parts of windows go to ``out``, late rows whole to ``late``.
+def panes(df: DataFrame, key: str, value: str, timestamp: str, size_seconds: int, slide_seconds: int) -> DataFrame:
+    """Count and sum per key and pane, the greatest step of which size and slide are multiples: each row counts once."""
+    return windowed(df, key, value, timestamp, gcd(size_seconds, slide_seconds)).drop("avg")
 
-    A row is late if its window ended ``max_age_seconds`` or more before the newest event of the earlier
-    batches. Every batch writes its own folders and its newest event beside them, so a repeated batch
-    changes nothing. :func:`merged` adds the parts up; rows without a time are late.
+
+def merged_panes(parts: DataFrame, size_seconds: int, slide_seconds: int) -> DataFrame:
+    """Sliding windows from panes, of any number of parts: panes are added up first, then given to their windows.
+
+    A pane of ``slide`` at most goes to ``size / slide`` windows; so many copies of one row for each key and pane,
+    not of the rows behind it, reach the second shuffle.
     """
+    step = gcd(size_seconds, slide_seconds)
+    whole = merged(parts).withColumn("__at", F.unix_seconds("window_start"))
+    last = F.floor(F.col("__at") / slide_seconds) * slide_seconds
+    first = (F.floor((F.col("__at") + step - size_seconds - 1) / slide_seconds) + 1) * slide_seconds
+    spread = whole.where(first <= last).select("key", F.explode(F.sequence(first, last, F.lit(slide_seconds).cast("long"))).alias("__start"), "count", "sum")
+    out = spread.groupBy("key", "__start").agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"))
+    times = [F.timestamp_seconds(F.col("__start") + shift).alias(name) for name, shift in (("window_start", 0), ("window_end", size_seconds))]
+    return out.select("key", *times, "count", "sum", (F.col("sum") / F.col("count")).alias("avg"))
+
+
+def in_time_and_late(key: str, value: str, timestamp: str, out: str, late: str, size_seconds: int = WINDOW_SECONDS, max_age_seconds: int = MAX_AGE_SECONDS, slide_seconds: int | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch writer for time windows that loses no row: parts go to ``out``, late rows whole to ``late``.
+
+    Parts are those of tumbling windows, or of the panes of sliding ones if ``slide_seconds`` is given. A row is late if
+    the last window that holds it ended ``max_age_seconds`` or more before the newest event of the earlier
+    batches. Every batch writes its own folders and the newest event so far beside them, so a repeated batch
+    changes nothing. :func:`merged` or :func:`merged_panes` add the parts up; rows without a time are late.
+    """
+    slide = slide_seconds or size_seconds
+
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         marks = f"{out.rstrip('/')}-marks"
-        newest = None
-        if batch:
-            newest = spark.read.schema("newest timestamp, batch long").parquet(marks).where(F.col("batch") < batch).agg(F.max("newest")).first()[0]
+        newest = spark.read.schema("newest timestamp").parquet(f"{marks}/batch={batch - 1}").first()[0] if batch else None
         timed = rows.withColumn("__ts", F.col(timestamp).cast("timestamp"))
-        ends = F.timestamp_seconds((F.floor(F.unix_micros("__ts") / (size_seconds * 1_000_000)) + 1) * size_seconds)
+        ends = F.timestamp_seconds(F.floor(F.unix_micros("__ts") / (slide * 1_000_000)) * slide + size_seconds)
         limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {int(max_age_seconds)} SECONDS")
         gone = F.col("__ts").isNull() | F.coalesce(ends <= limit, F.lit(False))
         timed.where(gone).drop("__ts").write.mode("overwrite").parquet(f"{late.rstrip('/')}/batch={batch}")
-        windowed(timed.where(~gone).drop("__ts"), key, value, timestamp, size_seconds).drop("avg").write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
-        timed.agg(F.max("__ts").alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch}")
+        parts = panes(timed.where(~gone).drop("__ts"), key, value, timestamp, size_seconds, slide)
+        parts.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
+        timed.agg(F.greatest(F.max("__ts"), F.lit(newest).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch}")
 
     return write
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions._cols import named, quoted
 from strata.operators.dedup import deduplicate
 from strata.operators.windows import HOT_ROWS, number_rows, window
 from strata.session import scratch_path
@@ -23,24 +24,24 @@ ACTION = "_action"
 def _all_present(keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for k in keys:
-        condition = condition & F.col(k).isNotNull()
+        condition = condition & named(k).isNotNull()
     return condition
 
 
 def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
     """Source with exactly the target's columns, in the target's types."""
     return source.select(*[
-        (F.col(f.name) if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields
+        (named(f.name) if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields
     ])
 
 
 def _pair(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join of the two tables as structs ``t`` and ``s``."""
-    left = target.select(F.struct("*").alias("t"), *[F.col(k).alias(f"__t_{k}") for k in keys])
-    right = source.select(F.struct("*").alias("s"), *[F.col(k).alias(f"__s_{k}") for k in keys])
+    left = target.select(F.struct("*").alias("t"), *[named(k).alias(f"__t_{k}") for k in keys])
+    right = source.select(F.struct("*").alias("s"), *[named(k).alias(f"__s_{k}") for k in keys])
     condition = F.lit(True)
     for k in keys:
-        condition = condition & (F.col(f"__t_{k}") == F.col(f"__s_{k}"))
+        condition = condition & (named(f"__t_{k}") == named(f"__s_{k}"))
     return left.join(right, condition, "full_outer").select("t", "s")
 
 
@@ -54,8 +55,8 @@ def upsert(target: DataFrame, source: DataFrame, key_columns: Sequence[str], upd
     has_t, has_s = F.col("t").isNotNull(), F.col("s").isNotNull()
     columns = []
     for c in target.columns:
-        updated = F.col(f"s.{c}") if c in changed else F.col(f"t.{c}")
-        columns.append(F.when(has_t & has_s, updated).when(has_s, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
+        updated = F.col(f"s.{quoted(c)}") if c in changed else F.col(f"t.{quoted(c)}")
+        columns.append(F.when(has_t & has_s, updated).when(has_s, F.col(f"s.{quoted(c)}")).otherwise(F.col(f"t.{quoted(c)}")).alias(c))
     action = F.when(has_t & has_s, "updated").when(has_s, "inserted").otherwise("kept")
     merged = pairs.select(*columns, action.alias(ACTION))
     nulls = _aligned(source.where(~_all_present(keys)), target).withColumn(ACTION, F.lit("inserted"))
@@ -130,7 +131,7 @@ def scd2(
         fresh_fields[surrogate] = F.lit(None).cast(target.schema[surrogate].dataType)
 
     def row(origin: str, action: Column, changes: dict[str, Column]) -> Column:
-        fields = [(changes[f.name] if f.name in changes else F.col(f"{origin}.{f.name}")).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+        fields = [(changes[f.name] if f.name in changes else F.col(f"{origin}.{quoted(f.name)}")).cast(f.dataType).alias(f.name) for f in target.schema.fields]
         return F.struct(*fields, action.alias(ACTION))
 
     aligned = _aligned(heads, target)
@@ -138,7 +139,7 @@ def scd2(
     has_t, has_s = F.col("t").isNotNull(), F.col("s").isNotNull()
     differs = F.lit(False)
     for c in tracked:
-        differs = differs | ~F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}"))
+        differs = differs | ~F.col(f"t.{quoted(c)}").eqNullSafe(F.col(f"s.{quoted(c)}"))
     closed = {end: stamp, current: F.lit(False)}
     last = F.col("s.__last")
     new_row = {**fresh_fields, end: F.when(~last, stamp), current: last}
@@ -165,7 +166,7 @@ def scd2(
 
 def _with_flag(rows: DataFrame, target: DataFrame) -> DataFrame:
     return rows.select(*[
-        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields
+        (named(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields
     ], "__last")
 
 
