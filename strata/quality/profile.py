@@ -20,9 +20,15 @@ WEIGHTS = {"completeness": 0.3, "uniqueness": 0.2, "validity": 0.3, "consistency
 NULL_RATE_CHANGE = 0.05
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Random sample of at most ``n`` rows, for a quick look at a very large table."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
+    """At most ``n`` rows, those whose SHA-256 of ``seed:key`` is least (the key's parts as text, joined by ``|``, null as '').
+
+    The same rows whatever the partitioning; every task keeps ``n`` of its own, and samples of parts merge into that
+    of the whole. Without a key the whole row counts, in text form. Rows of one key are told apart by the whole row.
+    """
+    whole = F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns]), {"ignoreNullFields": "false"})
+    parts = F.concat_ws("|", *[F.coalesce(F.col(quoted(k)).cast("string"), F.lit("")) for k in key]) if key else whole
+    return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), parts), 256), whole).limit(n)
 
 
 def _label(kind: T.DataType) -> str:
