@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -541,3 +543,31 @@ def test_texts_of_a_template_do_not_meet(spark):
     posted = set_links.rare_shingles(involved, whole, 80)
     assert set_links.prefix_pairs(posted, spark.createDataFrame([], "m binary, root binary"), 80, minhash.BINS).count() == 0
     assert minhash.digest(df).where("kept").count() == len(rows)
+
+
+def test_warc_pages_against_plain_patterns():
+    title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+    link = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+    bits = ["<title>", "</title >", "<a ", "href=", "HREF = 'x'", '"q>r"', '"', "'", ">", "<p>", "<", "a b", "&amp;", "\n", "<b", "/a>", "<title", "href", "<!-- ", "-->"]
+    rng = random.Random(10)
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        want = title.search(page)
+        assert warc.titles(page) == (want[1] if want else "", title.sub(" ", page))
+        assert warc.links(page) == list(dict.fromkeys(html.unescape(a or b or c) for a, b, c in link.findall(page)))
+        rest = title.sub(" ", warc.HIDDEN.sub(" ", page))
+        lines = [want[1] if want else "", *warc.TAG.sub("", warc.BLOCK.sub("\n", rest)).split("\n")]
+        assert warc.plain(page) == "\n".join(x for x in (" ".join(html.unescape(y).split()) for y in lines) if x)
+
+
+@pytest.mark.parametrize("bit", ["<title>", "<title", "<a", "<a href='", "<p", "<!--", "<script>", '<a href="', "</title", "<a href"])
+def test_warc_reads_long_broken_pages_in_one_pass(bit):
+    page = bit * (1_000_000 // len(bit))
+    began = time.process_time()
+    warc.plain(page), warc.links(page), warc.titles(page + ">")
+    assert time.process_time() - began < 4
+
+
+def test_warc_of_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.digests(none).count() == 0
