@@ -5,7 +5,9 @@ all strings that start in it do: copies are aggregated before anything is sorted
 of a core, segments that differ somewhere. Their suffixes go in blocks of up to ``BLOCK`` neighbouring starts that share
 all but a few bytes. Sampled splitters range-partition the blocks by the leading token (the hash of the shared
 bytes), so blocks with equal leading tokens never stand on two sides of a boundary; each bucket is sorted by
-a multikey quicksort over its tokens, and the suffixes of a run are compared to their full length.
+a multikey quicksort over its tokens, and the suffixes of a run are compared to their full length. A leading
+token with more blocks than a bucket holds, that of a passage which very many texts share, is counted first and left
+out of the buckets: its blocks are taken apart into their strings, which Spark counts with a combine in the map tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.batches import Hashes, Piece, flat, mix
-from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, unzipped, with_lists
+from strata.llm.repeats import KEY, covered, keyed, listed, repeated_segments, unpack, unzipped, with_lists, written
 from strata.session import scratch_path
 
 WIDTH, CORE, BLOCK = 200, 64, 16
@@ -84,6 +86,58 @@ def _emit(width: int):
     return run
 
 
+def _sides(around: np.ndarray) -> list[list[np.ndarray]]:
+    """Hashes of the first 0, 1, ... bytes to the left of the shared ones, and to the right."""
+    sides = []
+    for part in (around[:, :BLOCK - 1], around[:, BLOCK - 1:]):
+        sums = [np.zeros(len(part), np.uint64)]
+        for k in range(BLOCK - 1):
+            sums.append(mix(sums[-1] * _U(0x9E3779B97F4A7C15) + part[:, k].astype(np.uint64) + _U(1)))
+        sides.append(sums)
+    return sides
+
+
+def _string(sides: list[list[np.ndarray]], offset: int, own: np.ndarray) -> np.ndarray:
+    return sides[0][offset][own] * _U(0xD6E8FEB86659FD93) ^ sides[1][BLOCK - 1 - offset][own]
+
+
+def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each string of each block: the block's tokens, the offset and the hash of the bytes around the shared ones."""
+    for batch in batches:
+        get = lambda n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)  # noqa: E731,B023
+        span, sides = get("span"), _sides(flat(batch.column(batch.schema.get_field_index("around")))[0].reshape(-1, 2 * BLOCK - 2))
+        for offset in range(BLOCK):
+            own = np.flatnonzero(((span >> 4 & 15) <= offset) & (offset <= (span & 15)))
+            columns = [get("t0")[own], get("t1")[own], span[own] >> 8, get("whole")[own], np.full(len(own), offset), _string(sides, offset, own).view(np.int64), get("copies")[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t0", "t1", "block", "whole", "o", "string", "copies"])
+
+
+def _hot_masks(blocks: DataFrame) -> DataFrame:
+    """``u0, w, mask`` of blocks of hot tokens, whatever their number: strings are counted instead of sorted."""
+    strings = blocks.select("t0", "t1", "whole", "span", "around", "copies").mapInArrow(_take_apart, "t0 long, t1 long, block long, whole long, o long, string long, copies long")
+    key = ["t0", "t1", "block", "o", "string"]
+    many = strings.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*[F.col(k).alias(f"m_{k}") for k in key])
+    condition = F.lit(True)
+    for k in key:
+        condition = condition & (F.col(k) == F.col(f"m_{k}"))
+    found = strings.join(written(many, "strings"), condition)
+    return found.groupBy(F.col("t0").alias("u0"), F.col("whole").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(o AS INT))")).alias("mask"))
+
+
+def hot_tokens(blocks: DataFrame, total: int, limit: int) -> DataFrame | None:
+    """Leading tokens with more than ``limit`` blocks, written; None if there are none.
+
+    Slots of tokens are counted first, so that the usual table is not shuffled for it.
+    """
+    slots = F.pmod("t0", F.lit(max(2**16, total // 10_000)))
+    full = written(blocks.groupBy(slots.alias("slot")).count().where(F.col("count") > limit).select("slot"), "slots")
+    if full.isEmpty():
+        return None
+    counts = blocks.select("t0", slots.alias("s")).join(full, F.col("s") == F.col("slot"), "left_semi").groupBy("t0").count()
+    hot = written(counts.where(F.col("count") > limit).select(F.col("t0").alias("h")), "hot")
+    return None if hot.isEmpty() else hot
+
+
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with a mask of the offsets whose strings stand twice or more in their run."""
     batches = [b for b in batches if b.num_rows]
@@ -98,18 +152,13 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh = np.append(True, (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1]) | (span[1:] >> 8 != span[:-1] >> 8))
     run = np.cumsum(fresh) - 1
     low, high = span >> 4 & 15, span & 15
-    sides = []
-    for part in (around[:, :BLOCK - 1], around[:, BLOCK - 1:]):
-        sums = [np.zeros(len(part), np.uint64)]
-        for k in range(BLOCK - 1):
-            sums.append(mix(sums[-1] * _U(0x9E3779B97F4A7C15) + part[:, k].astype(np.uint64) + _U(1)))
-        sides.append(sums)
+    sides = _sides(around)
     mask = np.zeros(len(t0), np.int64)
     many = np.bincount(run)[run] > 1
     mask[~many & (copies > 1)] = -1
     for offset in range(BLOCK):
         own = np.flatnonzero((low <= offset) & (offset <= high) & many)
-        string = sides[0][offset][own] * _U(0xD6E8FEB86659FD93) ^ sides[1][BLOCK - 1 - offset][own]
+        string = _string(sides, offset, own)
         at = np.lexsort((string, run[own]))
         new = np.append(True, (run[own][at][1:] != run[own][at][:-1]) | (string[at][1:] != string[at][:-1])) if len(at) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
@@ -131,8 +180,12 @@ def repeated_starts(docs: DataFrame, *, width: int = WIDTH, core: int = CORE) ->
     blocks = spark.read.parquet(path)
     total = blocks.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    distinct = blocks.groupBy("t0", "t1", "whole", "span").agg(F.first("around").alias("around"), F.sum("copies").alias("copies"))
+    hot = hot_tokens(blocks, total, BUCKET)
+    usual = blocks if hot is None else blocks.join(hot, F.col("t0") == F.col("h"), "left_anti")
+    distinct = usual.groupBy("t0", "t1", "whole", "span").agg(F.first("around").alias("around"), F.sum("copies").alias("copies"))
     masks = distinct.repartitionByRange(buckets, "t0").mapInArrow(_sort_bucket, "u0 long, w long, mask long")
+    if hot is not None:
+        masks = masks.unionByName(_hot_masks(blocks.join(hot, F.col("t0") == F.col("h"), "left_semi")))
     starts = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda o: (F.get("bits", o) == 1) & (o >= F.col("low")) & (o <= F.col("high"))))
     found = blocks.where("copies = 1").select("t0", "whole", "span", *KEY, "at").join(masks, (F.col("t0") == F.col("u0")) & (F.col("whole") == F.col("w")))
     found = found.select(*KEY, "at", "span", "mask").withColumns({

@@ -571,3 +571,29 @@ def test_warc_reads_long_broken_pages_in_one_pass(bit):
 def test_warc_of_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.digests(none).count() == 0
+
+
+def test_suffix_dedup_of_a_passage_that_very_many_texts_share(spark, monkeypatch):
+    """No bucket may hold all blocks of a hot leading token; the result is that of the buckets and of brute force."""
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz é"
+    passage = "".join(rng.choice(letters) for _ in range(390))
+    around = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(0, 60)))
+    rows = [(i, around() + passage[rng.choice([0, 0, 0, 7]):] + around()) for i in range(400)] + [(900, passage[:250]), (901, passage[150:]), (None, passage), (902, None)]
+    largest = []
+    sort = suffix_dedup._sort_bucket
+
+    def watched(batches):
+        batches = list(batches)
+        assert sum(b.num_rows for b in batches) <= 4 * 60
+        return sort(iter(batches))
+
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 60)
+    monkeypatch.setattr(suffix_dedup, "_sort_bucket", watched)
+    hot_tokens = suffix_dedup.hot_tokens
+    monkeypatch.setattr(suffix_dedup, "hot_tokens", lambda *a: largest.append(hot_tokens(*a)) or largest[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = [raw(t) for _, t in rows]
+    want = sorted(((i, sum(g), sha(bytes(b for b, x in zip(t, g) if not x))) for (i, _), t, g in zip(rows, texts, repeated(texts, 200))), key=str)
+    assert found(suffix_dedup.digest(df), ["doc_id", "n_removed", "kept_sha256"]) == want
+    assert largest[0] is not None and largest[0].count() > 0
