@@ -75,7 +75,8 @@ def repeated_segments(docs: DataFrame, parse: Parse, width: int, core: int, limi
     return written(out.select("core", "cls", *KEY, "at", "copies", "variants", (F.struct("id", "tag", "at") == F.col("least")).alias("chosen")), "repeats")
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with each ``text`` compressed by itself; null stays null."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for piece in pieces([batch]):
@@ -101,7 +102,7 @@ def with_lists(docs: DataFrame, rows: DataFrame, *columns: str, how: str = "inne
     The texts cross the shuffle compressed one by one, and stay so until ``unzipped`` reads them in a task.
     """
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    docs = docs.mapInArrow(_zip, schema)
+    docs = docs.mapInArrow(zipped, schema)
     lists = rows.select(*KEY, *columns).distinct().groupBy(*KEY).agg(F.collect_list(F.struct(*columns)).alias("list"))
     lists = lists.select(F.col("id").alias("i"), F.col("tag").alias("t"), "list")
     return docs.join(lists, (F.col("id") == F.col("i")) & (F.col("tag") == F.col("t")), how).drop("i", "t")

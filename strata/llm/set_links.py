@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.batches import Hashes, Piece, lower_table, mix, pieces, space_table, word_bounds
+from strata.llm.batches import PIECE, Hashes, Piece, lower_table, mix, space_table, word_bounds
 from strata.llm.components import components
-from strata.llm.repeats import written
+from strata.llm.repeats import unzipped, written, zipped
 
 #: Members that are compared with a head in one group.
 SPLIT = 250
@@ -56,12 +56,12 @@ def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def sets_of(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``(node, set)`` of the texts that ``nodes`` names. Copies of a text become one row before they are shuffled."""
+    """``(node, set)`` of the texts that ``nodes`` names. Copies of a text become one row before they are shuffled, compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in unzipped(batches, PIECE):
             yield pa.RecordBatch.from_arrays([piece.rows.column(0), lists(*shingles(piece, width))], names=["node", "set"])
 
-    texts = documents.where("text IS NOT NULL").select(node_of(F.col("text")).alias("node"), "text").dropDuplicates(["node"])
+    texts = documents.where("text IS NOT NULL").select(node_of(F.col("text")).alias("node"), "text").mapInArrow(zipped, "node binary, text binary").dropDuplicates(["node"])
     return written(texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node binary, set array<long>"), "sets")
 
 
