@@ -2,16 +2,18 @@
 
 Targets share a total by weight; a source whose share is over ``epochs`` times its size is clamped there and
 the excess goes to the others by weight, until none is above. Ordered by size over weight, the clamped sources
-are the first ones, so running sums over the sources' table find the level at once.
+are the first ones, so running sums over the sources' table, segment by segment, find the level at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.numbering import running
 from strata.llm.quality_rules import words
+from strata.llm.repeats import written
+from strata.operators.windows import NUMBERED_ROWS, number_rows, window
 from strata.session import scratch_path
 
 EPOCHS = 3
@@ -24,32 +26,33 @@ def n_words(text: Column) -> Column:
     return F.size(words(F.coalesce(text, F.lit("")))).cast("long")
 
 
-def water_fill(sources: DataFrame, total: Column | None = None, *, epochs: float = EPOCHS) -> DataFrame:
+def water_fill(sources: DataFrame, total: float | None = None, *, epochs: float = EPOCHS) -> DataFrame:
     """Targets of a table (source, source_size, weight): min(epochs * size, level * weight), which add up to ``total``.
 
     The total defaults to the sum of the sizes; one that exceeds epochs * all sizes gives every source
-    its cap. A source of size 0 has target 0. The table has a row for each source and no text.
+    its cap. A source of size 0 has target 0. The table has a row for each source and no text; however many
+    these are, its order is cut into segments whose sums are carried over, and the driver gets the level only.
     """
-    cap = F.col("source_size") * F.lit(float(epochs))
-    everything = Window.partitionBy(F.lit(0))
-    order = Window.partitionBy(F.lit(0)).orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    amount = F.sum("source_size").over(everything).cast("double") if total is None else total.cast("double")
+    keyed = sources.withColumns({"__cap": F.col("source_size") * F.lit(float(epochs)), "__rate": F.col("source_size") / F.col("weight"), "__null": F.col("source").isNull()})
+    sums = {"__caps": {"function": "running_sum", "column": "__cap"}, "__weights": {"function": "running_sum", "column": "weight"}}
+    summed = written(window(keyed, [], ["__rate", "__null", "source"], sums, [], NUMBERED_ROWS), "levels")
+    sizes, weights = summed.agg(F.sum("source_size"), F.max("__weights")).first()
+    amount = sizes if total is None else total
+    if amount is None:  # no sources
+        return sources.withColumn("target", F.lit(None).cast("double"))
     # the level that would hold if exactly the sources before this one were clamped
-    with_sums = sources.withColumns({
-        "__total": amount, "__cap": cap, "__clamped": F.coalesce(F.sum(cap).over(order), F.lit(0.0)),
-        "__weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order), F.lit(0.0)),
-    })
-    level = F.try_divide(F.col("__total") - F.col("__clamped"), F.col("__weight"))
+    level = F.try_divide(F.lit(float(amount)) - (F.col("__caps") - F.col("__cap")), F.lit(weights) - F.col("__weights") + F.col("weight"))
     # of those that leave the source under its cap, the highest has clamped no source too many
-    found = with_sums.withColumn("__level", F.max(F.when(level * F.col("weight") <= F.col("__cap"), level)).over(everything))
-    target = F.when(F.col("__level").isNull(), F.col("__cap")).otherwise(F.least("__cap", F.col("__level") * F.col("weight")))
-    return found.withColumn("target", target).select(*sources.columns, "target")
+    found = summed.agg(F.max(F.when(level * F.col("weight") <= F.col("__cap"), level))).first()[0]
+    target = F.col("__cap") if found is None else F.least("__cap", F.lit(found) * F.col("weight"))
+    return summed.withColumn("target", target).select(*sources.columns, "target")
 
 
 def weigh(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``weight``: the given ones in turn, sources by code point, null last."""
-    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int")))
+    numbered = number_rows(sources.withColumn("__null", F.col("source").isNull()), ["__null", "source"], "__turn", tie_break=[])
+    turn = ((F.col("__turn") - 1) % len(weights) + 1).cast("int")
+    return numbered.select(*sources.columns, F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn).alias("weight"))
 
 
 def mix(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED, size: Column | None = None) -> DataFrame:
@@ -69,7 +72,7 @@ def mix(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: i
     path = scratch_path(spark, "sized")  # words are counted once; the passes below read narrow columns
     sized.write.parquet(path)
     sized = spark.read.parquet(path)
-    sources = weigh(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    sources = weigh(written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources"), weights)
     rate = F.try_divide(F.col("target"), F.col("source_size"))
     targets = water_fill(sources, epochs=epochs).select(F.col("source").alias("__s"), "source_size", "target", F.floor(rate).alias("__whole"), (rate - F.floor(rate)).alias("__part"))
     placed = sized.join(targets, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__long", F.col("size") * 50 > F.col("__part") * F.col("source_size"))

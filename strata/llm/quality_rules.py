@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.repeats import written
+
 #: Labelled rows that the rules are learned from; the least hashes of their ids.
 LABELLED_ROWS = 10_000
 #: Learning by sequential covering: rules, conditions of a rule, thresholds tried per statistic, rows that a rule covers at least, share of bad rows among those it covers.
@@ -184,17 +186,14 @@ def learn(documents: DataFrame, labels: DataFrame, *, limit: int = LABELLED_ROWS
 
     At most ``limit`` labels are used, those whose ids have the least hashes; a null label or id counts
     as no label, and of labels that contradict each other the worse holds. Without labels nothing is
-    rejected.
+    rejected. Ids of any type match as text. Where labelled ids repeat among the documents, the rules are
+    fitted on at most twice ``limit`` rows, those whose ids have the least hashes.
     """
-    spark = documents.sparkSession
-    rows = (
+    marks = written(
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
-        .agg((F.min("quality") == 0).alias("low"), (F.max("toxic") == 1).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    )
-    if not rows:
-        return DecisionList()
-    marks = spark.createDataFrame(rows, "doc_id long, low boolean, toxic boolean")
-    known = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
+        .agg((F.min("quality") == 0).alias("low"), (F.max("toxic") == 1).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        .select(F.col("doc_id").cast("string").alias("__id"), "low", "toxic"), "marks")
+    known = documents.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id").cast("string") == F.col("__id")).drop("__id")
     # one word each of documents that are toxic, and of no other, by the number of documents
     standing = known.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+"))).alias("word"))
     found = (
@@ -204,6 +203,8 @@ def learn(documents: DataFrame, labels: DataFrame, *, limit: int = LABELLED_ROWS
     flagged = [r.word for r in found]
     order = statistics(known, flagged).select("doc_id", (F.col("low") | F.col("toxic")).alias("bad"), *[F.col("stats")[f].cast("double").alias(f) for f in FEATURES]) \
         .orderBy(F.xxhash64("doc_id"), *FEATURES).limit(2 * limit).collect()
+    if not order:
+        return DecisionList()
     return DecisionList(learn_list([{f: r[f] for f in FEATURES} for r in order], [r.bad for r in order]), flagged)
 
 

@@ -238,6 +238,19 @@ def test_water_fill(spark):
     assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(total)
 
 
+def test_sources_in_segments(spark, monkeypatch):
+    """As many sources as documents: numbers, sums and the level are the same when no task has over 50 of them."""
+    sources = spark.createDataFrame([(f"s{i * 7919 % 1009:04d}", i * i % 83) for i in range(400)] + [(None, 40), ("", 3)], "source string, source_size long")
+    want = {(r.source, r.weight, r.target) for r in mixing.water_fill(mixing.weigh(sources)).collect()}
+    monkeypatch.setattr(mixing, "NUMBERED_ROWS", 50)
+    monkeypatch.setattr("strata.operators.windows.NUMBERED_ROWS", 50)
+    weighed = mixing.weigh(sources)
+    turns = {r.source: r.weight for r in weighed.collect()}
+    assert [turns[s] for s in sorted(s for s in turns if s is not None)] + [turns[None]] == [float(i % 3 + 1) for i in range(402)]
+    assert {(r.source, r.weight, r.target) for r in mixing.water_fill(weighed).collect()} == want
+    assert mixing.water_fill(mixing.weigh(sources.where("1 = 0"))).count() == 0
+
+
 def test_mixing(docs, empty):
     got = mixing.digest(docs).collect()
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(WORD.findall(raw(t)))) for i, t in ROWS)
@@ -292,6 +305,15 @@ def test_decision_list_learns_conjunctions():
     assert quality_rules.learn_list(rows, [False] * len(rows)) == [] and quality_rules.learn_list([], []) == []
 
 
+def test_quality_rules_take_ids_of_any_type(spark):
+    rows = [(i, (f"vile gunk {i} " if i % 3 == 0 else "plain kind words ") + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(90)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    named = [x.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))) for x in (df, labels)]
+    want = sorted(r.doc_id for r in quality_rules.keep_good(df, labels).collect())
+    assert [f"d{i}" for i in want] == sorted((r.doc_id for r in quality_rules.keep_good(*named).collect()), key=lambda x: int(x[1:]))
+    assert want == [i for i in range(90) if i % 3]
+
+
 def test_quality_rules_find_toxic_words(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
