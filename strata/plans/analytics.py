@@ -228,6 +228,17 @@ def exact_median(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.exact_median(load(spark, sf, "events"), ["event_type"], "value", "median_value")
 
 
+@query("topk_texts", """
+    SELECT column_name, value, n, CAST(position AS INTEGER) AS position FROM (
+      SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS position FROM (
+        SELECT 'text' AS column_name, text AS value, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text
+        UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source) AS c) AS r
+    WHERE position <= 10""")
+def topk_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Most frequent whole texts; heads and digests are counted, ten texts are fetched."""
+    return profile.top_values(load(spark, sf, "documents"), ["text", "source"])
+
+
 @query("topk_values", """
     SELECT column_name, value, n, position FROM (
       SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS position FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from strata.plans.registry import query
 from strata.session import scratch_path
-from strata.sources import files, incremental, models
+from strata.sources import files, incremental, known_keys, models
 from strata.tables import VIEWS, load, view, view_sql, with_views
 
 
@@ -75,6 +75,19 @@ def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(T.StructType([*events.schema.fields, T.StructField("load_no", T.IntegerType())])).parquet(f"{base}/out").select("load_no", "event_id", "ts")
 
 
+@query("incremental_by_key", """
+    SELECT o_orderkey, o_totalprice, CASE WHEN o_orderdate < DATE '1995-01-01' THEN 1 WHEN o_orderdate < DATE '1997-01-01' THEN 2 ELSE 3 END AS load_no FROM orders""")
+def incremental_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Three overlapping loads of the orders, which have no mark: each brings the keys that none before it has brought."""
+    base = scratch_path(spark, "by-key")
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    parts = ["o_orderdate < DATE '1995-01-01'", "o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1997-01-01'", "true"]
+    for number, part in enumerate(parts, 1):
+        known_keys.load_new_keys(orders.where(part).drop("o_orderdate"), ["o_orderkey"], f"{base}/keys", lambda rows, n=number: rows.write.mode("overwrite").parquet(f"{base}/out/load_no={n}"))
+    schema = T.StructType([*orders.drop("o_orderdate").schema.fields, T.StructField("load_no", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
 @query("model_merge", with_views("accounts") + """
     SELECT account_number, account_type, CASE WHEN current_balance < 0 THEN 0 ELSE current_balance END AS current_balance FROM accounts""")
 def model_merge(spark: SparkSession, sf: str) -> DataFrame:

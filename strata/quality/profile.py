@@ -13,12 +13,16 @@ from strata.functions.domain import letter_grade
 from strata.operators.dedup import compact_key, duplicate_summary, top_n_per_group
 from strata.operators.quantiles import exact_median
 from strata.operators.windows import HOT_ROWS
+from strata.session import scratch_path
 
 # What a text that looks like a date starts with, and the weights of the score.
 DATE_LIKE = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
 WEIGHTS = {"completeness": 0.3, "uniqueness": 0.2, "validity": 0.3, "consistency": 0.2}
 NULL_RATE_CHANGE = 0.05
 
+#: Characters by which frequent values are told apart without a digest; digests of long ones that are broadcast.
+HEAD, FETCHED = 64, 200_000
+
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """At most ``n`` rows, those whose SHA-256 of ``seed:key`` is least (the key's parts as text, joined by ``|``, null as '').
@@ -62,8 +66,29 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
-    """Most frequent values per column; equal counts are ordered by value."""
-    return top_n_per_group(value_counts(df, columns), ["column_name"], [F.desc("n"), F.asc("value")], n, "position")
+    """(column_name, value, n, position): most frequent values per column; equal counts are ordered by value.
+
+    Values are counted by their first ``HEAD`` characters and, where they are longer, the digest of the whole text, so
+    no long text crosses the shuffle. What comes after the n-th count and head of its column is out; that leaves n
+    values a column and those that tie with the n-th in both. The long ones among these are fetched last: by a
+    broadcast of their digests while these are ``FETCHED`` at most (some 20 MB), else by an ordinary join.
+    """
+    spark = df.sparkSession
+    value = F.col("value")
+    values = _text_values(df, columns or df.columns, digest=False).where(value.isNotNull())
+    keyed = values.withColumns({"head": F.left(value, F.lit(HEAD)), "digest": F.when(F.length(value) > HEAD, F.sha2(value, 256)).otherwise("")})
+    counts = keyed.groupBy("column_name", "head", "digest").agg(F.count(F.lit(1)).alias("n"))
+    last = top_n_per_group(counts, ["column_name"], [F.desc("n"), F.asc("head")], n, "place").groupBy("column_name").agg(F.max(F.struct(-F.col("n"), "head")).alias("last"))
+    path = scratch_path(spark, "top-values")
+    counts.join(last, "column_name").where(F.struct(-F.col("n"), "head") <= F.col("last")).select("column_name", "head", "digest", "n").write.parquet(path)
+    candidates = spark.read.schema(counts.schema).parquet(path)
+    named = candidates.where("digest = ''").select("column_name", F.col("head").alias("value"), "n")
+    long = candidates.where("digest <> ''").drop("head")
+    fetched = long.count()
+    if fetched:
+        texts = keyed.where("digest <> ''").drop("head").join(F.broadcast(long) if fetched <= FETCHED else long, ["column_name", "digest"])
+        named = named.unionByName(texts.groupBy("column_name", "digest").agg(F.first("value").alias("value"), F.first("n").alias("n")).drop("digest"))
+    return top_n_per_group(named, ["column_name"], [F.desc("n"), F.asc("value")], n, "position")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:

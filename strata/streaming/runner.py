@@ -10,6 +10,7 @@ import json
 import threading
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,11 +104,15 @@ def split_dead_letters(rows: DataFrame, checks: Mapping[str, Column], failed_at:
 
 
 def with_dead_letters(handler: Callable[[DataFrame], DataFrame], checks: Mapping[str, Column], out: str, letters: str, metrics: str | None = None) -> Write:
-    """Batch writer that handles good rows, keeps bad ones apart and notes both numbers."""
+    """Batch writer that handles good rows, keeps bad ones apart and notes both numbers. The batch is evaluated once."""
     def write(rows: DataFrame, batch: int) -> None:
-        good, bad = split_dead_letters(rows, checks, F.current_timestamp())
-        handler(good).write.mode("overwrite").parquet(batch_folder(out, batch))
-        bad.write.mode("overwrite").parquet(batch_folder(letters, batch))
+        kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good, bad = split_dead_letters(kept, checks, F.current_timestamp())
+            handler(good).write.mode("overwrite").parquet(batch_folder(out, batch))
+            bad.write.mode("overwrite").parquet(batch_folder(letters, batch))
+        finally:
+            kept.unpersist()
         if metrics:
             spark = rows.sparkSession
             sizes = (
@@ -121,11 +126,15 @@ def with_dead_letters(handler: Callable[[DataFrame], DataFrame], checks: Mapping
 
 
 def by_topic(routes: Mapping[str, Callable[[DataFrame], DataFrame]], out: str) -> Write:
-    """Batch writer that sends each topic's messages through its handler into ``out/<topic>``."""
+    """Batch writer that sends each topic's messages through its handler into ``out/<topic>``. The batch is evaluated once."""
     def write(rows: DataFrame, batch: int) -> None:
-        for topic, handler in routes.items():
-            values = rows.where(F.col("topic") == topic).select("value.*")
-            handler(values).write.mode("overwrite").parquet(batch_folder(f"{out}/{topic}", batch))
+        kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for topic, handler in routes.items():
+                values = kept.where(F.col("topic") == topic).select("value.*")
+                handler(values).write.mode("overwrite").parquet(batch_folder(f"{out}/{topic}", batch))
+        finally:
+            kept.unpersist()
 
     return write
 

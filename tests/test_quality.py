@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,19 @@ def test_long_texts_stay_apart(spark):
     assert one(profile.distinct_counts(df, ["t"])) == ("t", 2)
 
 
+def test_top_values_of_long_texts(spark, monkeypatch):
+    head = "h" * profile.HEAD
+    texts = [head + x for x in "baca"] + [head] * 2 + ["h" * 500 + str(i % 40) for i in range(90)] + ["\u00e9" * 64 + "z", "", "", None]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "`a.b` string, v int").repartition(7)
+    want = sorted(Counter(t for t in texts if t is not None).items(), key=lambda x: (-x[1], x[0].encode()))
+    for n in (3, 12, 200):
+        for bound in (0, 200_000):
+            monkeypatch.setattr(profile, "FETCHED", bound)
+            got = profile.top_values(df, ["a.b"], n).orderBy("position").collect()
+            assert [(r.value, r.n) for r in got] == want[:n] and [r.position for r in got] == list(range(1, len(got) + 1))
+    assert profile.top_values(df.where("1 = 0")).count() == 0
+
+
 def test_top_values(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "a", "b", "a", "c", None]], "v string")
     assert [tuple(r) for r in profile.top_values(df, n=2).orderBy("position").collect()] == [("v", "a", 2, 1), ("v", "b", 2, 2)]
