@@ -1,7 +1,7 @@
 """Centroid clustering of integer vectors with built-in expressions alone.
 
 Vectors become integers once and are written to the shared folder. A round is one aggregate over that table:
-``zip_with`` and ``aggregate`` give the squared distance to each centroid, an array literal; ``array_min`` of
+``zip_with`` and ``aggregate`` give the product with each centroid, an array literal, and so the squared distance; ``array_min`` of
 (distance, number) structs names the cluster; one sum for each component, combined in the map tasks, moves the
 centroids. Only the sums of the few centroids reach the driver, where they are divided as whole numbers.
 """
@@ -45,34 +45,54 @@ def integers(vector: Column, wide: bool, scale: int = SCALE) -> Column:
     def whole(x: Column) -> Column:
         value = x.cast("double") * F.lit(float(scale))
         if not wide:
-            return F.floor(value).cast("int")
+            return F.floor(value).cast("long")
         return F.floor(F.least(F.greatest(value, F.lit(-float(WIDE))), F.lit(float(WIDE)))).cast("decimal(18,0)")
 
     return F.transform(vector, whole)
 
 
-def distance(column: str, centroid: tuple[int, ...], wide: bool) -> str:
-    """Squared Euclidean distance of an integer vector column to a centroid, as an SQL expression."""
-    kind, total = ("decimal(18,0)", "decimal(38,0)") if wide else ("bigint", "bigint")
+def _kinds(wide: bool) -> tuple[str, str]:
+    """Types of a component and of a sum of products."""
+    return ("decimal(18,0)", "decimal(38,0)") if wide else ("bigint", "bigint")
+
+
+def _sum(products: str, wide: bool) -> str:
+    total = _kinds(wide)[1]
+    return f"aggregate({products}, CAST(0 AS {total}), (s, x) -> CAST(s + x AS {total}))"
+
+
+def square(column: str, wide: bool) -> str:
+    """Squared length of an integer vector column, as an SQL expression."""
+    return _sum(f"transform({column}, x -> x * x)", wide)
+
+
+def distance(column: str, length: str, centroid: tuple[int, ...], wide: bool) -> str:
+    """Squared Euclidean distance of an integer vector column to a centroid, as an SQL expression.
+
+    ``length`` is the column of squared lengths: |v|^2 - 2 v.c + |c|^2 is exact in whole numbers, and leaves one product and
+    one sum for each component to the lambdas, which Spark interprets.
+    """
+    kind, total = _kinds(wide)
     literal = f"array({', '.join(f'CAST({c} AS {kind})' for c in centroid)})"
-    squares = f"zip_with({column}, {literal}, (a, b) -> (CAST(a AS {kind}) - b) * (CAST(a AS {kind}) - b))"
-    return f"aggregate({squares}, CAST(0 AS {total}), (s, x) -> CAST(s + x AS {total}))"
+    product = _sum(f"zip_with({column}, {literal}, (a, b) -> a * b)", wide)
+    twice = f"CAST({product} * 2 AS {total})" if wide else f"{product} * 2"
+    return f"CAST({length} - {twice} + CAST({sum(c * c for c in centroid)} AS {total}) AS {total})"
 
 
-def nearest(column: str, centroids: Centroids) -> Column:
+def nearest(column: str, length: str, centroids: Centroids) -> Column:
     """(distance, cluster) of the nearest centroid; of equally near ones that with the smaller number."""
-    found = [f"struct({distance(column, c, centroids.wide)} AS distance, {i} AS cluster)" for i, c in enumerate(centroids.values)]
+    found = [f"struct({distance(column, length, c, centroids.wide)} AS distance, {i} AS cluster)" for i, c in enumerate(centroids.values)]
     return F.expr(f"array_min(array({', '.join(found)}))")
 
 
 def _kept(vectors: DataFrame, key: str, column: str, size: int, scale: int) -> tuple[DataFrame, bool]:
-    """(``__id``, ``__v``) of the usable vectors, written; and whether their integers need decimals."""
+    """(``__id``, ``__v``, squared length ``__n``) of the usable vectors, written; and whether their integers need decimals."""
     vector = F.col(f"`{column}`")
     source = vectors.where(usable(vector, size)).select(F.col(f"`{key}`").alias("__id"), vector.alias("__v"))
     most = source.agg(F.max(F.greatest(F.array_max("__v").cast("double"), -F.array_min("__v").cast("double")))).first()[0]
     wide = most is not None and most * scale + 1 > NARROW
     path = scratch_path(vectors.sparkSession, "vectors")
-    source.select("__id", integers(F.col("__v"), wide, scale).alias("__v")).write.parquet(path)
+    source.select("__id", integers(F.col("__v"), wide, scale).alias("__v")).select("*", F.expr(square("__v", wide)).alias("__n")).write.parquet(path)
     return vectors.sparkSession.read.parquet(path), wide
 
 
@@ -84,7 +104,7 @@ def _first(kept: DataFrame, clusters: int, seed: int, wide: bool) -> Centroids:
 
 def _moved(kept: DataFrame, now: Centroids) -> Centroids:
     size = len(now.values[0])
-    named = kept.select("__v", nearest("__v", now)["cluster"].alias("__k"))
+    named = kept.select("__v", nearest("__v", "__n", now)["cluster"].alias("__k"))
     sums = named.groupBy("__k").agg(F.count(F.lit(1)), *[F.expr(f"sum(__v[{i}])") for i in range(size)])
     values = list(now.values)
     for k, n, *own in sums.collect():  # one row for each centroid at most
@@ -124,8 +144,9 @@ def assign(vectors: DataFrame, centroids: Centroids, *, column: str = "embedding
         return vectors.where("1 = 0").select(*own, F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
     vector = F.col(f"`{column}`")
     work = "__v" + "_" * max(map(len, vectors.columns))  # longer than any name of the table
-    whole = vectors.where(usable(vector, size)).withColumn(work, integers(vector, centroids.wide, scale))
-    found = whole.select(*own, nearest(work, centroids).alias(work))
+    length = work + "_"
+    whole = vectors.where(usable(vector, size)).withColumn(work, integers(vector, centroids.wide, scale)).withColumn(length, F.expr(square(work, centroids.wide)))
+    found = whole.select(*own, nearest(work, length, centroids).alias(work))
     return found.select(*own, F.col(f"{work}.cluster").alias("cluster"), F.col(f"{work}.distance").try_cast("long").alias("distance"))
 
 
@@ -140,7 +161,7 @@ def digest(vectors: DataFrame) -> DataFrame:
     if not final.values:
         return kept.where("1 = 0").selectExpr("__id AS vec_id", "0 AS cluster", "0L AS distance", "0L AS cluster_inertia", "0L AS inertia", "'' AS centroid_sha256")
     path = scratch_path(spark, "clusters")
-    kept.select(F.col("__id").alias("vec_id"), nearest("__v", final).alias("best")).select("vec_id", "best.*").write.parquet(path)
+    kept.select(F.col("__id").alias("vec_id"), nearest("__v", "__n", final).alias("best")).select("vec_id", "best.*").write.parquet(path)
     found = spark.read.parquet(path)
     sums = {r["cluster"]: int(r["s"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
 
