@@ -11,7 +11,7 @@ from strata.operators.aggregate import weighted_mean
 from strata.plans.registry import query
 from strata.session import scratch_path
 from strata.sources import files
-from strata.streaming import handlers, runner, sources, windows
+from strata.streaming import handlers, runner, sources, state, windows
 from strata.tables import VIEWS, load, with_views
 
 NTZ = "timestamp_ntz"
@@ -86,6 +86,37 @@ def stream_sliding_panes(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("key").alias("server_id"), F.col("window_start").cast(NTZ).alias("window_start"), "count", F.round("sum", 2).alias("sum"))
 
 
+@query("stream_window_state", with_views("metrics") + """
+    , w AS (SELECT server_id, time_bucket(INTERVAL 1 DAY, timestamp) AS window_start, count(*) AS count, round(CAST(sum(CAST(cpu_usage_pct AS DECIMAL(18,2))) AS DOUBLE), 2) AS sum FROM metrics GROUP BY ALL)
+    SELECT *, true AS once FROM w WHERE window_start + INTERVAL 1 DAY + INTERVAL 300 SECONDS <= (SELECT date_trunc('millisecond', max(timestamp)) FROM metrics)""")
+def stream_window_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of a day in keyed state, early events after the later ones in part: those that are closed come once at most, late rows beside them."""
+    base = scratch_path(spark, "window-state")
+    spec = VIEWS["metrics"].columns
+    metrics = load(spark, sf, "events").select(*[F.expr(e if isinstance(e, str) else e[0]).alias(n) for n, e in spec.items()])
+    metrics = metrics.select("server_id", F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("cpu_usage_pct").cast("decimal(18,2)").alias("cpu"))
+    early = (F.col("timestamp") < "2024-01-16") & (F.crc32(F.col("timestamp").cast("string")) % 50 != 0)
+    for part in (early, F.coalesce(~early, F.lit(True))):  # files are read in the order they were written
+        metrics.where(part).coalesce(4).write.mode("append").parquet(f"{base}/in")
+    stream = sources.from_files(spark, f"{base}/in", metrics.schema, files_per_batch=4)
+    found = runner.run_to_table(state.window_state(stream, "server_id", "cpu", "timestamp", 86_400), "window-state")
+    whole = found.groupBy("key", "window_start").agg(F.sum("count").alias("count"), F.round(F.sum("sum"), 2).alias("sum"), (F.count_if(~F.col("late")) <= 1).alias("once"))
+    return whole.select(F.col("key").alias("server_id"), F.col("window_start").cast(NTZ).alias("window_start"), "count", "sum", "once")
+
+
+@query("stream_running_totals", with_views("transactions") + """
+    SELECT account_id, count(*) AS transaction_count, round(CAST(sum(CAST(abs(amount) AS DECIMAL(18,2))) AS DOUBLE), 2) AS total_volume,
+           count(*) FILTER (WHERE fraud_score > 80 OR abs(amount) > 3000) AS fraud_alerts FROM transactions GROUP BY account_id""")
+def stream_running_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Handler counters by account, each batch emitting only the accounts it touches."""
+    sums = {
+        "transaction_count": F.lit(1), "total_volume": F.abs(F.col("amount").cast("decimal(18,2)")),
+        "fraud_alerts": F.coalesce((F.col("fraud_score") > 80) | (F.abs("amount") > 3000), F.lit(False)),
+    }
+    table = runner.run_to_table(state.running_totals(stream_view(spark, sf, "transactions"), ["account_id"], sums), "running-totals", "update")
+    return runner.latest(table, ["account_id"]).withColumn("total_volume", F.round("total_volume", 2))
+
+
 @query("window_rows", with_views("metrics") + """
     SELECT server_id, time_bucket(INTERVAL 1 MINUTE, timestamp) AS window_start, timestamp, cpu_usage_pct AS value FROM metrics""")
 def window_rows(spark: SparkSession, sf: str) -> DataFrame:
