@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators.joins import orphans
 from strata.plans.registry import query
-from strata.quality import monitor, profile, rules
+from strata.quality import monitor, profile, rules, sketches
 from strata.session import scratch_path
 from strata.tables import VIEWS, load, view, with_views
 
@@ -169,6 +170,36 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
     return profile.drift(before, profile.profile_columns(changed, medians=False))
 
 
+@query("profile_merged", f"""
+    SELECT column_name, data_type, total_count, null_count, null_rate, completeness, min_value, max_value, mean_value, std_dev, sum_value, min_length, max_length, avg_length, true AS distinct_near, true AS median_near
+    FROM ({_profile_sql(_ORDER_TABLE, _ORDER_COLUMNS)})""")
+def profile_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a load for each year: each load leaves its state, the profile of all comes from the states alone.
+
+    Distinct values have to be within 5 %, medians between the exact quantiles 0.47 and 0.53.
+    """
+    orders, store = _profiled(spark, sf), scratch_path(spark, "states")
+    for year in range(1992, 2002, 2):
+        sketches.save(sketches.state(orders.where(_load_of(year))), store, str(year))
+    exact = profile.profile_columns(orders, medians=False).select("column_name", F.col("unique_count").alias("exact"))
+    numbers = [r["column_name"] for r in exact.collect() if isinstance(orders.schema[r["column_name"]].dataType, T.NumericType)]
+    bounds = orders.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.47), F.lit(0.53))).alias(c) for c in numbers]).select(F.inline(F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in numbers])))
+    merged = sketches.profile(sketches.stored(spark, store)).join(exact, "column_name").join(bounds, "column_name", "left")
+    return merged.select(
+        "column_name", "data_type", "total_count", "null_count", "null_rate", "completeness", "min_value", "max_value", "mean_value", "std_dev", F.round("sum_value", 2).alias("sum_value"),
+        "min_length", "max_length", "avg_length", (F.abs(F.col("unique_count") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_near"),
+        F.coalesce(F.col("median_value").between(F.col("low"), F.col("high")), F.lit(True)).alias("median_near"),
+    )
+
+
+def _load_of(year: int) -> Column:
+    """Orders of a load of two years; those before the first and after the last count to them."""
+    ordered = F.year("o_orderdate")
+    low = F.lit(True) if year == 1992 else ordered >= year
+    return F.coalesce(low & (F.lit(True) if year == 2000 else ordered < year + 2), F.lit(year == 2000))
+
+
 @query("dataset_drift", """
     WITH a AS (SELECT count(*) AS n, round((5 + count(nullif(o_orderstatus, 'P')) / count(*)) / 6, 4) AS c FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
          b AS (SELECT count(*) AS n, round((5 + count(nullif(o_orderstatus, 'P')) / count(*)) / 6, 4) AS c FROM orders)
