@@ -2,7 +2,7 @@
 
 Groups are counted first (one aggregate over a 64-bit hash of the group key). If none is larger than
 ``hot_rows``, an ordinary Spark window does the work; both ways give the same values, sums of doubles too (``exact_sum``). Rows of larger groups are instead range-partitioned
-by group and order into many segments, written once to the checkpoint folder, windowed inside their
+by group and order into many segments (beyond ``SEGMENTS`` only ones of ``NUMBERED_ROWS`` rows or more), written once to the checkpoint folder, windowed inside their
 segment and completed with what the earlier (or later) segments of the group carry over. The carried
 rows are one per group and segment, so they stay small whatever the size of the group.
 """
@@ -22,6 +22,8 @@ from strata.session import scratch_path, shared_dir
 
 HOT_ROWS = 2_000_000
 NUMBERED_ROWS = 250_000
+#: Segments at most, unless they would hold more than ``NUMBERED_ROWS`` rows: the driver hears of each, and samples rows to place them.
+SEGMENTS = 256
 
 SEGMENT, SERIAL = "__w_segment", "__w_serial"
 OFFSET_FUNCTIONS = ("lag", "lead")
@@ -93,15 +95,20 @@ def window(
     tie = tie_columns(df, [*keys, *order]) if tie_break is None else list(tie_break)
     if not keys:
         rows = df.count() if rows is None else rows
-        return _segmented(df, keys, order, tie, metrics, -(-rows // hot_rows)) if rows > hot_rows else _plain(df, keys, order, tie, metrics)
+        return _segmented(df, keys, order, tie, metrics, _segments(rows, hot_rows)) if rows > hot_rows else _plain(df, keys, order, tie, metrics)
     listed, rows = hot_groups(df, keys, hot_rows)
     if listed is None:
         return _plain(df, keys, order, tie, metrics)
     hot_part, rest = split_hot(df, keys, listed)
-    done = _segmented(hot_part, keys, order, tie, metrics, max(2, -(-rows // hot_rows)))
+    done = _segmented(hot_part, keys, order, tie, metrics, max(2, _segments(rows, hot_rows)))
     return _plain(rest, keys, order, tie, metrics).unionByName(done)
 
 
+def _segments(rows: int, hot_rows: int) -> int:
+    """Segments of about ``hot_rows`` rows, or fewer and larger ones that a task can still sort."""
+    return min(-(-rows // hot_rows), max(SEGMENTS, -(-rows // NUMBERED_ROWS)))
+
+
 def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number", **kwargs: Any) -> DataFrame:
     """Dense numbers 1, 2, 3 … over the whole table; a task sorts at most ``NUMBERED_ROWS`` whole rows."""
     kwargs.setdefault("hot_rows", NUMBERED_ROWS)
