@@ -229,3 +229,15 @@ def test_chain_counts_and_order(spark):
     steps = [("double", lambda d: d.withColumn("v", F.col("id") * 2)), ("large", lambda d: d.where("v > 5")), ("none", lambda d: d.where("v < 0"))]
     counts = chain.run_chain(spark.range(6), steps, lambda d: loaded.append(d.collect()))
     assert counts == {"extracted": 6, "double": 6, "large": 3, "none": 0, "loaded": 0} and loaded == [[]]
+
+
+def test_split_windows_have_a_bounded_number_of_segments(spark, monkeypatch):
+    """The driver hears of each segment, so small ``hot_rows`` must not make their number follow the rows."""
+    seen = []
+    whole = windows._segmented
+    monkeypatch.setattr(windows, "_segmented", lambda *args: seen.append(args[-1]) or whole(*args))
+    rows = spark.range(600).select((F.col("id") % 2).alias("g"), "id", (F.col("id") % 7).cast("decimal(9,2)").alias("v"))
+    metrics = {"n": {"function": "row_number"}, "s": {"function": "running_sum", "column": "v"}, "w": {"function": "lag", "column": "id", "window": 3}}
+    split = windows.window(rows, ["g"], "id", metrics, tie_break=[], hot_rows=1)
+    assert sorted(split.collect()) == sorted(windows.window(rows, ["g"], "id", metrics, tie_break=[]).collect())
+    assert seen == [windows.SEGMENTS] and windows._segments(10**10, 100) == 10**10 // windows.NUMBERED_ROWS
