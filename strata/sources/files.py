@@ -65,8 +65,8 @@ def scan_summary(df: DataFrame) -> DataFrame:
 FORMATS = ("csv", "json", "jsonl", "parquet")
 
 
-def write_files(df: DataFrame, path: str, file_format: str = "csv", append: bool = False, encoding: str = "UTF-8") -> None:
-    """Write without the internal (``_``) columns. JSON is always written anew, as one object per line."""
+def write_files(df: DataFrame, path: str, file_format: str = "csv", append: bool = False, encoding: str = "UTF-8", compression: str | None = None) -> None:
+    """Write without the internal (``_``) columns. JSON is always written anew, as one object per line; JSON files may be compressed."""
     if file_format not in FORMATS:
         raise ValueError(f"unsupported format {file_format!r}; known: {FORMATS}")
     mode = "append" if append and file_format != "json" else "overwrite"
@@ -77,7 +77,7 @@ def write_files(df: DataFrame, path: str, file_format: str = "csv", append: bool
     elif file_format == "parquet":
         writer.parquet(path)
     else:
-        writer.option("encoding", encoding).option("ignoreNullFields", False).json(path)
+        writer.option("encoding", encoding).option("ignoreNullFields", False).json(path, compression=compression)
 
 
 def write_partitioned(df: DataFrame, path: str, partition_columns: Sequence[str], file_format: str = "json") -> None:
@@ -94,6 +94,6 @@ def write_partitioned(df: DataFrame, path: str, partition_columns: Sequence[str]
 
 
 def write_domain(tables: Mapping[str, DataFrame], base_path: str) -> None:
-    """Every table of a domain as JSON, the raw layer."""
+    """Every table of a domain as JSON, the raw layer, compressed file by file; a reader knows it by the files' names."""
     for name, df in tables.items():
-        write_files(df, f"{base_path.rstrip('/')}/{name}.json", "json")
+        write_files(df, f"{base_path.rstrip('/')}/{name}.json", "json", compression="gzip")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.session import scratch_path, shared_dir
@@ -142,3 +143,11 @@ def one_file(summary):
 def test_shared_dir(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/x-")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_raw_layer_is_compressed_and_read_back_whole(spark, tmp_path):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.lit("the same text again")).alias("note"))
+    files.write_domain({"notes": rows}, str(tmp_path))
+    back = files.read_domain(spark, str(tmp_path), {"notes": rows.schema})["notes"]
+    assert sorted(back.collect()) == sorted(rows.collect())
+    assert sum(p.stat().st_size for p in (tmp_path / "notes.json").glob("part-*")) < 5000 * 20
