@@ -422,6 +422,43 @@ def test_language_model_steps_and_scores_by_brute_force(spark):
         assert scores[i] == pytest.approx(want, abs=1e-3)
 
 
+def test_language_model_trains_until_it_expects_what_was_observed(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(60)]
+    after = {w: rng.sample(words, 5) for w in words}
+    rows = []
+    for i in range(120):
+        text = [rng.choice(words)]
+        while len(text) < 50:
+            text.append(rng.choice(after[text[-1]]))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = maxent_lm.fit(docs, maxent_lm.counts(docs))
+    lines = []
+    for _, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        h, _, ending, _ = maxent_lm.tokens(Piece(None, data, np.array([0, len(data)])))
+        lines.append(((h & np.uint64(2**32 - 1)).astype(np.uint32).tobytes(), model.look_up(h, ending)[1].astype(np.int16).tobytes()))
+    coded = spark.createDataFrame(lines, "codes binary, units binary").repartition(2)
+    observed = maxent_lm._summed(coded, model, maxent_lm.observed_part)
+    first = maxent_lm.first_weights(observed, model.buckets)
+    model.weights = maxent_lm.train(coded, model)
+    expected = maxent_lm._summed(coded, model, maxent_lm.expected_part)
+    for o, e, w, f in zip(observed, expected, model.weights, first):
+        slopes = np.abs(o - e - maxent_lm.PRIOR * (w.astype(float) - f))
+        assert slopes.sum() < 0.011 * o.sum()  # one step left 0.15 and 0.06
+
+
+def test_ascent_goes_back_when_a_move_went_too_far():
+    observed = np.full((1, 2), 500.0)
+    path = maxent_lm.Ascent(observed, np.zeros((1, 2), np.float32))
+    weights = path.next(path.first, np.array([[900.0, 100.0]]))
+    assert weights[0, 0] < 0 < weights[0, 1]
+    back = path.next(weights, np.array([[100.0, 900.0]]))  # now as far off on the other side
+    assert np.allclose(back, weights / 2, atol=0.01)
+    assert path.next(back, observed) is None
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/b\r\nX: y", "<title>T &amp; t</title><body><script>x<1</script><p>Ein<br>Wort &lt;b&gt;</p><a href='/l'>link</a><!-- no -->"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     rows = warc.derivatives(warc.responses(pages)).collect()
